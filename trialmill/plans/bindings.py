@@ -173,3 +173,75 @@ def scored_of(spark: SparkSession, run_frame: DataFrame, gold_frame: DataFrame)
         "format_compliance": toolcalls.format_compliance(F.col("total_tool_calls")),
         "kendall_tau": toolcalls.kendall_tau(toolcalls.valid_names(F.col("tool_calls")), F.col("expected_tools")),
     })
+
+
+def results_frame(run_frame: DataFrame) -> DataFrame:
+    return run_frame.select("run_id", "task_id", "intent", "condition", "model", "input_tokens", "output_tokens",
+                            "total_tokens", "execution_time_sec", "error")
+
+
+def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spoken-style prompts: whole documents with fillers and contractions spliced in."""
+    docs = fan_out(table(spark, sf_dir, "documents"), "doc_id")
+    kind = F.col("doc_id") % 4
+    spoken = (
+        F.when(kind == 0, F.replace("text", F.lit(". "), F.lit(". Um, you know what I mean,  it's ")))
+        .when(kind == 1, F.replace("text", F.lit(", "), F.lit(" kind of. I'm   sure they're ")))
+        .when(kind == 2, F.concat(F.lit("Okay so "), F.replace("text", F.lit(". "), F.lit(" Hmm, like, DON'T and let's. "))))
+        .otherwise(F.col("text"))
+    )
+    return docs.select(
+        "doc_id", F.element_at(_literals(INTENTS), (F.col("doc_id") % 8 + 1).cast("int")).alias("intent"),
+        spoken.alias("utterance"), F.col("lang").alias("language"),
+        F.when(F.col("doc_id") % 3 == 0, F.lit(None)).when(F.col("doc_id") % 3 == 1, F.lit("  "))
+        .otherwise(F.col("source")).alias("framework"),
+        F.when(F.col("doc_id") % 5 == 0, F.lit("nan")).when(F.col("doc_id") % 5 == 1, F.lit("key error")).alias("error_type"),
+        "source", "n_chars",
+    )
+
+
+def structured_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies of a structuring model: good, fenced, broken, with trailing text, or failed."""
+    base = tasks(spark, sf_dir)
+    raw = F.concat(F.lit("please handle "), F.col("topic"), F.lit(" number "), F.col("k").cast("string"))
+    good = F.concat(
+        F.lit('{"raw_utterance": "'), raw, F.lit('", "normalized": "handle '), F.col("topic"), F.lit('", "intent": "'),
+        F.col("intent"), F.lit('", "confidence_score": 0.'), F.lpad(F.col("k").cast("string"), 2, "0"),
+        F.lit(', "entities": {"error_type": null, "component": "'), F.col("topic"),
+        F.lit('", "language": "sql", "framework": null}}'))
+    reply = (
+        F.when(F.col("topic") == "click", F.concat(F.lit("```json\n"), good, F.lit("\n```")))
+        .when(F.col("topic") == "error", F.concat(F.lit("Sure! "), good))
+        .when(F.col("topic") == "view", F.concat(good, F.lit(" extra words")))
+        .when(F.col("topic") == "purchase", good)
+    )
+    return base.select("task_id", "intent", raw.alias("raw"), reply.alias("reply"),
+                       F.when(F.col("topic") == "signup", F.lit("rate limit")).alias("api_error"))
+
+
+def judge_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = tasks(spark, sf_dir)
+    k = F.col("k").cast("string")
+    variant = F.col("owner") % 11
+    reply = (
+        F.when(variant == 0, F.concat(F.lit('{"score": '), k, F.lit(', "reasoning": "fine"}')))
+        .when(variant == 1, F.concat(F.lit('Verdict:\n{"score": '), k, F.lit('.7, "claims": [{"x": 1}]}\nDone.')))
+        .when(variant == 2, F.concat(F.lit('{"score": "'), k, F.lit('"}')))
+        .when(variant == 3, F.concat(F.lit('{"score": '), k, F.lit(', }')))
+        .when(variant == 4, F.lit("I cannot judge this."))
+        .when(variant == 5, F.lit(None))
+        .when(variant == 6, F.concat(F.lit('{"reasoning": "'), F.col("topic"), F.lit('"}')))
+        .when(variant == 7, F.concat(F.lit('{"score": "'), k, F.lit('.5"}')))
+        .when(variant == 8, F.concat(F.lit('{"score": '), k, F.lit('} and {"score": 1}')))
+        .when(variant == 9, F.lit('{"score": true}'))
+        .otherwise(F.lit('{"score": null}'))
+    )
+    return base.select("task_id", "topic", reply.alias("reply"))
+
+
+def vectors_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    emb = fan_out(table(spark, sf_dir, "embeddings"), "vec_id")
+    return emb.select("vec_id", F.col("label").cast("int").alias("label"),
+                      F.col("embedding").cast("array<double>").alias("vec"),
+                      (F.col("vec_id") % 6).cast("int").alias("cluster"),
+                      (F.col("vec_id") % 4).cast("long").alias("entity_count"))

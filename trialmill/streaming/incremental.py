@@ -21,7 +21,7 @@ def score_stream(runs: DataFrame, score: Callable[[DataFrame], DataFrame], out:
             f"{out}/batch={batch_id}")
 
     query = (
-        runs.drop("batch").writeStream.foreachBatch(write_batch)
+        runs.writeStream.foreachBatch(write_batch)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
