@@ -7,7 +7,10 @@ the degrees of freedom grow with the data.  They run on result rows, which are f
 from __future__ import annotations
 
 import math
+from functools import lru_cache
+from statistics import NormalDist
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 _EXACT_DF = 200
@@ -63,20 +66,42 @@ def t_two_sided(t: Column, df: Column) -> Column:
     return F.when(df <= _EXACT_DF, _t_two_sided_exact(t, df)).otherwise(normal_two_sided(z))
 
 
+@lru_cache(maxsize=None)
+def _critical_table(level: float) -> tuple[float, ...]:
+    """Critical values for 1 to 200 degrees of freedom, by bisection on the finite series."""
+    df = np.arange(1, _EXACT_DF + 1)
+    odd = df % 2 == 1
+    steps = np.where(odd, np.maximum(0, (df - 3) // 2), (df - 2) // 2)
+
+    def inside(t: np.ndarray) -> np.ndarray:
+        theta = np.arctan(t / np.sqrt(df))
+        cos = np.cos(theta)
+        term = np.where(odd, np.where(df == 1, 0.0, cos), 1.0)
+        total = term.copy()
+        for i in range(1, _EXACT_DF // 2):
+            term = term * cos * cos * (2 * i - 1 + odd) / (2 * i + odd)
+            total += np.where(i <= steps, term, 0.0)
+        return np.where(odd, 2 / np.pi * (theta + np.sin(theta) * total), np.sin(theta) * total)
+
+    low, high = np.zeros(len(df)), np.full(len(df), 1e4)
+    for _ in range(80):
+        middle = (low + high) / 2
+        below = inside(middle) < level
+        low, high = np.where(below, middle, low), np.where(below, high, middle)
+    return tuple(float(v) for v in (low + high) / 2)
+
+
 def t_critical(df: Column, level: float = 0.95) -> Column:
-    """Two-sided critical value by bisection."""
-    upper = F.when(df == 1, F.lit(1e4)).otherwise(F.lit(200.0))
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(60)),
-        F.struct(F.lit(0.0).alias("lo"), upper.alias("hi")),
-        lambda acc, _: F.transform(
-            F.array((acc["lo"] + acc["hi"]) / 2),
-            lambda mid: F.when(
-                t_two_sided(mid, df) > 1 - level, F.struct(mid.alias("lo"), acc["hi"].alias("hi"))
-            ).otherwise(F.struct(acc["lo"].alias("lo"), mid.alias("hi"))),
-        )[0],
-        lambda acc: (acc["lo"] + acc["hi"]) / 2,
-    )
+    """Two-sided critical value: a table for small, an expansion in 1/df for large samples."""
+    z = NormalDist().inv_cdf((1 + level) / 2)
+    far = z
+    for power, value in enumerate((
+        (z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
+        (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160,
+    ), start=1):
+        far = far + value / F.pow(df.cast("double"), F.lit(power))
+    table = F.expr("array(" + ", ".join(f"{v!r}D" for v in _critical_table(level)) + ")")
+    return F.when(df <= _EXACT_DF, F.try_element_at(table, df.cast("int"))).otherwise(far)
 
 
 def _gamma_half_ratio(a: Column) -> Column:

@@ -125,18 +125,19 @@ def silhouette_exact(points: DataFrame, label: str, cluster: str, point: str, ve
     tiled = points.join(small_side(sizes), label).select(
         label, F.col(cluster).cast("int").alias("_c"), F.col(point).alias("_p"), F.col(vec).alias("_v"),
         tiles.alias("_tiles"), F.pmod(F.xxhash64(point), tiles).cast("int").alias("_t"))
-    every = F.sequence(F.lit(0), F.col("_tiles") - 1)
-    left = tiled.withColumn("_other", F.explode(every)).select(label, F.col("_t").alias("_i"), F.col("_other").alias("_j"), "_p", "_c", "_v")
-    right = tiled.withColumn("_other", F.explode(every)).select(label, F.col("_other").alias("_i"), F.col("_t").alias("_j"), "_c", "_v")
+    meeting = tiled.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
+    left = meeting.select(label, F.col("_t").alias("_i"), F.col("_other").alias("_j"), "_p", "_c", "_v")
+    right = meeting.select(F.col(label).alias("_label"), F.col("_other").alias("_ri"), F.col("_t").alias("_rj"),
+                           F.col("_c").alias("_rc"), F.col("_v").alias("_rv"))
 
     def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         columns = [label, "_p", "_c", "_to", "_sum", "_n"]
         if a.empty or b.empty:
             return pd.DataFrame(columns=columns)
-        x, y = np.stack(a["_v"]).astype(float), np.stack(b["_v"]).astype(float)
+        x, y = np.stack(a["_v"]).astype(float), np.stack(b["_rv"]).astype(float)
         parts = []
-        for other in np.unique(b["_c"]):
-            members = y[(b["_c"] == other).to_numpy()]
+        for other in np.unique(b["_rc"]):
+            members = y[(b["_rc"] == other).to_numpy()]
             total = np.zeros(len(x))
             for start in range(0, len(members), 64):
                 gap = x[:, None, :] - members[None, start:start + 64, :]
@@ -146,7 +147,7 @@ def silhouette_exact(points: DataFrame, label: str, cluster: str, point: str, ve
         return pd.concat(parts, ignore_index=True)[columns]
 
     types = {f.name: f.dataType.simpleString() for f in tiled.schema}
-    sums = left.groupBy(label, "_i", "_j").cogroup(right.groupBy(label, "_i", "_j")).applyInPandas(
+    sums = left.groupBy(label, "_i", "_j").cogroup(right.groupBy("_label", "_ri", "_rj")).applyInPandas(
         tile, f"`{label}` {types[label]}, _p {types['_p']}, _c int, _to int, _sum double, _n long")
     per_cluster = sums.groupBy(label, "_p", "_c", "_to").agg(F.sum("_sum").alias("s"), F.sum("_n").alias("n"))
     own, other = F.col("_to") == F.col("_c"), F.col("_to") != F.col("_c")

@@ -55,30 +55,29 @@ def _horner(coefficients, x: Column) -> Column:
     return value
 
 
-def _normal_quantile(u: Column) -> Column:
-    centre = u - 0.5
-    r = centre * centre
-    edge = F.sqrt(-2 * F.log(F.least(u, 1 - u)))
-    tail = _horner(_C, edge) / (_horner(_D, edge) * edge + 1)
-    middle = _horner(_A, r) * centre / (_horner(_B, r) * r + 1)
-    return F.when(u < _LOW, tail).when(u > 1 - _LOW, -tail).otherwise(middle)
-
-
-def poisson_draw(count: Column, digest: Column) -> Column:
+def with_poisson_draw(df: DataFrame, count: str, digest: str, out: str) -> DataFrame:
     """Poisson(count) from 32 hex digits: table draws for the four low bits, a rounded
-    normal expansion for the multiple of 16 above them.  Sums of Poissons are Poisson."""
+    normal expansion for the multiple of 16 above them.  Sums of Poissons are Poisson.
+
+    Uniforms and the parts of the normal quantile are columns of their own, and tables are
+    array literals: the generated code stays small enough for the JVM to compile it.
+    """
+    units = {f"_u{part}": _uniform(F.col(digest), 1 + 6 * i, 6) for i, part in enumerate(_SMALL)}
+    staged = df.withColumns({**units, "_uz": _uniform(F.col(digest), 25, 8)})
+    u, low, r, edge = F.col("_uz"), F.lit(_LOW), F.col("_r"), F.col("_edge")
+    staged = staged.withColumns({"_r": (u - 0.5) * (u - 0.5), "_edge": F.sqrt(-2 * F.log(F.least(u, 1 - u)))})
+    tail = _horner(_C, edge) / (_horner(_D, edge) * edge + 1)
+    middle = _horner(_A, r) * (u - 0.5) / (_horner(_B, r) * r + 1)
+    staged = staged.withColumn("_z", F.when(u < low, tail).when(u > 1 - low, -tail).otherwise(middle))
     total = F.lit(0)
-    for i, part in enumerate(_SMALL):
-        u = _uniform(digest, 1 + 6 * i, 6)
-        table = F.when(u < F.lit(poisson_cuts(part)[0]), 0)
-        cuts = poisson_cuts(part)
-        for k, cut in enumerate(cuts[1:], start=1):
-            table = table.when(u < F.lit(cut), k)
-        total = total + F.when(count.bitwiseAND(F.lit(part)) != 0, table.otherwise(len(cuts))).otherwise(0)
-    big = (count - count % 16).cast("double")
-    z = _normal_quantile(_uniform(digest, 25, 8))
+    for part in _SMALL:
+        cuts = F.expr("array(" + ", ".join(f"{c!r}D" for c in poisson_cuts(part)) + ")")
+        drawn = F.size(F.filter(cuts, lambda c: c <= F.col(f"_u{part}")))
+        total = total + F.when(F.col(count).bitwiseAND(F.lit(part)) != 0, drawn).otherwise(0)
+    big, z = (F.col(count) - F.col(count) % 16).cast("double"), F.col("_z")
     rough = F.greatest(F.lit(0.0), F.floor(big + F.sqrt(big) * z + (z * z - 1) / 6 + 0.5).cast("double"))
-    return total.cast("double") + F.when(big > 0, rough).otherwise(F.lit(0.0))
+    weight = total.cast("double") + F.when(big > 0, rough).otherwise(F.lit(0.0))
+    return staged.withColumn(out, weight).drop(*units, "_uz", "_r", "_edge", "_z")
 
 
 def _replicates(cells: DataFrame, replicates: int, salt: list[str]) -> DataFrame:
@@ -87,7 +86,7 @@ def _replicates(cells: DataFrame, replicates: int, salt: list[str]) -> DataFrame
     spread = cells.repartition(cores, *salt)
     drawn = spread.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     digest = F.md5(F.concat_ws("-", *[F.col(c).cast("string") for c in salt], F.col("_b").cast("string")))
-    return drawn.withColumn("_digest", digest).withColumn("_w", poisson_draw(F.col("_n"), F.col("_digest")))
+    return with_poisson_draw(drawn.withColumn("_digest", digest), "_n", "_digest", "_w")
 
 
 def _bounds(estimates: DataFrame, keys: list[str]) -> DataFrame:

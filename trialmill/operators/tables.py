@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
-def evolve(df: DataFrame, schema: T.StructType) -> DataFrame:
+def evolve(df: DataFrame, schema: T.StructType | str) -> DataFrame:
     """Add the columns of `schema` that `df` lacks, as typed NULLs; keep what is there."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     present = set(df.columns)
     missing = {f.name: F.lit(None).cast(f.dataType) for f in schema.fields if f.name not in present}
     return df.withColumns(missing) if missing else df
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_or_empty(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """The table at `path`, or an empty one on first use."""
     location = spark._jvm.org.apache.hadoop.fs.Path(path)
     if location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location):

@@ -537,7 +537,7 @@ def describe_metric(spark, sf):
 @query
 def kendall_tau(spark, sf):
     good = b.runs(spark, sf).filter(F.col("error").isNull()).join(small_side(b.gold(spark, sf)), "task_id")
-    names = F.filter(tc.tool_names(F.col("response")), tc.is_valid_tool)
+    names = F.filter(tc.tool_names(F.col("response")), lambda t: tc.is_valid_tool(t))
     return good.select("run_id", F.round(tc.kendall_tau(names, F.col("expected_tools")), 6).alias("tau"))
 
 
