@@ -83,7 +83,7 @@ def kmeans_per_class(points: DataFrame, label: str, point: str, vec: str, dim: i
     """(assignments, centroids) of the best of `restarts` runs per class.
 
     All classes and restarts move together; a round is one pass over the points.  Centroids
-    (classes x restarts x k rows) are checkpointed between rounds.  Clusters are numbered by
+    (classes x restarts x k rows) are written out between rounds.  Clusters are numbered by
     their smallest member, so ids do not depend on seeding.
     """
     keys = [label, "restart"]

@@ -129,8 +129,8 @@ def two_way_anova(df: DataFrame, block: str, first: str, second: str, value: str
 
     One pass reduces to one row per cell; all sums of squares follow from those rows.
     """
-    complete = df.groupBy(block).agg(F.count("*").alias("_c")).filter(F.col("_c") == cells).select(block)
-    cell = _group_stats(df.join(complete, block, "left_semi"), [first, second], value)
+    counted = df.withColumn("_c", F.count("*").over(Window.partitionBy(block)))
+    cell = _group_stats(counted.filter(F.col("_c") == cells), [first, second], value)
     every = Window.partitionBy(F.lit(1))
     cell = cell.withColumns({
         "g": F.avg("m").over(every),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..fixed_values import CONDITIONS
-from .scoring import cpstc
+from .resample import poisson_ratio, rounded
 
 SCORE_COLUMNS = [
     "tool_precision", "tool_recall", "tool_f1", "total_tool_calls", "redundant_calls", "first_call_correct",
@@ -46,11 +46,13 @@ def with_flag(df: DataFrame) -> DataFrame:
     return df.withColumn("functional_flag", F.col("functional_correct").cast("int"))
 
 
-def condition_overall(df: DataFrame, success: str = "min_req_met") -> DataFrame:
-    """Thirteen means per condition and the cost per success."""
-    means = [mean(column).alias(name) for name, column in OVERALL.items()]
-    cost = F.round(cpstc(F.sum("total_tokens"), F.sum(F.col(success).cast("long"))), 4)
-    return with_flag(df).groupBy("condition").agg(*means, cost.alias("cpstc"))
+def condition_overall(df: DataFrame, replicates: int, success: str = "min_req_met") -> DataFrame:
+    """Thirteen means per condition, the cost per success and its bootstrap interval.
+
+    One pass over the runs feeds both the means and the resampling.
+    """
+    table = poisson_ratio(with_flag(df), ["condition"], "total_tokens", success, replicates, OVERALL)
+    return rounded(table.withColumnRenamed("ratio", "cpstc"), [*OVERALL, "cpstc", "ci_lower", "ci_upper"])
 
 
 def stratified(df: DataFrame, keys: list[str], names: list[str] = STRATIFIED) -> DataFrame:
@@ -101,16 +103,12 @@ def token_scatter(df: DataFrame) -> DataFrame:
     return df.select("run_id", "condition", "total_tokens", "tool_f1")
 
 
-def pareto(df: DataFrame, bounds: DataFrame, success: str = "min_req_met") -> DataFrame:
-    """Cost against quality per condition, interval offsets, and whether a point is on the frontier.
-
-    `bounds` holds `condition, ci_lower, ci_upper` of the cost.  The frontier compares the
-    handful of condition points, held in one array.
-    """
-    points = df.groupBy("condition").agg(
-        cpstc(F.sum("total_tokens"), F.sum(F.col(success).cast("long"))).alias("x"), F.avg("tool_f1").alias("y"))
-    joined = points.join(bounds, "condition", "left")
-    packed = joined.agg(F.collect_list(F.struct("condition", "x", "y", "ci_lower", "ci_upper")).alias("all"))
+def pareto(df: DataFrame, replicates: int, success: str = "min_req_met") -> DataFrame:
+    """Cost against quality per condition, interval offsets, and whether a point is on the
+    frontier.  The frontier compares the handful of condition points, held in one array."""
+    points = poisson_ratio(df, ["condition"], "total_tokens", success, replicates, {"y": "tool_f1"})
+    packed = points.agg(F.collect_list(F.struct(
+        "condition", F.col("ratio").alias("x"), "y", "ci_lower", "ci_upper")).alias("all"))
     each = packed.select("all", F.explode("all").alias("p"))
     p = F.col("p")
     dominated = F.exists("all", lambda o: (o["x"] <= p["x"]) & (o["y"] >= p["y"]) & ((o["x"] < p["x"]) | (o["y"] > p["y"])))

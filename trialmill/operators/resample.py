@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import small_side
+from ..functions.arrays import let
 
 LEVELS = (0.025, 0.975)
 # Break points and coefficients of the rational normal quantile.
@@ -55,75 +55,103 @@ def _horner(coefficients, x: Column) -> Column:
     return value
 
 
-def with_poisson_draw(df: DataFrame, count: str, digest: str, out: str) -> DataFrame:
+def normal_quantile(u: Column) -> Column:
+    def tail(p: Column) -> Column:
+        size = let(F.sqrt(-2 * F.log(p)), lambda e: _horner(_C, e) / (_horner(_D, e) * e + 1))
+        return F.when(u < 0.5, size).otherwise(-size)
+
+    middle = let((u - 0.5) * (u - 0.5), lambda r: _horner(_A, r) * (u - 0.5) / (_horner(_B, r) * r + 1))
+    return let(F.least(u, 1 - u), lambda p: F.when(p < _LOW, tail(p)).otherwise(middle))
+
+
+def poisson_draw(count: Column, digest: Column) -> Column:
     """Poisson(count) from 32 hex digits: table draws for the four low bits, a rounded
     normal expansion for the multiple of 16 above them.  Sums of Poissons are Poisson.
 
-    Uniforms and the parts of the normal quantile are columns of their own, and tables are
-    array literals: the generated code stays small enough for the JVM to compile it.
+    Shared parts are bound to lambda variables, which also keeps the generated code small
+    enough for the JVM to compile.
     """
-    units = {f"_u{part}": _uniform(F.col(digest), 1 + 6 * i, 6) for i, part in enumerate(_SMALL)}
-    staged = df.withColumns({**units, "_uz": _uniform(F.col(digest), 25, 8)})
-    u, low, r, edge = F.col("_uz"), F.lit(_LOW), F.col("_r"), F.col("_edge")
-    staged = staged.withColumns({"_r": (u - 0.5) * (u - 0.5), "_edge": F.sqrt(-2 * F.log(F.least(u, 1 - u)))})
-    tail = _horner(_C, edge) / (_horner(_D, edge) * edge + 1)
-    middle = _horner(_A, r) * (u - 0.5) / (_horner(_B, r) * r + 1)
-    staged = staged.withColumn("_z", F.when(u < low, tail).when(u > 1 - low, -tail).otherwise(middle))
-    total = F.lit(0)
-    for part in _SMALL:
+    def table_draw(part: int, position: int) -> Column:
         cuts = F.expr("array(" + ", ".join(f"{c!r}D" for c in poisson_cuts(part)) + ")")
-        drawn = F.size(F.filter(cuts, lambda c: c <= F.col(f"_u{part}")))
-        total = total + F.when(F.col(count).bitwiseAND(F.lit(part)) != 0, drawn).otherwise(0)
-    big, z = (F.col(count) - F.col(count) % 16).cast("double"), F.col("_z")
-    rough = F.greatest(F.lit(0.0), F.floor(big + F.sqrt(big) * z + (z * z - 1) / 6 + 0.5).cast("double"))
-    weight = total.cast("double") + F.when(big > 0, rough).otherwise(F.lit(0.0))
-    return staged.withColumn(out, weight).drop(*units, "_uz", "_r", "_edge", "_z")
+        drawn = let(_uniform(digest, position, 6), lambda u: F.size(F.filter(cuts, lambda c: c <= u)))
+        return F.when(count.bitwiseAND(F.lit(part)) != 0, drawn).otherwise(0)
 
-
-def _replicates(cells: DataFrame, replicates: int, salt: list[str]) -> DataFrame:
-    """Every cell under every replicate number, spread over the cluster before it is multiplied."""
-    cores = cells.sparkSession.sparkContext.defaultParallelism
-    spread = cells.repartition(cores, *salt)
-    drawn = spread.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    digest = F.md5(F.concat_ws("-", *[F.col(c).cast("string") for c in salt], F.col("_b").cast("string")))
-    return with_poisson_draw(drawn.withColumn("_digest", digest), "_n", "_digest", "_w")
+    small = F.lit(0)
+    for i, part in enumerate(_SMALL):
+        small = small + table_draw(part, 1 + 6 * i)
+    big = (count - count % 16).cast("double")
+    rough = let(normal_quantile(_uniform(digest, 25, 8)), lambda z: F.greatest(
+        F.lit(0.0), F.floor(big + F.sqrt(big) * z + (z * z - 1) / 6 + 0.5).cast("double")))
+    return small.cast("double") + F.when(big > 0, rough).otherwise(F.lit(0.0))
 
 
-def _bounds(estimates: DataFrame, keys: list[str]) -> DataFrame:
-    return estimates.filter(F.col("_estimate").isNotNull()).groupBy(*keys).agg(
-        F.percentile("_estimate", F.lit(LEVELS[0])).alias("ci_lower"),
-        F.percentile("_estimate", F.lit(LEVELS[1])).alias("ci_upper"))
-
+def _replicates(cells: DataFrame, replicates: int, salt: list[str]) -> DataFrame:
+    """Every cell under every replicate number; number -1 is the data as it is.
 
-def poisson_ratio(df: DataFrame, keys: list[str], top: str, bottom: str, replicates: int) -> DataFrame:
-    """Interval of sum(top) / sum(bottom) per key; replicates without successes are skipped."""
+    Cells are few bytes, so AQE would leave them in one partition; a fixed repartition spreads
+    them over the cluster before each is multiplied by the number of replicates.
+    """
+    spread = cells.repartition(cells.sparkSession.sparkContext.defaultParallelism)
+    drawn = spread.withColumn("_b", F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1))))
+    digest = F.md5(F.concat_ws("-", *[F.col(c).cast("string") for c in salt], F.col("_b").cast("string")))
+    weight = F.when(F.col("_b") < 0, F.col("_n").cast("double")).otherwise(poisson_draw(F.col("_n"), F.col("_digest")))
+    return drawn.withColumn("_digest", digest).withColumn("_w", weight)
+
+
+def _bounds(estimates: DataFrame, keys: list[str], point: str, extras: list[str] = ()) -> DataFrame:
+    """Point estimate and percentile interval per key from one row per key and replicate."""
+    real, redrawn = F.col("_b") < 0, F.when(F.col("_b") >= 0, F.col("_estimate"))
+    return estimates.groupBy(*keys).agg(
+        F.max(F.when(real, F.col("_estimate"))).alias(point),
+        F.percentile(redrawn, F.lit(LEVELS[0])).alias("ci_lower"),
+        F.percentile(redrawn, F.lit(LEVELS[1])).alias("ci_upper"),
+        *[F.max(F.when(real, F.col(name))).alias(name) for name in extras])
+
+
+def poisson_ratio(df: DataFrame, keys: list[str], top: str, bottom: str, replicates: int,
+                  means: dict[str, str] | None = None) -> DataFrame:
+    """`ratio` = sum(top) / sum(bottom) per key with its interval; replicates without
+    successes are skipped.  `means` adds plain means (name -> column) from the same pass
+    over the facts."""
+    means = means or {}
+    carried = []
+    for name, column in means.items():
+        carried += [F.sum(F.col(column).cast("double")).alias(f"_s_{name}"), F.count(column).alias(f"_c_{name}")]
     cells = df.groupBy(*keys, F.col(top).cast("long").alias("_x"), F.col(bottom).cast("long").alias("_y")).agg(
-        F.count("*").alias("_n"))
+        F.count("*").alias("_n"), *carried)
     drawn = _replicates(cells, replicates, keys + ["_x", "_y"])
+    real = F.col("_b") < 0
     estimates = drawn.groupBy(*keys, "_b").agg(
         F.when(F.sum(F.col("_w") * F.col("_y")) > 0,
-               F.sum(F.col("_w") * F.col("_x")) / F.sum(F.col("_w") * F.col("_y"))).alias("_estimate"))
-    return _bounds(estimates, keys)
+               F.sum(F.col("_w") * F.col("_x")) / F.sum(F.col("_w") * F.col("_y"))).alias("_estimate"),
+        *[F.try_divide(F.sum(F.when(real, F.col(f"_s_{name}"))), F.sum(F.when(real, F.col(f"_c_{name}")))).alias(name)
+          for name in means])
+    return _bounds(estimates, keys, "ratio", list(means))
 
 
 def poisson_mean(df: DataFrame, keys: list[str], value: str, replicates: int, scale: int = 10_000) -> DataFrame:
-    """Interval of a mean per key.  Values are counted as whole multiples of 1/scale, the
-    precision scores are stored with, so cells stay few; NULLs are skipped."""
+    """`mean` per key with its interval, one pass over the facts.
+
+    Replicates count values as whole multiples of 1/scale, the precision scores are stored
+    with, so cells stay few; the mean itself uses the values as they are.  NULLs are skipped.
+    """
     units = F.round(F.col(value).cast("double") * scale).cast("long")
-    cells = df.filter(F.col(value).isNotNull()).groupBy(*keys, units.alias("_x")).agg(F.count("*").alias("_n"))
+    cells = df.filter(F.col(value).isNotNull()).groupBy(*keys, units.alias("_x")).agg(
+        F.count("*").alias("_n"), F.sum(F.col(value).cast("double")).alias("_s"))
     drawn = _replicates(cells, replicates, keys + ["_x"])
-    estimates = drawn.groupBy(*keys, "_b").agg(
-        F.try_divide(F.sum(F.col("_w") * F.col("_x")), F.sum("_w") * scale).alias("_estimate"))
-    return _bounds(estimates, keys)
+    redrawn = F.try_divide(F.sum(F.col("_w") * F.col("_x")), F.sum("_w") * scale)
+    true_mean = F.try_divide(F.sum("_s"), F.sum("_w"))
+    estimates = drawn.groupBy(*keys, "_b").agg(F.when(F.col("_b") < 0, true_mean).otherwise(redrawn).alias("_estimate"))
+    return _bounds(estimates, keys, "mean")
+
+
+def rounded(df: DataFrame, columns: list[str], places: int = 4) -> DataFrame:
+    return df.withColumns({c: F.round(c, places) for c in columns})
 
 
 def mean_with_interval(df: DataFrame, keys: list[str], value: str, replicates: int) -> DataFrame:
     """Mean and bootstrap interval per key, rounded as charts show them."""
-    centre = df.groupBy(*keys).agg(F.avg(F.col(value).cast("double")).alias("_mean"))
-    bounds = poisson_mean(df, keys, value, replicates)
-    joined = centre.join(small_side(bounds), keys, "left")
-    return joined.select(*keys, *[F.round(c, 4).alias(n) for c, n in (
-        ("_mean", "mean"), ("ci_lower", "ci_lower"), ("ci_upper", "ci_upper"))])
+    return rounded(poisson_mean(df, keys, value, replicates), ["mean", "ci_lower", "ci_upper"])
 
 
 def multinomial_ratio(df: DataFrame, keys: list[str], top: str, bottom: str, replicates: int,
@@ -166,4 +194,6 @@ def multinomial_ratio(df: DataFrame, keys: list[str], top: str, bottom: str, rep
         split_cells, f"{key_types}, _b int, _sx bigint, _sy bigint")
     estimates = partial.groupBy(*keys, "_b").agg(
         F.when(F.sum("_sy") > 0, F.sum("_sx") / F.sum("_sy")).alias("_estimate"))
-    return _bounds(estimates, keys)
+    return estimates.filter(F.col("_estimate").isNotNull()).groupBy(*keys).agg(
+        F.percentile("_estimate", F.lit(LEVELS[0])).alias("ci_lower"),
+        F.percentile("_estimate", F.lit(LEVELS[1])).alias("ci_upper"))

@@ -495,10 +495,7 @@ def analysis_base(spark, sf):
 
 @query
 def condition_overall(spark, sf):
-    scored = b.scored(spark, sf)
-    bounds = resample.poisson_ratio(scored, ["condition"], "total_tokens", "min_req_met", CI_REPLICATES)
-    table = reports.condition_overall(scored).join(bounds, "condition", "left")
-    return table.withColumns({c: F.round(c, 4) for c in ("ci_lower", "ci_upper")})
+    return reports.condition_overall(b.scored(spark, sf), CI_REPLICATES)
 
 
 @query
@@ -604,25 +601,25 @@ def failure_taxonomy(spark, sf):
 
 # --- resampling --------------------------------------------------------------------
 
-def _rounded_bounds(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: F.round(c, 4) for c in ("ci_lower", "ci_upper")})
+BOUNDS = ["ci_lower", "ci_upper"]
 
 
 @query
 def bootstrap_cpstc(spark, sf):
-    return _rounded_bounds(resample.multinomial_ratio(
-        b.scored(spark, sf), ["condition"], "total_tokens", "min_req_met", replicates=1000))
+    return resample.rounded(resample.multinomial_ratio(
+        b.scored(spark, sf), ["condition"], "total_tokens", "min_req_met", replicates=1000), BOUNDS)
 
 
 @query
 def bootstrap_poisson(spark, sf):
-    return _rounded_bounds(resample.poisson_ratio(
-        b.scored(spark, sf), ["condition"], "total_tokens", "min_req_met", CI_REPLICATES))
+    out = resample.poisson_ratio(b.scored(spark, sf), ["condition"], "total_tokens", "min_req_met", CI_REPLICATES)
+    return resample.rounded(out, BOUNDS).select("condition", *BOUNDS)
 
 
 @query
 def bootstrap_mean(spark, sf):
-    return _rounded_bounds(resample.poisson_mean(b.scored(spark, sf), ["model", "condition"], "tool_f1", CI_REPLICATES))
+    out = resample.poisson_mean(b.scored(spark, sf), ["model", "condition"], "tool_f1", CI_REPLICATES)
+    return resample.rounded(out, BOUNDS).select("model", "condition", *BOUNDS)
 
 
 # --- chart datasets ----------------------------------------------------------------
@@ -668,9 +665,7 @@ def fig_hallucination(spark, sf):
 
 @query
 def fig_pareto(spark, sf):
-    scored = b.scored(spark, sf)
-    bounds = resample.poisson_ratio(scored, ["condition"], "total_tokens", "min_req_met", CI_REPLICATES)
-    return reports.pareto(scored, bounds)
+    return reports.pareto(b.scored(spark, sf), CI_REPLICATES)
 
 
 @query
