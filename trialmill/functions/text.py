@@ -6,6 +6,7 @@ from itertools import groupby
 
 from pyspark.sql import Column, functions as F
 
+from .arrays import let
 from ..fixed_values import CONTRACTIONS, FENCE_LANGUAGES, FILLERS, PLAIN_LABEL, STRUCTURED_LABEL
 
 # Whitespace as Unicode text handling sees it, plus the four ASCII separators.
@@ -124,8 +125,11 @@ def render_prompt(condition: Column, plain: Column, structured: Column) -> Colum
 def first_code_block(text: Column) -> Column:
     """Body of the first fenced block, trimmed; text without a fence is trimmed whole."""
     pattern = rf"(?is)```(?:{'|'.join(FENCE_LANGUAGES)})?\n(.*?)```"
-    body = F.when(F.regexp_like(text, F.lit(pattern)), F.regexp_extract(text, pattern, 1)).otherwise(text)
-    return F.coalesce(strip(body), F.lit(""))
+    # One pattern pass decides most rows; only an empty body needs the second look.
+    fenced = let(F.regexp_extract(text, pattern, 1), lambda body: F.when(
+        (body != "") | F.regexp_like(text, F.lit(pattern)), body).otherwise(text))
+    chosen = F.when(F.contains(text, F.lit("```")), fenced).otherwise(text)
+    return F.coalesce(strip(chosen), F.lit(""))
 
 
 def judge_prompt(template: str, response: Column, limit: int | None = None, **fields: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..fixed_values import VALID_TOOLS
 from .arrays import let
@@ -30,6 +30,13 @@ def extract_tool_calls(text: Column, tools: list[str] = VALID_TOOLS) -> Column:
     )
 
 
+def explode_calls(df: DataFrame, keys: list[str], calls: str = "tool_calls") -> DataFrame:
+    """One row per call.  The outer form with a filter after it: an inner explode makes
+    Catalyst add a size check below, which would extract the calls a second time."""
+    each = df.select(*keys, F.posexplode_outer(calls).alias("pos", "_call")).filter(F.col("pos").isNotNull())
+    return each.select(*keys, "pos", "_call.tool", "_call.params", "_call.valid")
+
+
 def valid_calls(calls: Column) -> Column:
     return F.filter(calls, lambda c: c["valid"])
 

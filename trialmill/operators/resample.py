@@ -30,13 +30,15 @@ _B = (-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02,
 _C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00,
       -2.549732539343734e+00, 4.374664141464968e+00, 2.938163982698783e+00)
 _D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00, 3.754408661907416e+00)
-_SMALL = (1, 2, 4, 8)
+_SMALL = (1, 2, 4, 8, 16, 32)
+_LARGE = 64
+_GUIDE = 256
 
 
 def poisson_cuts(mean: int) -> list[float]:
-    """Cumulative probabilities up to where a 24-bit draw can no longer tell them from 1."""
+    """Cumulative probabilities up to where a 20-bit draw can no longer tell them from 1."""
     cuts, term, total, k = [], math.exp(-mean), math.exp(-mean), 0
-    while total < 1 - 2.0 ** -24:
+    while total < 1 - 2.0 ** -20:
         cuts.append(total)
         k += 1
         term *= mean / k
@@ -44,6 +46,14 @@ def poisson_cuts(mean: int) -> list[float]:
     return cuts
 
 
+def _guide(mean: int) -> list[int]:
+    """Draw per 1/256 of the unit interval, or -1 where a cut falls inside the piece."""
+    cuts = poisson_cuts(mean)
+    count = lambda u: sum(c <= u for c in cuts)
+    ends = [(count(i / _GUIDE), count((i + 1) / _GUIDE)) for i in range(_GUIDE)]
+    return [low if low == high else -1 for low, high in ends]
+
+
 def _uniform(digest: Column, start: int, digits: int) -> Column:
     return (F.conv(digest.substr(start, digits), 16, 10).cast("double") + 0.5) / float(16 ** digits)
 
@@ -65,47 +75,57 @@ def normal_quantile(u: Column) -> Column:
 
 
 def poisson_draw(count: Column, digest: Column) -> Column:
-    """Poisson(count) from 32 hex digits: table draws for the four low bits, a rounded
-    normal expansion for the multiple of 16 above them.  Sums of Poissons are Poisson.
+    """Poisson(count) from 32 hex digits.  Below 64 one table draw per set bit of the count
+    (sums of Poissons are Poisson), from 64 on a rounded normal expansion.
 
     Shared parts are bound to lambda variables, which also keeps the generated code small
     enough for the JVM to compile.
     """
     def table_draw(part: int, position: int) -> Column:
         cuts = F.expr("array(" + ", ".join(f"{c!r}D" for c in poisson_cuts(part)) + ")")
-        drawn = let(_uniform(digest, position, 6), lambda u: F.size(F.filter(cuts, lambda c: c <= u)))
-        return F.when(count.bitwiseAND(F.lit(part)) != 0, drawn).otherwise(0)
+        guide = F.expr("array(" + ", ".join(str(k) for k in _guide(part)) + ")")
+
+        def look_up(u: Column) -> Column:
+            return let(F.element_at(guide, (u * _GUIDE).cast("int") + 1),
+                       lambda k: F.when(k >= 0, k).otherwise(F.size(F.filter(cuts, lambda c: c <= u))))
+
+        return F.when(count.bitwiseAND(F.lit(part)) != 0, let(_uniform(digest, position, 5), look_up)).otherwise(0)
+
+    def rough(mean: Column) -> Column:
+        return let(normal_quantile(_uniform(digest, 1, 8)), lambda z: F.greatest(
+            F.lit(0.0), F.floor(mean + F.sqrt(mean) * z + (z * z - 1) / 6 + 0.5).cast("double")))
 
     small = F.lit(0)
     for i, part in enumerate(_SMALL):
-        small = small + table_draw(part, 1 + 6 * i)
-    big = (count - count % 16).cast("double")
-    rough = let(normal_quantile(_uniform(digest, 25, 8)), lambda z: F.greatest(
-        F.lit(0.0), F.floor(big + F.sqrt(big) * z + (z * z - 1) / 6 + 0.5).cast("double")))
-    return small.cast("double") + F.when(big > 0, rough).otherwise(F.lit(0.0))
+        small = small + table_draw(part, 1 + 5 * i)
+    return F.when(count < _LARGE, small.cast("double")).otherwise(let(count.cast("double"), rough))
 
 
-def _replicates(cells: DataFrame, replicates: int, salt: list[str]) -> DataFrame:
-    """Every cell under every replicate number; number -1 is the data as it is.
+def _interval(cells: DataFrame, keys: list[str], salt: list[str], replicates: int, points: list[str],
+              scale: int = 1) -> DataFrame:
+    """Point values and a percentile interval per key.
 
-    Cells are few bytes, so AQE would leave them in one partition; a fixed repartition spreads
-    them over the cluster before each is multiplied by the number of replicates.
+    `cells` has `_x, _y, _n`, and arrays `_tops, _bottoms` whose sums give the point values as
+    quotients.  Every cell is multiplied by the replicate numbers; the negative ones stand for
+    the point values, so two sums serve everything.  Cells are few bytes and AQE would leave
+    them in one partition; a fixed repartition spreads them first.
     """
     spread = cells.repartition(cells.sparkSession.sparkContext.defaultParallelism)
-    drawn = spread.withColumn("_b", F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1))))
+    numbers = F.sequence(F.lit(-len(points)), F.lit(replicates - 1))
+    drawn = spread.withColumn("_b", F.explode(numbers))
     digest = F.md5(F.concat_ws("-", *[F.col(c).cast("string") for c in salt], F.col("_b").cast("string")))
-    weight = F.when(F.col("_b") < 0, F.col("_n").cast("double")).otherwise(poisson_draw(F.col("_n"), F.col("_digest")))
-    return drawn.withColumn("_digest", digest).withColumn("_w", weight)
-
-
-def _bounds(estimates: DataFrame, keys: list[str], point: str, extras: list[str] = ()) -> DataFrame:
-    """Point estimate and percentile interval per key from one row per key and replicate."""
-    real, redrawn = F.col("_b") < 0, F.when(F.col("_b") >= 0, F.col("_estimate"))
+    redraw = F.col("_b") >= 0
+    weighted = drawn.withColumn("_digest", digest).withColumn(
+        "_w", F.when(redraw, poisson_draw(F.col("_n"), F.col("_digest"))))
+    sums = weighted.groupBy(*keys, "_b").agg(
+        F.sum(F.when(redraw, F.col("_w") * F.col("_x")).otherwise(F.element_at("_tops", -F.col("_b")))).alias("_top"),
+        F.sum(F.when(redraw, F.col("_w") * F.col("_y")).otherwise(F.element_at("_bottoms", -F.col("_b")))).alias("_bottom"))
+    quotient = F.when(F.col("_bottom") > 0, F.col("_top") / (F.col("_bottom") * F.when(redraw, scale).otherwise(1)))
+    estimates = sums.select(*keys, "_b", quotient.alias("_q"))
     return estimates.groupBy(*keys).agg(
-        F.max(F.when(real, F.col("_estimate"))).alias(point),
-        F.percentile(redrawn, F.lit(LEVELS[0])).alias("ci_lower"),
-        F.percentile(redrawn, F.lit(LEVELS[1])).alias("ci_upper"),
-        *[F.max(F.when(real, F.col(name))).alias(name) for name in extras])
+        *[F.max(F.when(F.col("_b") == -1 - i, F.col("_q"))).alias(name) for i, name in enumerate(points)],
+        F.percentile(F.when(redraw, F.col("_q")), F.lit(LEVELS[0])).alias("ci_lower"),
+        F.percentile(F.when(redraw, F.col("_q")), F.lit(LEVELS[1])).alias("ci_upper"))
 
 
 def poisson_ratio(df: DataFrame, keys: list[str], top: str, bottom: str, replicates: int,
@@ -114,19 +134,12 @@ def poisson_ratio(df: DataFrame, keys: list[str], top: str, bottom: str, replica
     successes are skipped.  `means` adds plain means (name -> column) from the same pass
     over the facts."""
     means = means or {}
-    carried = []
-    for name, column in means.items():
-        carried += [F.sum(F.col(column).cast("double")).alias(f"_s_{name}"), F.count(column).alias(f"_c_{name}")]
-    cells = df.groupBy(*keys, F.col(top).cast("long").alias("_x"), F.col(bottom).cast("long").alias("_y")).agg(
-        F.count("*").alias("_n"), *carried)
-    drawn = _replicates(cells, replicates, keys + ["_x", "_y"])
-    real = F.col("_b") < 0
-    estimates = drawn.groupBy(*keys, "_b").agg(
-        F.when(F.sum(F.col("_w") * F.col("_y")) > 0,
-               F.sum(F.col("_w") * F.col("_x")) / F.sum(F.col("_w") * F.col("_y"))).alias("_estimate"),
-        *[F.try_divide(F.sum(F.when(real, F.col(f"_s_{name}"))), F.sum(F.when(real, F.col(f"_c_{name}")))).alias(name)
-          for name in means])
-    return _bounds(estimates, keys, "ratio", list(means))
+    x, y = F.col(top).cast("long"), F.col(bottom).cast("long")
+    sums = [F.sum(x).cast("double"), *[F.coalesce(F.sum(F.col(c).cast("double")), F.lit(0.0)) for c in means.values()]]
+    counts = [F.sum(y).cast("double"), *[F.count(c).cast("double") for c in means.values()]]
+    cells = df.groupBy(*keys, x.alias("_x"), y.alias("_y")).agg(
+        F.count("*").alias("_n"), F.array(*sums).alias("_tops"), F.array(*counts).alias("_bottoms"))
+    return _interval(cells, keys, keys + ["_x", "_y"], replicates, ["ratio", *means])
 
 
 def poisson_mean(df: DataFrame, keys: list[str], value: str, replicates: int, scale: int = 10_000) -> DataFrame:
@@ -137,12 +150,9 @@ def poisson_mean(df: DataFrame, keys: list[str], value: str, replicates: int, sc
     """
     units = F.round(F.col(value).cast("double") * scale).cast("long")
     cells = df.filter(F.col(value).isNotNull()).groupBy(*keys, units.alias("_x")).agg(
-        F.count("*").alias("_n"), F.sum(F.col(value).cast("double")).alias("_s"))
-    drawn = _replicates(cells, replicates, keys + ["_x"])
-    redrawn = F.try_divide(F.sum(F.col("_w") * F.col("_x")), F.sum("_w") * scale)
-    true_mean = F.try_divide(F.sum("_s"), F.sum("_w"))
-    estimates = drawn.groupBy(*keys, "_b").agg(F.when(F.col("_b") < 0, true_mean).otherwise(redrawn).alias("_estimate"))
-    return _bounds(estimates, keys, "mean")
+        F.count("*").alias("_n"), F.array(F.sum(F.col(value).cast("double"))).alias("_tops"),
+        F.array(F.count("*").cast("double")).alias("_bottoms")).withColumn("_y", F.lit(1))
+    return _interval(cells, keys, keys + ["_x"], replicates, ["mean"], scale)
 
 
 def rounded(df: DataFrame, columns: list[str], places: int = 4) -> DataFrame:

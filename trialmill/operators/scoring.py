@@ -57,14 +57,14 @@ def with_sequence_scores(
     }).drop("_names", "_scored", "_best")
 
 
-def score_tools(runs: DataFrame, gold: DataFrame, valid_only: bool = False) -> DataFrame:
-    """Tool metrics for runs; `runs` has `run_id, task_id, tool_calls`.
+def called_names(calls: Column, valid_only: bool = False) -> Column:
+    """Names that enter the score.  Invalid names count by default, as in stored scores."""
+    return F.transform(toolcalls.valid_calls(calls) if valid_only else calls, lambda c: c["tool"])
 
-    By default invalid names count as calls, as the stored scores do.
-    """
-    calls = toolcalls.valid_calls(F.col("tool_calls")) if valid_only else F.col("tool_calls")
-    called = runs.withColumn("tool_names", F.transform(calls, lambda c: c["tool"]))
-    return with_sequence_scores(called.join(small_side(gold), "task_id"))
+
+def score_tools(runs: DataFrame, gold: DataFrame) -> DataFrame:
+    """Tool metrics for runs with `run_id, task_id, tool_names`; runs without gold are left out."""
+    return with_sequence_scores(runs.join(small_side(gold), "task_id"))
 
 
 def intent_preservation(responses: DataFrame, gold: DataFrame, key: str = "task_id") -> DataFrame:

@@ -161,17 +161,17 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored_of(spark: SparkSession, run_frame: DataFrame, gold_frame: DataFrame) -> DataFrame:
-    good = with_calls(run_frame.filter(F.col("error").isNull()))
+    good = run_frame.filter(F.col("error").isNull()).withColumn("tool_names", toolcalls.tool_names(F.col("response")))
     checked = scoring.rule_check(good, rules(spark), "rule_id")
-    slim = checked.drop("response", "hexed")
-    measured = scoring.score_tools(slim, gold_frame)
-    invalid = F.size(F.filter("tool_calls", lambda c: ~c["valid"]))
+    measured = scoring.score_tools(checked.drop("response"), gold_frame)
+    measured = measured.withColumn("valid_names", F.filter("tool_names", lambda t: toolcalls.is_valid_tool(t)))
+    invalid = F.size("tool_names") - F.size("valid_names")
     return measured.withColumns({
         "hallucination_score": F.least(F.lit(2), invalid).cast("long"),
         "intent_fidelity_score": ((F.col("owner") + F.col("total_tool_calls")) % 4).cast("long"),
-        "tool_halluc_rate": F.coalesce(F.try_divide(invalid.cast("double"), F.size("tool_calls")), F.lit(0.0)),
+        "tool_halluc_rate": F.coalesce(F.try_divide(invalid.cast("double"), F.size("tool_names")), F.lit(0.0)),
         "format_compliance": toolcalls.format_compliance(F.col("total_tool_calls")),
-        "kendall_tau": toolcalls.kendall_tau(toolcalls.valid_names(F.col("tool_calls")), F.col("expected_tools")),
+        "kendall_tau": toolcalls.kendall_tau(F.col("valid_names"), F.col("expected_tools")),
     })
 
 

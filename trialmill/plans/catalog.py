@@ -259,7 +259,7 @@ def _long_conditions(spark, sf) -> DataFrame:
     wide = _wide_conditions(spark, sf)
     asked = F.array(*[F.struct(F.lit(c).alias("condition"), F.col(f"condition_{c}").alias("plain")) for c in "ab"],
                     F.struct(F.lit("c").alias("condition"), F.lit(None).cast("string").alias("plain")))
-    return wide.select("doc_id", "condition_c", F.explode(asked).alias("v")).select("doc_id", "condition_c", "v.*")
+    return wide.select("doc_id", "condition_c", F.explode_outer(asked).alias("v")).select("doc_id", "condition_c", "v.*")
 
 
 @query
@@ -338,9 +338,7 @@ def _called(spark, sf) -> DataFrame:
 
 @query
 def extract_tool_calls(spark, sf):
-    calls = _called(spark, sf).select("run_id", F.posexplode("tool_calls").alias("pos", "c"))
-    return calls.select("run_id", F.col("pos").cast("long").alias("pos"), F.col("c.tool").alias("tool"),
-                        F.col("c.params").alias("params"), F.col("c.valid").alias("valid"))
+    return tc.explode_calls(_called(spark, sf), ["run_id"]).select("run_id", F.col("pos").cast("long").alias("pos"), "tool", "params", "valid")
 
 
 @query
@@ -593,7 +591,7 @@ def mcnemar_hallucination(spark, sf):
 @query
 def failure_taxonomy(spark, sf):
     base = b.with_calls(b.runs(spark, sf))
-    named = base.withColumn("tool_names", F.transform("tool_calls", lambda c: c["tool"])).withColumn(
+    named = base.withColumn("tool_names", scoring.called_names(F.col("tool_calls"))).withColumn(
         "invalid_calls", F.size(F.filter("tool_calls", lambda c: ~c["valid"])))
     checked = scoring.with_sequence_scores(named.join(small_side(b.gold(spark, sf)), "task_id"))
     return reports.failure_taxonomy(checked, ["condition"])
@@ -629,7 +627,7 @@ def fig_mean_ci(spark, sf):
     scored = b.scored(spark, sf)
     metrics = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
                         for m in ("intent_fidelity_score", "tool_f1", "kendall_tau")])
-    long = scored.select("condition", F.explode(metrics).alias("m")).select("condition", "m.*")
+    long = scored.select("condition", F.explode_outer(metrics).alias("m")).select("condition", "m.*")
     return resample.mean_with_interval(long.filter(F.col("value").isNotNull()), ["metric", "condition"], "value", CI_REPLICATES)
 
 

@@ -7,7 +7,7 @@ windows, silhouettes and distances come from pair joins, tails from closed serie
 from __future__ import annotations
 
 from ..fixed_values import CASE, CONDITIONS, CONTRACTIONS, FENCE_LANGUAGES, FILLERS, RULES, VALID_TOOLS
-from ..operators.resample import _A, _B, _C, _D, _LOW, _SMALL, poisson_cuts
+from ..operators.resample import _A, _B, _C, _D, _LARGE, _LOW, _SMALL, poisson_cuts
 from .bindings import CODE_MENU, GOLD_MENU, INTENTS, MODELS, TOOL_MENU
 
 HEX = "'0123456789abcdef'"
@@ -289,9 +289,9 @@ def _poisson() -> str:
     for i, part in enumerate(_SMALL):
         cuts = poisson_cuts(part)
         whens = " ".join(f"WHEN u{part} < {c!r}::DOUBLE THEN {k}" for k, c in enumerate(cuts))
-        parts.append(f"CASE WHEN (n & {part}) <> 0 THEN CASE {whens} ELSE {len(cuts)} END ELSE 0 END")
-    big = "CAST(n - n % 16 AS DOUBLE)"
-    parts.append(f"CASE WHEN n >= 16 THEN greatest(0.0::DOUBLE, floor({big} + sqrt({big}) * z + (z * z - 1) / 6 + 0.5::DOUBLE)) "
+        parts.append(f"CASE WHEN n < {_LARGE} AND (n & {part}) <> 0 THEN CASE {whens} ELSE {len(cuts)} END ELSE 0 END")
+    mean = "CAST(n AS DOUBLE)"
+    parts.append(f"CASE WHEN n >= {_LARGE} THEN greatest(0.0::DOUBLE, floor({mean} + sqrt({mean}) * z + (z * z - 1) / 6 + 0.5::DOUBLE)) "
                  "ELSE 0.0::DOUBLE END")
     return " + ".join(parts)
 
@@ -299,7 +299,7 @@ def _poisson() -> str:
 def _boot(keys: list[str], cells: str, salt: list[str], estimate: str) -> str:
     """CTEs from a `cells` select (keys, x[, y], n) to `bounds(keys, ci_lower, ci_upper)`."""
     k = ", ".join(keys)
-    units = ", ".join(f"{_unit(1 + 6 * i, 6)} AS u{p}" for i, p in enumerate(_SMALL)) + f", {_unit(25, 8)} AS u"
+    units = ", ".join(f"{_unit(1 + 5 * i, 5)} AS u{p}" for i, p in enumerate(_SMALL)) + f", {_unit(1, 8)} AS u"
     edge = "sqrt(-2 * ln(least(u, 1 - u)))"
     tail = f"({_poly(_C, edge)} / ({_poly(_D, edge)} * {edge} + 1))"
     r = "((u - 0.5::DOUBLE) * (u - 0.5::DOUBLE))"

@@ -21,16 +21,18 @@ def keep_first_columns(names: list[str]) -> list[int]:
     return kept
 
 
-def read_corpus(spark: SparkSession, path: str, types: dict[str, str] | None = None) -> DataFrame:
+def read_corpus(spark: SparkSession, path: str, types: dict[str, str] | None = None,
+                multi_line: bool = False) -> DataFrame:
     """A headered CSV with trimmed lower-case names and repeated columns dropped.
 
     Only the header line is read ahead; columns are text unless `types` says otherwise.
+    `multi_line` allows line breaks inside quotes, at the price that files are not split.
     """
     header = spark.read.csv(path, header=False).first()
     names = normal_names([v or "" for v in header])
     slots = [f"_{i}" for i in range(len(names))]
     schema = T.StructType([T.StructField(s, T.StringType()) for s in slots])
-    raw = spark.read.csv(path, header=True, schema=schema, enforceSchema=True, multiLine=True, escape='"')
+    raw = spark.read.csv(path, header=True, schema=schema, enforceSchema=True, multiLine=multi_line, escape='"')
     types = types or {}
     return raw.select([
         (F.col(slots[i]).try_cast(types[names[i]]) if names[i] in types else F.col(slots[i])).alias(names[i])
