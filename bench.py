@@ -15,8 +15,7 @@ from trialmill.session import build_session  # noqa: E402
 
 HEADLINE = [
     "condition_overall", "best_sequence_f1", "bootstrap_cpstc", "silhouette_exact", "extract_tool_calls",
-    "rule_check", "clean_text", "upsert_results", "pending_runs", "paired_ttest", "kendall_tau", "fig_latency",
-    "lloyd_step", "corpus_profile",
+    "clean_text", "upsert_results", "paired_ttest", "fig_latency", "lloyd_step",
 ]
 
 

@@ -309,3 +309,24 @@ def test_corpus_helpers(spark):
     got = sampling.corpus_profile(df, "utterance", ["intent"]).first()
     assert (got["words_mean"], got["words_max"], got["language_pct"], got["framework_pct"]) == (2.0, 3, 50.0, 50.0)
     assert df.select(tx.count_tokens(F.lit("a, b!"))).first()[0] == 4
+
+
+def test_small_side_hints_only_small_frames(spark):
+    from trialmill.session import planned_bytes, small_side
+
+    small = spark.range(10)
+    big = spark.range(10**9)
+    plan = lambda df: df._jdf.queryExecution().analyzed().toString()
+    assert planned_bytes(small) < planned_bytes(big)
+    assert "ResolvedHint" in plan(small_side(small)) and "ResolvedHint" not in plan(small_side(big))
+
+
+def test_own_folder_when_session_names_none(spark):
+    from trialmill import session
+
+    class Nameless:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = type("Context", (), {"applicationId": "app-1"})
+
+    assert session.shared_dir(Nameless()) == session.shared_dir(Nameless())
+    assert session.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
