@@ -330,3 +330,17 @@ def test_own_folder_when_session_names_none(spark):
 
     assert session.shared_dir(Nameless()) == session.shared_dir(Nameless())
     assert session.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_rescoring_touches_its_columns_only(spark):
+    scores = spark.createDataFrame([("r1", 0.1, True), ("r9", 0.9, None)], "run_id string, tool_f1 double, functional_correct boolean")
+    scores = tables.evolve(scores, schemas.SCORES)
+    gold = spark.createDataFrame([("t1", ["a"], ["a"], [])], "task_id string, expected_tools array<string>, "
+                                 "minimum_required_tools array<string>, alternative_tool_sequences array<array<string>>")
+    runs = spark.createDataFrame([("r1", "t1", ["a"], "PAY"), ("r2", "t1", ["b"], "none"), ("r3", "t2", ["a"], "pay")],
+                                 "run_id string, task_id string, tool_names array<string>, response string")
+    got = scoring.rescore_tools(scores, runs, gold).select("run_id", "tool_f1", "min_req_met", "functional_correct")
+    assert rows(got, "run_id") == [("r1", 1.0, 1, True), ("r2", 0.0, 0, None), ("r3", None, None, None), ("r9", 0.9, None, None)]
+    rules = spark.createDataFrame([("t1", True, ["pay"])], "task_id string, ignore_case boolean, any_of array<string>")
+    got = scoring.rescore_functional(scores, runs, rules).select("run_id", "tool_f1", "functional_correct")
+    assert rows(got, "run_id") == [("r1", 0.1, True), ("r2", None, False), ("r3", None, None), ("r9", 0.9, None)]

@@ -127,12 +127,11 @@ def quality_report(master: DataFrame, text: str) -> DataFrame:
         F.count_if("has_unit_test").alias("with_tests"),
         F.count_if(~F.col("has_unit_test")).alias("without_tests"),
     )
-    one = F.lit(1).alias("_one")
-    parts = [whole, repeats("task_id", "repeated_ids"), repeats(text, "repeated_texts")]
-    report = parts[0].withColumn("_one", one)
-    for part in parts[1:]:
-        report = report.join(part.withColumn("_one", one), "_one")
-    return report.drop("_one")
+    # Three one-row frames, stacked and folded into one.
+    stacked = whole
+    for part in (repeats("task_id", "repeated_ids"), repeats(text, "repeated_texts")):
+        stacked = stacked.unionByName(part, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
 
 
 def assert_quality(report: DataFrame, expected_rows: int | None = None) -> None:

@@ -8,6 +8,7 @@ from ..functions import toolcalls, vectors
 from ..functions.arrays import let
 from ..functions.text import first_code_block
 from ..session import small_side
+from .tables import ensure_keys, partial_update
 
 
 def with_sequence_scores(
@@ -113,6 +114,26 @@ def rescore_selection(runs: DataFrame, model: str | None = None) -> DataFrame:
     return good.filter(F.col("model") == model) if model else good
 
 
+TOOL_COLUMNS = ["tool_precision", "tool_recall", "tool_f1", "total_tool_calls", "redundant_calls",
+                "first_call_correct", "min_req_met"]
+
+
+def rescore_tools(scores: DataFrame, runs: DataFrame, gold: DataFrame) -> DataFrame:
+    """The score table with the tool columns of `runs` recomputed and all others untouched.
+
+    `runs` has `run_id, task_id, tool_names`; runs not in the table yet get a row.
+    """
+    fresh = score_tools(runs, gold).select("run_id", *TOOL_COLUMNS)
+    return partial_update(ensure_keys(scores, runs, "run_id"), fresh, "run_id", TOOL_COLUMNS)
+
+
+def rescore_functional(scores: DataFrame, runs: DataFrame, rules: DataFrame, key: str = "task_id") -> DataFrame:
+    """The score table with `functional_correct` recomputed for runs whose task has rules."""
+    tested = runs.join(small_side(rules.select(key).distinct()), key, "left_semi")
+    fresh = rule_check(tested, rules, key).select("run_id", "functional_correct")
+    return partial_update(ensure_keys(scores, runs, "run_id"), fresh, "run_id", ["functional_correct"])
+
+
 def score_summary(runs: DataFrame, scores: DataFrame) -> DataFrame:
     joined = runs.select("run_id", "condition", "total_tokens").join(
         scores.select("run_id", "intent_fidelity_score", "tool_f1", "hallucination_score"), "run_id")
