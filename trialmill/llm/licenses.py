@@ -167,7 +167,7 @@ class Scanner:
             got += near * self.weights[w]
         for s, g in zip(starts.tolist(), got.tolist()):
             if g >= self.least[t] and all(_phrase_at(ids, k, s - slack, s + len(template.words) + slack) for k in template.keys):
-                yield t, max(0, s), min(1.0, g / self.whole[t])
+                yield t, max(0, s), round(g / self.whole[t], 9)
 
 
 def scan_licenses(docs: DataFrame, index: Index | None = None, share: float = 0.8) -> DataFrame:

@@ -34,14 +34,14 @@ def water_fill(rows: DataFrame, by: list[str], amount: str, weight: str, cap: st
     Rows sorted by cap over weight fill up in that order.  The level rises while rows are full and falls
     after the first that is not, so one pass of running sums finds it as a maximum.  Adds `level`: a row's share is least(cap, level * weight).
     """
-    ordered = Window.partitionBy(*by).orderBy((F.col(cap) / F.col(weight)).asc(), *order)
+    ordered = Window.partitionBy(*by).orderBy(F.try_divide(F.col(cap), F.col(weight)).asc(), *order)
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
     group = Window.partitionBy(*by)
     return (
         rows.withColumn("_caps", F.coalesce(F.sum(cap).over(before), F.lit(0)))
         .withColumn("_gone", F.coalesce(F.sum(weight).over(before), F.lit(0)))
         .withColumn("_all", F.sum(weight).over(group))
-        .withColumn("_level", (F.col(amount) - F.col("_caps")) / (F.col("_all") - F.col("_gone")))
+        .withColumn("_level", F.try_divide(F.col(amount) - F.col("_caps"), F.col("_all") - F.col("_gone")))
         .withColumn("level", F.max(F.when(F.col("_level") * F.col(weight) <= F.col(cap), F.col("_level"))).over(group))
         .drop("_caps", "_gone", "_all", "_level")
     )

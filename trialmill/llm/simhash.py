@@ -64,15 +64,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp) of every row; fp holds the 64 bits as a long."""
+    """(doc_id, th, fp) of every row; fp holds the 64 bits as a long, th is the text's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([fingerprint(t, shingle, seed) for t in utf8(batch.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
+            values = np.array([fingerprint(t, shingle, seed) for t in utf8(batch.column(2))], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values.view(np.int64))], names=["doc_id", "th", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, th bigint, fp bigint")
 
 
 def group_links(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -146,15 +147,15 @@ def fingerprint_links(points: DataFrame, radius: int = RADIUS, bucket: int = BUC
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, bucket: int = BUCKET) -> DataFrame:
-    """(doc_id, fp, component_id) of every row; component_id is the smallest doc_id reachable by links."""
+    """(doc_id, th, fp, root, component_id) of every row; component_id is the smallest doc_id reachable by links."""
     prints = cut_lineage(fingerprints(docs, shingle, seed))
     points = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = connected_components(fingerprint_links(points.select("fp"), radius, bucket))
     rooted = points.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = cut_lineage(rooted)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.select("fp", "root").join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return prints.join(classes, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    classes = rooted.select("fp", "root").join(least, "root").select(F.col("fp").alias("_fp"), "root", "component_id")
+    return prints.join(classes, F.col("fp") == F.col("_fp")).select("doc_id", "th", "fp", "root", "component_id")
 
 
 def hex_print(fp):
@@ -162,22 +163,20 @@ def hex_print(fp):
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One row of each group of near-duplicates: the one with the smallest doc_id.
+    """One row of each group of near-duplicates.
 
-    Rows without doc_id stay unless they share a group with one that has it; of rows that repeat the
-    kept doc_id the one with the least text hash stays, and one of equal rows.
+    The row with the smallest doc_id stays, a row without one only where its group has none; texts
+    under one id are ordered by their hash, and of equal rows one stays.
     """
-    found = near_duplicates(docs, **options)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    alone = found.where(F.col("component_id").isNull())
-    rows = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    many = cut_lineage(rows.groupBy(F.col("doc_id").alias("_many")).count().where("count > 1").select("_many"))
-    once = rows.join(many, F.col("doc_id") == F.col("_many"), "left_anti")
-    rest = rows.join(many, F.col("doc_id") == F.col("_many"), "left_semi").dropDuplicates(["doc_id"])
-    unnamed = docs.where(F.col("doc_id").isNull())
-    if alone.select("fp").limit(1).count():
-        mark = fresh(docs, "_row")
-        unnamed = unnamed.withColumn(mark, F.struct(*docs.columns)).groupBy(F.xxhash64("text")).agg(F.first(mark).alias(mark))
-        unnamed = unnamed.select(f"{mark}.*")
-        return once.unionByName(rest).unionByName(unnamed)
-    return once.unionByName(rest)
+    found = cut_lineage(near_duplicates(docs, **options))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
+    kept = found.groupBy("root").agg(F.min(order).alias("_best")).select(F.col("_best.doc_id").alias("_doc"), F.col("_best.th").alias("_th"))
+    again = cut_lineage(found.groupBy("doc_id", "th").count().where("count > 1").select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th")))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_th"))
+    rows = docs.join(kept, same, "left_semi")
+    if not again.take(1):
+        return rows
+    once = rows.join(again, same, "left_anti")
+    mark = fresh(docs, "_row_text")
+    repeated = rows.join(again, same, "left_semi").withColumn(mark, F.xxhash64("text"))
+    return once.unionByName(repeated.dropDuplicates(["doc_id", mark]).drop(mark))
