@@ -344,3 +344,37 @@ def test_rescoring_touches_its_columns_only(spark):
     rules = spark.createDataFrame([("t1", True, ["pay"])], "task_id string, ignore_case boolean, any_of array<string>")
     got = scoring.rescore_functional(scores, runs, rules).select("run_id", "tool_f1", "functional_correct")
     assert rows(got, "run_id") == [("r1", 0.1, True), ("r2", None, False), ("r3", None, None), ("r9", 0.9, None)]
+
+
+def test_repeated_update_keys_leave_one_row(spark):
+    stored = spark.createDataFrame([("r1", 1, 0), ("r2", 2, 0)], "run_id string, x int, y int")
+    twice = spark.createDataFrame([("r1", 3, 1), ("r1", 2, 2)], "run_id string, x int, v int")
+    assert rows(tables.partial_update(stored, twice, "run_id", ["x"], version="v")) == [("r1", 2, 0), ("r2", 2, 0)]
+    assert rows(tables.partial_update(stored, twice, "run_id", ["x"])) == [("r1", 3, 0), ("r2", 2, 0)]
+    keys = spark.createDataFrame([("q",), ("q",), ("r1",)], "run_id string")
+    assert sorted(r.run_id for r in tables.ensure_keys(stored, keys, "run_id").collect()) == ["q", "r1", "r2"]
+
+
+def test_ids_beyond_three_digits_stay_whole(spark):
+    from trialmill.operators import sampling
+    many = spark.range(1001).selectExpr("'a' AS label", "id")
+    ids = {r.task_id for r in sampling.task_ids(many, "label", ["id"]).collect()}
+    assert len(ids) == 1001 and {"a_001", "a_100", "a_1000", "a_1001"} <= ids
+
+
+def test_fractional_costs_are_not_cut(spark):
+    from trialmill.operators import resample
+    df = spark.createDataFrame([("k", 0.9, 1), ("k", 1.8, 1)], "key string, cost double, hit int")
+    assert abs(resample.poisson_ratio(df, ["key"], "cost", "hit", 50).first()["ratio"] - 1.35) < 1e-12
+    exact = resample.multinomial_ratio(df, ["key"], "cost", "hit", 200).first()
+    assert 0.9 <= exact["ci_lower"] <= 1.35 <= exact["ci_upper"] <= 1.8
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from trialmill import session
+
+    class Elsewhere:
+        conf = type("C", (), {"get": staticmethod(lambda key, default=None: "spark://host:7077" if key == "spark.master" else default)})
+
+    with pytest.raises(ValueError):
+        session.shared_dir(Elsewhere())

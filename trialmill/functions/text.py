@@ -11,13 +11,19 @@ from ..fixed_values import CONTRACTIONS, FENCE_LANGUAGES, FILLERS, PLAIN_LABEL,
 
 # Whitespace as Unicode text handling sees it, plus the four ASCII separators.
 _SPACE = r"[\s\x1c-\x1f]"
-_TRIM_CHARS = " \t\n\u000b\f\r\u001c\u001d\u001e\u001f\u0085   　"
+_TRIM_CHARS = " \t\n\u000b\f\r\u001c\u001d\u001e\u001f\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(_TRIM_CHARS))
 
 
+def zero_padded(number: Column, width: int) -> Column:
+    """The number with zeros in front up to `width` digits; a longer one stays whole."""
+    digits = number.cast("string")
+    return F.when(F.length(digits) < width, F.lpad(digits, width, "0")).otherwise(digits)
+
+
 def _contraction_rules() -> list[tuple[str, str]]:
     """(pattern, replacement) pairs: one pass per shared ending instead of one per word.
 

@@ -79,7 +79,7 @@ def seed_centroids(points: DataFrame, label: str, point: str, vec: str, k: int,
 
 
 def kmeans_per_class(points: DataFrame, label: str, point: str, vec: str, dim: int, k: int = 6, restarts: int = 10,
-                     rounds: int = 20, tolerance: float = 1e-4) -> tuple[DataFrame, DataFrame]:
+                     rounds: int = 300, tolerance: float = 1e-4) -> tuple[DataFrame, DataFrame]:
     """(assignments, centroids) of the best of `restarts` runs per class.
 
     All classes and restarts move together; a round is one pass over the points.  Centroids
@@ -96,6 +96,8 @@ def kmeans_per_class(points: DataFrame, label: str, point: str, vec: str, dim: i
         centroids = moved.select(*keys, "cluster", "centroid")
         if shift is None or shift <= tolerance ** 2:
             break
+    else:
+        raise RuntimeError(f"clusters still move after {rounds} rounds")
     inertia = lloyd_step(fanned, centroids, keys, vec, dim).groupBy(*keys).agg(F.sum("inertia").alias("inertia"))
     best = inertia.groupBy(label).agg(F.min_by("restart", F.struct("inertia", "restart")).alias("restart"))
     final = cut_lineage(centroids.join(small_side(best), keys).drop("restart"))

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.arrays import let
+from ..session import cut_lineage
 
 LEVELS = (0.025, 0.975)
 # Break points and coefficients of the rational normal quantile.
@@ -33,6 +34,7 @@ _D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00, 3.754
 _SMALL = (1, 2, 4, 8, 16, 32)
 _LARGE = 64
 _GUIDE = 256
+CELLS_PER_BLOCK = 10_000
 
 
 def poisson_cuts(mean: int) -> list[float]:
@@ -128,13 +130,18 @@ def _interval(cells: DataFrame, keys: list[str], salt: list[str], replicates: in
         F.percentile(F.when(redraw, F.col("_q")), F.lit(LEVELS[1])).alias("ci_upper"))
 
 
+def _number(df: DataFrame, column: str) -> Column:
+    """The column as it is; flags become 0 and 1."""
+    return F.col(column).cast("int") if df.schema[column].dataType.typeName() == "boolean" else F.col(column)
+
+
 def poisson_ratio(df: DataFrame, keys: list[str], top: str, bottom: str, replicates: int,
                   means: dict[str, str] | None = None) -> DataFrame:
     """`ratio` = sum(top) / sum(bottom) per key with its interval; replicates without
     successes are skipped.  `means` adds plain means (name -> column) from the same pass
     over the facts."""
     means = means or {}
-    x, y = F.col(top).cast("long"), F.col(bottom).cast("long")
+    x, y = _number(df, top), _number(df, bottom)
     sums = [F.sum(x).cast("double"), *[F.coalesce(F.sum(F.col(c).cast("double")), F.lit(0.0)) for c in means.values()]]
     counts = [F.sum(y).cast("double"), *[F.count(c).cast("double") for c in means.values()]]
     cells = df.groupBy(*keys, x.alias("_x"), y.alias("_y")).agg(
@@ -168,9 +175,13 @@ def multinomial_ratio(df: DataFrame, keys: list[str], top: str, bottom: str, rep
                       blocks: int = 64, seed: int = 42) -> DataFrame:
     """Interval of sum(top) / sum(bottom) under resampling of exactly n of n rows."""
     cells = (
-        df.groupBy(*keys, F.col(top).cast("long").alias("_x"), F.col(bottom).cast("long").alias("_y"))
+        df.groupBy(*keys, _number(df, top).cast("double").alias("_x"), _number(df, bottom).cast("double").alias("_y"))
         .agg(F.count("*").alias("_n"))
-        .withColumn("_block", F.pmod(F.hash("_x", "_y"), F.lit(blocks)))
+    )
+    cells = cut_lineage(cells)
+    blocks = max(blocks, cells.count() // CELLS_PER_BLOCK)  # a block's draws stay bounded
+    cells = (
+        cells.withColumn("_block", F.pmod(F.hash("_x", "_y"), F.lit(blocks)))
     )
     key_types = ", ".join(f"`{k}` {cells.schema[k].dataType.simpleString()}" for k in keys)
     totals = cells.groupBy(*keys, "_block").agg(F.sum("_n").alias("_n"))
@@ -201,7 +212,7 @@ def multinomial_ratio(df: DataFrame, keys: list[str], top: str, bottom: str, rep
         split_blocks, f"{key_types}, _block int, _draws array<bigint>")
     joined = cells.join(block_draws, keys + ["_block"])
     partial = joined.groupBy(*keys, "_block").applyInPandas(
-        split_cells, f"{key_types}, _b int, _sx bigint, _sy bigint")
+        split_cells, f"{key_types}, _b int, _sx double, _sy double")
     estimates = partial.groupBy(*keys, "_b").agg(
         F.when(F.sum("_sy") > 0, F.sum("_sx") / F.sum("_sy")).alias("_estimate"))
     return estimates.filter(F.col("_estimate").isNotNull()).groupBy(*keys).agg(

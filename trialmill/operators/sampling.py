@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import strip, word_count
+from ..functions.text import strip, word_count, zero_padded
 from ..session import small_side
 
 ENTITY_COLUMNS = ("language", "framework", "error_type")
@@ -64,7 +64,7 @@ def task_ids(selected: DataFrame, label: str, order: list[str]) -> DataFrame:
     """
     rank = F.row_number().over(Window.partitionBy(label).orderBy(*order))
     return selected.withColumn("task_id", F.concat(F.col(label).cast("string"), F.lit("_"),
-                                                   F.lpad(rank.cast("string"), 3, "0")))
+                                                   zero_padded(rank, 3)))
 
 
 def small_class_fallback(df: DataFrame, label: str, order: str, clusters: int) -> DataFrame:
@@ -103,11 +103,11 @@ def tasks_master(tasks: DataFrame, gold: DataFrame) -> DataFrame:
     top = ["has_unit_test", "unit_test_path"]
     nested = [c for c in gold.columns if c not in ("task_id", *top)]
     packed = gold.select("task_id", F.struct(*nested).alias("gold_standard"), *[c for c in top if c in gold.columns])
-    return tasks.join(small_side(packed), "task_id")
+    return tasks.join(packed, "task_id")
 
 
 def missing_gold(tasks: DataFrame, gold: DataFrame) -> DataFrame:
-    return tasks.join(small_side(gold.select("task_id")), "task_id", "left_anti")
+    return tasks.join(gold.select("task_id"), "task_id", "left_anti")
 
 
 def quality_report(master: DataFrame, text: str) -> DataFrame:

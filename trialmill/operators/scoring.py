@@ -65,7 +65,7 @@ def called_names(calls: Column, valid_only: bool = False) -> Column:
 
 def score_tools(runs: DataFrame, gold: DataFrame) -> DataFrame:
     """Tool metrics for runs with `run_id, task_id, tool_names`; runs without gold are left out."""
-    return with_sequence_scores(runs.join(small_side(gold), "task_id"))
+    return with_sequence_scores(runs.join(gold, "task_id"))
 
 
 def intent_preservation(responses: DataFrame, gold: DataFrame, key: str = "task_id") -> DataFrame:
@@ -74,7 +74,7 @@ def intent_preservation(responses: DataFrame, gold: DataFrame, key: str = "task_
     Gold norms are computed once per gold row, before the join.
     """
     right = gold.select(key, F.col("gold_embedding"), vectors.norm(F.col("gold_embedding")).alias("_gold_norm"))
-    joined = responses.join(small_side(right), key)
+    joined = responses.join(right, key)
     return joined.withColumn("intent_preservation", vectors.cosine_from(
         vectors.dot(F.col("gold_embedding"), F.col("embedding")),
         F.col("_gold_norm"), vectors.norm(F.col("embedding")),

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..session import cut_lineage
+
 
 def evolve(df: DataFrame, schema: T.StructType | str) -> DataFrame:
     """Add the columns of `schema` that `df` lacks, as typed NULLs; keep what is there."""
@@ -34,15 +39,25 @@ def keep_last(df: DataFrame, keys: list[str], version: list[str]) -> DataFrame:
 
 def upsert(table: DataFrame, incoming: DataFrame, keys: list[str], version: str) -> DataFrame:
     """Replace or insert whole rows; within `incoming` the greatest version wins, and any
-    incoming row beats the stored one."""
-    stacked = table.withColumn("_source", F.lit(0)).unionByName(
-        incoming.withColumn("_source", F.lit(1)), allowMissingColumns=True)
-    return keep_last(stacked, keys, ["_source", version]).drop("_source")
+    incoming row beats the stored one.
+
+    Only `incoming` is reduced; stored rows are dropped where a new one has their key, without
+    sorting the stored table.
+    """
+    latest = cut_lineage(keep_last(incoming, keys, [version]))
+    replaced = latest.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return table.join(replaced, same, "left_anti").unionByName(latest, allowMissingColumns=True)
+
 
+def partial_update(table: DataFrame, updates: DataFrame, key: str, columns: list[str], version: str | None = None) -> DataFrame:
+    """Set only `columns` where the key matches; an update may write NULL.
 
-def partial_update(table: DataFrame, updates: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Set only `columns` where the key matches; an update may write NULL."""
-    new = updates.select(key, F.struct(*columns).alias("_new"))
+    Of several updates of a key the one with the greatest `version` counts, without a version the
+    greatest values.
+    """
+    values = F.struct(*columns)
+    new = updates.groupBy(key).agg((F.max_by(values, F.col(version)) if version else F.max(values)).alias("_new"))
     joined = table.join(new, key, "left")
     changed = {c: F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)) for c in columns}
     return joined.withColumns(changed).drop("_new").select(*table.columns)
@@ -50,7 +65,7 @@ def partial_update(table: DataFrame, updates: DataFrame, key: str, columns: list
 
 def ensure_keys(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Give every key a row; new rows hold NULL everywhere else."""
-    absent = keys.select(key).join(table.select(key), key, "left_anti")
+    absent = keys.select(key).join(table.select(key), key, "left_anti").distinct()
     return table.unionByName(absent, allowMissingColumns=True)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..fixed_values import CASE, COMPOSITE_INTENT, CONDITIONS, RULES, SAMPLED_INTENTS
 from ..functions import toolcalls
+from ..functions.text import zero_padded
 from ..operators import scoring
 from ..session import fan_out, inline_table, small_side
 
@@ -60,7 +61,7 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tasks_of(events: DataFrame) -> DataFrame:
     user = F.col("user_id")
     return events.select(
-        F.concat(F.lit("task_"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("task_id"),
+        F.concat(F.lit("task_"), zero_padded(F.col("event_id"), 12)).alias("task_id"),
         F.col("event_id").alias("task_no"),
         F.element_at(_literals(INTENTS), (user % 8 + 1).cast("int")).alias("intent"),
         user.alias("owner"),
@@ -206,7 +207,7 @@ def structured_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.concat(F.lit("please handle "), F.col("topic"), F.lit(" number "), F.col("k").cast("string"))
     good = F.concat(
         F.lit('{"raw_utterance": "'), raw, F.lit('", "normalized": "handle '), F.col("topic"), F.lit('", "intent": "'),
-        F.col("intent"), F.lit('", "confidence_score": 0.'), F.lpad(F.col("k").cast("string"), 2, "0"),
+        F.col("intent"), F.lit('", "confidence_score": 0.'), zero_padded(F.col("k"), 2),
         F.lit(', "entities": {"error_type": null, "component": "'), F.col("topic"),
         F.lit('", "language": "sql", "framework": null}}'))
     reply = (

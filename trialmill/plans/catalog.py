@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx, toolcalls as tc, vectors as vx
 from ..operators import clustering, grid, inference, reports, resample, sampling, scoring, tables
-from ..session import shared_dir, small_side
+from ..session import shared_dir
 from ..sources import schemas
 from ..streaming import incremental
 from . import bindings as b
@@ -379,7 +379,7 @@ def format_compliance(spark, sf):
 def _slim(spark, sf) -> DataFrame:
     good = b.runs(spark, sf).filter(F.col("error").isNull())
     return good.select("run_id", "task_id", tc.tool_names(F.col("response")).alias("tool_names")).join(
-        small_side(b.gold(spark, sf)), "task_id")
+        b.gold(spark, sf), "task_id")
 
 
 @query
@@ -436,6 +436,7 @@ def first_code_block(spark, sf):
         F.when(kind == 0, F.concat(F.lit("Here:\n```Python\n"), F.col("text"), F.lit("\n```\nand\n```\nmore\n```")))
         .when(kind == 1, F.concat(F.lit("```sql\n```\n"), F.col("text")))
         .when(kind == 2, F.concat(F.lit("  "), F.col("text"), F.lit(" ```rust\nx``` \n")))
+        .otherwise(F.col("text"))
     )
     return turns.select("conv_id", F.col("turn"), tx.first_code_block(response).alias("code"))
 
@@ -531,9 +532,10 @@ def describe_metric(spark, sf):
 
 @query
 def kendall_tau(spark, sf):
-    good = b.runs(spark, sf).filter(F.col("error").isNull()).join(small_side(b.gold(spark, sf)), "task_id")
     names = F.filter(tc.tool_names(F.col("response")), lambda t: tc.is_valid_tool(t))
-    return good.select("run_id", F.round(tc.kendall_tau(names, F.col("expected_tools")), 6).alias("tau"))
+    good = b.runs(spark, sf).filter(F.col("error").isNull()).select("run_id", "task_id", names.alias("names"))
+    scored = good.join(b.gold(spark, sf), "task_id")
+    return scored.select("run_id", F.round(tc.kendall_tau(F.col("names"), F.col("expected_tools")), 6).alias("tau"))
 
 
 @query
@@ -593,7 +595,7 @@ def failure_taxonomy(spark, sf):
     base = b.with_calls(b.runs(spark, sf))
     named = base.withColumn("tool_names", scoring.called_names(F.col("tool_calls"))).withColumn(
         "invalid_calls", F.size(F.filter("tool_calls", lambda c: ~c["valid"])))
-    checked = scoring.with_sequence_scores(named.join(small_side(b.gold(spark, sf)), "task_id"))
+    checked = scoring.with_sequence_scores(named.join(b.gold(spark, sf), "task_id"))
     return reports.failure_taxonomy(checked, ["condition"])
 
 

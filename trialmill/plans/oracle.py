@@ -27,7 +27,7 @@ PATTERN = r"(?i)TOOL_CALL:\s*([\p{L}\p{M}\p{N}_]+)\s*\(([^)]*)\)"
 
 TASKS = f"""
 tasks AS (
-  SELECT 'task_' || lpad(CAST(event_id AS VARCHAR), 12, '0') AS task_id, event_id AS task_no,
+  SELECT 'task_' || lpad(CAST(event_id AS VARCHAR), CAST(greatest(12, length(CAST(event_id AS VARCHAR))) AS INTEGER), '0') AS task_id, event_id AS task_no,
          list_extract({_lst(INTENTS)}, CAST(user_id % 8 + 1 AS INT)) AS intent, user_id AS owner,
          CAST(user_id % 4 AS INT) AS gold_no,
          CASE WHEN user_id % 2 = 0 THEN list_extract({_lst(list(RULES))}, CAST((user_id // 2) % {len(RULES)} + 1 AS INT)) END AS rule_id,
@@ -478,7 +478,7 @@ def statements() -> dict[str, str]:
         "centroid_distance": f"WITH {DISTANCES} SELECT vec_id, round(distance, 6) AS distance FROM dist",
         "cluster_representatives": f"""WITH {REPS} SELECT CAST(label AS BIGINT) AS label, CAST(cluster AS BIGINT) AS cluster, vec_id,
             round(distance, 6) AS distance FROM reps""",
-        "task_ids": f"""WITH {REPS} SELECT label || '_' || lpad(CAST(row_number() OVER (PARTITION BY label ORDER BY cluster) AS VARCHAR), 3, '0')
+        "task_ids": f"""WITH {REPS} SELECT label || '_' || format('{{:03d}}', row_number() OVER (PARTITION BY label ORDER BY cluster))
             AS task_id, vec_id FROM reps""",
         "append_composites": f"""WITH {UTTERANCES} SELECT 'doc_' || doc_id AS task_id, intent, length(utterance) AS n_chars,
             'dataset_sampled' AS source, CAST(0 AS BIGINT) AS cluster, CAST(NULL AS VARCHAR) AS sub_intents,
@@ -571,7 +571,7 @@ def statements() -> dict[str, str]:
         "first_code_block": f"""WITH r AS (SELECT conv_id, turn, CASE conv_id % 4
             WHEN 0 THEN 'Here:' || chr(10) || '```Python' || chr(10) || text || chr(10) || '```' || chr(10) || 'and' || chr(10) || '```' || chr(10) || 'more' || chr(10) || '```'
             WHEN 1 THEN '```sql' || chr(10) || '```' || chr(10) || text
-            WHEN 2 THEN '  ' || text || ' ```rust' || chr(10) || 'x``` ' || chr(10) END AS response FROM conversations)
+            WHEN 2 THEN '  ' || text || ' ```rust' || chr(10) || 'x``` ' || chr(10) ELSE text END AS response FROM conversations)
             SELECT conv_id, turn, coalesce({_code('response')}, '') AS code FROM r""",
         "rule_check": f"WITH {RUNS}{CHECKED} SELECT run_id, functional_correct FROM checks",
         "unscored_runs": f"WITH {_THIN} SELECT run_id FROM thin WHERE topic IN ('view', 'signup')",

@@ -33,11 +33,16 @@ _OWN_FOLDERS: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's `spark.checkpoint.dir`.
 
-    Only where the session names none (tests on one machine) a temporary one is made.
+    Only on one machine (a local master, as in tests) a session may name none; a temporary folder
+    is made then.  A cluster without a shared folder is refused: executors would write to their own
+    disks and read back missing rows.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    master = spark.conf.get("spark.master", "")
+    if master.split("[")[0] != "local":
+        raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
     app = spark.sparkContext.applicationId
     if app not in _OWN_FOLDERS:
         _OWN_FOLDERS[app] = tempfile.mkdtemp(prefix="trialmill-")
@@ -61,10 +66,14 @@ def planned_bytes(df: DataFrame) -> int:
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """Hint a broadcast only when the estimated size is under `limit`.
+    """Hint a broadcast for a table with few rows by construction (a row per class, cluster or rule).
 
-    Above it the frame is returned as it is, so the join shuffles and AQE splits hot keys.
+    Catalyst's estimate of an aggregate grows with its input, so above `limit` the table is written
+    and its files are measured.  What is still larger is returned without a hint: the join shuffles
+    and AQE splits hot keys.  Sides that grow with the data get no hint at all.
     """
+    if planned_bytes(df) > limit:
+        df = cut_lineage(df)
     return F.broadcast(df) if planned_bytes(df) <= limit else df
 
 
