@@ -192,5 +192,17 @@ def test_distributions(spark):
     assert value(dist.f_tail(lit(3.105875), lit(5), lit(12))) == pytest.approx(0.05, abs=1e-6)
     for b, c, p in ((5, 10, 0.301758), (0, 0, 1), (3, 3, 1), (1, 8, 0.039063)):
         assert value(dist.binomial_two_sided_half(lit(min(b, c)), lit(b + c))) == pytest.approx(p, abs=1e-6)
-    exact = value(dist._binomial_sum(lit(49_700), lit(100_000)))
-    assert value(dist._beta_half(lit(49_700), lit(100_000))) == pytest.approx(exact, rel=1e-6)
+    cases = [(k, n) for n in (1, 2, 3, 9, 100, 1001, 99_999, 100_000, 100_001)
+             for k in sorted({0, n // 3, max(0, n // 2 - int(n ** 0.5)), n // 2})]
+    frame = spark.createDataFrame(cases, "k long, n long")
+    for k, n, got in frame.select("k", "n", dist.binomial_two_sided_half(F.col("k"), F.col("n"))).collect():
+        logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2) for i in range(k + 1)]
+        exact = min(1.0, 2 * math.fsum(map(math.exp, logs)))
+        assert got == pytest.approx(exact, rel=1e-7, abs=1e-300)
+    # far out a binomial is normal
+    far = value(dist.binomial_two_sided_half(lit(10**12 // 2 - 10**6), lit(10**12)))
+    assert far == pytest.approx(0.0455003, abs=1e-6)
+    freedoms = spark.createDataFrame([(d,) for d in (1, 2, 3, 199, 200, 201, 202, 10**6)], "df long")
+    back = freedoms.withColumn("t", dist.t_critical(F.col("df"))).select(dist.t_two_sided(F.col("t"), F.col("df")))
+    for row in back.collect():
+        assert row[0] == pytest.approx(0.05, rel=1e-9)

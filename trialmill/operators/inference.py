@@ -124,13 +124,21 @@ def one_way_anova(df: DataFrame, by: list[str], factor: str, value: str, levels:
         F.when(enough, "ok").otherwise("insufficient").alias("status"))
 
 
-def two_way_anova(df: DataFrame, block: str, first: str, second: str, value: str, cells: int) -> DataFrame:
-    """Two factors with interaction on complete blocks (every cell of a block present).
+def two_way_anova(df: DataFrame, block: str, first: str, second: str, value: str,
+                  first_levels: list[str], second_levels: list[str]) -> DataFrame:
+    """Two factors with interaction on complete blocks (every cell of a block holds one value).
 
-    One pass reduces to one row per cell; all sums of squares follow from those rows.
+    A block is one row with a column per cell, which combines before the shuffle; all sums of
+    squares follow from the cells' statistics.
     """
-    counted = df.withColumn("_c", F.count("*").over(Window.partitionBy(block)))
-    cell = _group_stats(counted.filter(F.col("_c") == cells), [first, second], value)
+    pairs = [(x, y) for x in first_levels for y in second_levels]
+    inside = [F.when((F.col(first) == x) & (F.col(second) == y), F.col(value)) for x, y in pairs]
+    blocks = df.groupBy(block).agg(
+        F.count("*").alias("_rows"), F.array(*[F.avg(c) for c in inside]).alias("_cells"))
+    whole = blocks.filter((F.col("_rows") == len(pairs)) & F.forall("_cells", lambda c: c.isNotNull()))
+    named = F.array(*[F.struct(F.lit(x).alias(first), F.lit(y).alias(second), F.col("_cells")[i].alias(value))
+                      for i, (x, y) in enumerate(pairs)])
+    cell = _group_stats(whole.select(F.explode(named).alias("_cell")).select("_cell.*"), [first, second], value)
     every = Window.partitionBy(F.lit(1))
     cell = cell.withColumns({
         "g": F.avg("m").over(every),

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import toolcalls, vectors
 from ..functions.arrays import let
-from ..functions.text import first_code_block
-from ..session import small_side
-from .tables import ensure_keys, partial_update
+from ..functions.text import first_code_block, judge_score
+from ..session import cut_lineage, small_side
+from ..sources.schemas import SCORES
+from .tables import ensure_keys, evolve, partial_update
 
 
 def with_sequence_scores(
@@ -134,6 +135,38 @@ def rescore_functional(scores: DataFrame, runs: DataFrame, rules: DataFrame, key
     return partial_update(ensure_keys(scores, runs, "run_id"), fresh, "run_id", ["functional_correct"])
 
 
+def rescore_intent(scores: DataFrame, replies: DataFrame, reply: str = "fidelity_reply") -> DataFrame:
+    """The score table with `intent_fidelity_score` read again from the judge's replies by `run_id`."""
+    fresh = replies.select("run_id", judge_score(F.col(reply))[0].alias("intent_fidelity_score"))
+    return partial_update(ensure_keys(scores, replies, "run_id"), fresh, "run_id", ["intent_fidelity_score"])
+
+
+def standard_scoring(runs: DataFrame, scores: DataFrame, gold: DataFrame, rules: DataFrame, replies: DataFrame,
+                     rule_key: str = "task_id") -> DataFrame:
+    """The whole score table after every good run without a finished score was scored.
+
+    `runs` is the run log with the response's `embedding`; `gold` has the tool sequences and
+    `gold_embedding`; `replies` has one row a run with `hallucination_reply` and `fidelity_reply`.
+    Tool scores, rule check and cosine are row-local after one join with gold; a missing or broken
+    judge reply counts 0.  Runs without gold keep the row they had.
+    """
+    due = unscored_runs(runs, scores)
+    named = due.withColumn("tool_names", called_names(toolcalls.extract_tool_calls(F.col("response"))))
+    slim = rule_check(named, rules, rule_key).select("run_id", "task_id", "tool_names", "embedding", "functional_correct")
+    told = score_tools(slim, gold).join(replies.select("run_id", "hallucination_reply", "fidelity_reply"), "run_id", "left")
+    kept = vectors.cosine_from(
+        vectors.dot(F.col("gold_embedding"), F.col("embedding")),
+        vectors.norm(F.col("gold_embedding")), vectors.norm(F.col("embedding")))
+    full = told.withColumns({
+        "intent_preservation": F.round(kept, 4),
+        "hallucination_score": judge_score(F.col("hallucination_reply"))[0].cast("long"),
+        "intent_fidelity_score": judge_score(F.col("fidelity_reply"))[0].cast("long"),
+    })
+    stored = evolve(scores, SCORES)
+    fresh = cut_lineage(evolve(full, SCORES).select(*stored.columns))
+    return stored.join(fresh.select("run_id"), "run_id", "left_anti").unionByName(fresh)
+
+
 def score_summary(runs: DataFrame, scores: DataFrame) -> DataFrame:
     joined = runs.select("run_id", "condition", "total_tokens").join(
         scores.select("run_id", "intent_fidelity_score", "tool_f1", "hallucination_score"), "run_id")

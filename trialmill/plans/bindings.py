@@ -162,9 +162,38 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored_of(spark: SparkSession, run_frame: DataFrame, gold_frame: DataFrame) -> DataFrame:
+    return _judged(scoring.score_tools(_checked(spark, run_frame), gold_frame))
+
+
+def scored_in_place(spark: SparkSession, run_frame: DataFrame) -> DataFrame:
+    """As `scored_of`, with the gold standard derived in the row itself: no join with a gold table, so a
+    stream reads nothing beside its own batch."""
+    checked = _checked(spark, run_frame.filter(F.col("owner") % 50 != 7))
+    return _judged(scoring.with_sequence_scores(checked.select("*", *gold_columns(F.col("gold_no")))))
+
+
+def _checked(spark: SparkSession, run_frame: DataFrame) -> DataFrame:
     good = run_frame.filter(F.col("error").isNull()).withColumn("tool_names", toolcalls.tool_names(F.col("response")))
-    checked = scoring.rule_check(good, rules(spark), "rule_id")
-    measured = scoring.score_tools(checked.drop("response"), gold_frame)
+    return scoring.rule_check(good, rules(spark), "rule_id").drop("response")
+
+
+def score_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Runs with response vectors, gold with reference vectors, and two judge replies a run."""
+    run_frame = runs(spark, sf_dir)
+    vector = F.array(*[c.cast("double") for c in (F.col("planned_calls") + 1, F.col("k") % 7, F.lit(2))])
+    reference = F.array(*[c.cast("double") for c in (F.col("k") % 5, F.lit(1), F.col("owner") % 3)])
+    base = tasks(spark, sf_dir).filter(F.col("owner") % 50 != 7)
+    gold_frame = base.select("task_id", *gold_columns(F.col("gold_no")), reference.alias("gold_embedding"))
+    fidelity = F.when(F.col("topic") == "error", F.lit("no verdict")).otherwise(
+        F.concat(F.lit('Verdict: {"score": "'), (F.col("k") % 4).cast("string"), F.lit('"}')))
+    replies = run_frame.filter(F.col("error").isNull()).select(
+        "run_id",
+        F.concat(F.lit('{"score": '), (F.col("planned_calls") % 3).cast("string"), F.lit("}")).alias("hallucination_reply"),
+        fidelity.alias("fidelity_reply"))
+    return run_frame.withColumn("embedding", vector), gold_frame, replies
+
+
+def _judged(measured: DataFrame) -> DataFrame:
     measured = measured.withColumn("valid_names", F.filter("tool_names", lambda t: toolcalls.is_valid_tool(t)))
     invalid = F.size("tool_names") - F.size("valid_names")
     return measured.withColumns({

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..fixed_values import CONDITIONS
 from ..functions import text as tx, toolcalls as tc, vectors as vx
 from ..operators import clustering, grid, inference, reports, resample, sampling, scoring, tables
 from ..session import shared_dir
@@ -464,6 +465,43 @@ def rescore_selection(spark, sf):
     return scoring.rescore_selection(b.runs(spark, sf), "m0").select("run_id")
 
 
+def _score_table(runs: DataFrame) -> DataFrame:
+    """A stored score table in its full width: finished rows, rows only reserved (`view`), none for `signup`."""
+    done = F.col("topic") != "view"
+    rows = runs.filter(F.col("error").isNull() & (F.col("topic") != "signup")).select(
+        "run_id", F.when(done, F.col("planned_calls") / F.lit(10.0)).alias("tool_f1"),
+        F.when(done, F.col("k") % 3).cast("long").alias("intent_fidelity_score"))
+    return tables.evolve(rows, schemas.SCORES)
+
+
+@query
+def standard_scoring(spark, sf):
+    runs, gold, replies = b.score_inputs(spark, sf)
+    return scoring.standard_scoring(runs, _score_table(runs), gold, b.rules(spark), replies, "rule_id")
+
+
+@query
+def rescore_tools(spark, sf):
+    runs = b.runs(spark, sf)
+    good = runs.filter(F.col("error").isNull()).select("run_id", "task_id", tc.tool_names(F.col("response")).alias("tool_names"))
+    return scoring.rescore_tools(_score_table(runs), good, b.gold(spark, sf)).select(
+        "run_id", *scoring.TOOL_COLUMNS, "intent_fidelity_score")
+
+
+@query
+def rescore_functional(spark, sf):
+    runs = b.runs(spark, sf)
+    good = runs.filter(F.col("error").isNull())
+    return scoring.rescore_functional(_score_table(runs), good, b.rules(spark), "rule_id").select(
+        "run_id", "tool_f1", "functional_correct")
+
+
+@query
+def rescore_intent(spark, sf):
+    runs, _, replies = b.score_inputs(spark, sf)
+    return scoring.rescore_intent(_score_table(runs), replies).select("run_id", "tool_f1", "intent_fidelity_score")
+
+
 @query
 def score_summary(spark, sf):
     out = scoring.score_summary(b.runs(spark, sf), b.scored(spark, sf))
@@ -571,7 +609,7 @@ def anova_models(spark, sf):
 
 @query
 def anova_two_way(spark, sf):
-    return inference.two_way_anova(b.scored(spark, sf), "task_id", "condition", "model", "tool_f1", cells=9)
+    return inference.two_way_anova(b.scored(spark, sf), "task_id", "condition", "model", "tool_f1", CONDITIONS, b.MODELS)
 
 
 @query
@@ -707,10 +745,9 @@ def _event_stream(spark, sf) -> DataFrame:
 def stream_scoring(spark, sf):
     """Events arrive, become runs, are scored per batch and read back as the current table."""
     folder = _stream_folder(spark, "scores")
-    gold = b.gold(spark, sf)
 
     def score(events: DataFrame) -> DataFrame:
-        return b.scored_of(spark, b.runs_of(b.tasks_of(events)), gold).select(
+        return b.scored_in_place(spark, b.runs_of(b.tasks_of(events))).select(
             "run_id", "condition", "tool_f1", "min_req_met", "total_tokens")
 
     incremental.score_stream(_event_stream(spark, sf), score, f"{folder}/out", f"{folder}/state")
@@ -720,7 +757,11 @@ def stream_scoring(spark, sf):
 @query
 def stream_summary(spark, sf):
     folder = _stream_folder(spark, "summary")
-    runs = b.runs_of(b.tasks_of(_event_stream(spark, sf))).filter(F.col("error").isNull())
-    sums = [F.count("*").alias("n"), F.sum("total_tokens").alias("tokens"), F.sum("planned_calls").alias("calls")]
-    incremental.running_summary(runs, ["condition"], sums, f"{folder}/out", f"{folder}/state")
-    return spark.read.parquet(f"{folder}/out")
+    """Score averages per condition, kept up while events arrive."""
+    scores = b.scored_in_place(spark, b.runs_of(b.tasks_of(_event_stream(spark, sf))))
+    averages = {"avg_intent_fidelity": "intent_fidelity_score", "avg_f1": "tool_f1",
+                "avg_hallucination": "hallucination_score", "avg_tokens": "total_tokens"}
+    aggregates = [F.count("*").alias("n"), *[F.avg(c).alias(name) for name, c in averages.items()]]
+    incremental.running_summary(scores, ["condition"], aggregates, f"{folder}/out", f"{folder}/state")
+    return incremental.read_summary(spark, f"{folder}/out").select(
+        "condition", "n", *[F.round(name, 4).alias(name) for name in averages])

@@ -427,6 +427,8 @@ def _overall() -> str:
 
 
 _SEQ = RUNS + SEQUENCES
+_STORED = """SELECT run_id, CASE WHEN topic <> 'view' THEN planned_calls / 10.0::DOUBLE END AS tool_f1,
+  CAST(CASE WHEN topic <> 'view' THEN k % 3 END AS BIGINT) AS intent_fidelity_score FROM runs WHERE error IS NULL AND topic <> 'signup'"""
 _THIN = RUNS + """, thin AS (SELECT run_id, topic, planned_calls AS total_tool_calls, CAST(k % 4 AS BIGINT) AS intent_fidelity_score
   FROM runs WHERE error IS NULL)"""
 _GRID = TASKS + f""", grid AS (SELECT task_id || '_cond' || condition || '_' || model AS run_id, task_id, task_no, model, condition
@@ -576,6 +578,24 @@ def statements() -> dict[str, str]:
         "rule_check": f"WITH {RUNS}{CHECKED} SELECT run_id, functional_correct FROM checks",
         "unscored_runs": f"WITH {_THIN} SELECT run_id FROM thin WHERE topic IN ('view', 'signup')",
         "rescore_selection": f"WITH {RUNS} SELECT run_id FROM runs WHERE error IS NULL AND model = 'm0'",
+        "standard_scoring": f"""WITH {SCORED},
+            filled AS (SELECT run_id, round(list_cosine_similarity([CAST(planned_calls + 1 AS DOUBLE), CAST(k % 7 AS DOUBLE), 2.0::DOUBLE],
+                [CAST(k % 5 AS DOUBLE), 1.0::DOUBLE, CAST(owner % 3 AS DOUBLE)]), 4) AS intent_preservation,
+              tool_precision, tool_recall, tool_f1, total_tool_calls, redundant_calls, first_call_correct, min_req_met,
+              CAST(planned_calls % 3 AS BIGINT) AS hallucination_score,
+              CAST(CASE WHEN topic = 'error' THEN 0 ELSE k % 4 END AS BIGINT) AS intent_fidelity_score, functional_correct
+              FROM scored WHERE topic IN ('view', 'signup'))
+            SELECT * FROM filled UNION ALL BY NAME
+            SELECT run_id, tool_f1, intent_fidelity_score FROM ({_STORED}) WHERE run_id NOT IN (SELECT run_id FROM filled)""",
+        "rescore_tools": f"""WITH {SCORED}, stored AS ({_STORED}) SELECT r.run_id, {", ".join(f"b.{c}" for c in (
+            "tool_precision", "tool_recall", "total_tool_calls", "redundant_calls", "first_call_correct", "min_req_met"))},
+            CASE WHEN b.run_id IS NULL THEN s.tool_f1 ELSE b.tool_f1 END AS tool_f1, s.intent_fidelity_score
+            FROM (SELECT run_id FROM runs WHERE error IS NULL) r LEFT JOIN scored b USING (run_id) LEFT JOIN stored s USING (run_id)""",
+        "rescore_functional": f"""WITH {RUNS}{CHECKED}, stored AS ({_STORED}) SELECT c.run_id, s.tool_f1, c.functional_correct
+            FROM checks c LEFT JOIN stored s USING (run_id)""",
+        "rescore_intent": f"""WITH {RUNS}, stored AS ({_STORED}) SELECT r.run_id, s.tool_f1,
+            CAST(CASE WHEN r.topic = 'error' THEN 0 ELSE r.k % 4 END AS BIGINT) AS intent_fidelity_score
+            FROM runs r LEFT JOIN stored s USING (run_id) WHERE r.error IS NULL""",
         "score_summary": _means(["condition"], {"avg_intent_fidelity": "intent_fidelity_score", "avg_f1": "tool_f1",
                                                 "avg_hallucination": "hallucination_score", "avg_tokens": "total_tokens"}),
         "cpstc": f"""WITH {SCORED} SELECT intent, model, condition, CAST(sum(total_tokens) AS BIGINT) AS tokens, CAST(sum(min_req_met) AS BIGINT) AS successes,
@@ -653,6 +673,7 @@ def statements() -> dict[str, str]:
         "fig_tokens": _means(["condition"], {"input": "input_tokens", "output": "output_tokens"}),
         "fig_compliance": _fig_mean(["model", "condition"], "format_compliance"),
         "stream_scoring": f"""WITH {SCORED} SELECT run_id, condition, tool_f1, min_req_met, total_tokens FROM scored""",
-        "stream_summary": f"""WITH {RUNS} SELECT condition, count(*) AS n, CAST(sum(total_tokens) AS BIGINT) AS tokens,
-            CAST(sum(planned_calls) AS BIGINT) AS calls FROM called WHERE error IS NULL GROUP BY condition""",
+        "stream_summary": f"""WITH {SCORED} SELECT condition, count(*) AS n, round(avg(intent_fidelity_score), 4) AS avg_intent_fidelity,
+            round(avg(tool_f1), 4) AS avg_f1, round(avg(hallucination_score), 4) AS avg_hallucination,
+            round(avg(total_tokens), 4) AS avg_tokens FROM scored GROUP BY condition""",
     }

@@ -78,14 +78,12 @@ def small_side(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
 
 
 def fan_out(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread an input that fits in fewer scan tasks than there are cores.
+    """Spread an input whose scan has fewer splits than there are cores.
 
-    Large inputs already arrive in many splits and pass through without a shuffle.
+    What arrives in as many splits as there are cores, whatever its size, passes through without a shuffle.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    if planned_bytes(df) >= cores * split:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, *keys)
 

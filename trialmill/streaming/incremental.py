@@ -45,12 +45,20 @@ def file_stream(spark: SparkSession, folder: str, name: str, schema: T.StructTyp
 
 
 def running_summary(runs: DataFrame, keys: list[str], aggregates: list, out: str, checkpoint: str) -> None:
-    """Streaming aggregate in complete mode; every batch replaces the small summary table."""
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(out)
+    """Streaming aggregate in complete mode; every batch writes the summary anew in a folder of its own,
+    so a reader always finds a finished one."""
+    def replace(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     query = (
         runs.groupBy(*keys).agg(*aggregates).writeStream.outputMode("complete").foreachBatch(replace)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
+
+
+def read_summary(spark: SparkSession, out: str) -> DataFrame:
+    """The summary of the newest batch."""
+    every = spark.read.option("basePath", out).parquet(f"{out}/batch=*")
+    newest = every.agg(F.max("batch").alias("batch"))
+    return every.join(newest, "batch", "left_semi").drop("batch")
