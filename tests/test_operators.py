@@ -325,10 +325,13 @@ def test_own_folder_when_session_names_none(spark):
     from trialmill import session
 
     class Nameless:
-        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
-        sparkContext = type("Context", (), {"applicationId": "app-1"})
+        def __init__(self, master):
+            self.conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: {"spark.master": master}.get(key, default))})
+            self.sparkContext = type("Context", (), {"applicationId": "app-1"})
 
-    assert session.shared_dir(Nameless()) == session.shared_dir(Nameless())
+    assert session.shared_dir(Nameless("local[2]")) == session.shared_dir(Nameless("local[2]"))
+    with pytest.raises(ValueError):
+        session.shared_dir(Nameless("spark://host:7077"))
     assert session.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
