@@ -229,12 +229,29 @@ def test_bootstrap_forms_agree_with_row_resampling(spark):
     assert tuple(exact) == tuple(resample.multinomial_ratio(df.repartition(7), ["g"], "tokens", "wins", 800, blocks=5).first())
 
 
-@pytest.mark.parametrize("count", [1, 7, 40, 63, 64, 5000])
-def test_poisson_draws(spark, count):
-    draws = spark.range(8000).select(resample.poisson_draw(F.lit(count).cast("long"), F.md5(F.col("id").cast("string"))).alias("w"))
-    mean, var = draws.agg(F.avg("w"), F.var_samp("w")).first()
-    assert mean == pytest.approx(count, abs=5 * math.sqrt(count / 8000))
-    assert var == pytest.approx(count, rel=0.1)
+@pytest.mark.parametrize("count", [1, 7, 63, 64, 65, 5000, 10 ** 8])
+def test_poisson_draws(count):
+    u = resample.uniforms([f"cell {i} " for i in range(40)], 200)
+    draws = resample.poisson_draws(np.full(40, count), u)
+    assert draws.mean() == pytest.approx(count, abs=5 * math.sqrt(count / 8000))
+    assert draws.var() == pytest.approx(count, rel=0.1)
+
+
+def test_poisson_table_against_sums():
+    for mean in (1, 2, 63, 64, 200):
+        low, cdf = resample.poisson_table(mean)
+        term = [math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) for k in range(low + len(cdf))]
+        assert np.allclose(cdf, np.cumsum(term)[low:], atol=1e-12) and cdf[-1] == pytest.approx(1, abs=1e-12)
+
+
+def test_bootstrap_of_close_values_and_missing_ones(spark):
+    df = spark.createDataFrame([(None, 1e-7 * i, 1) for i in range(1, 40)] + [("g", None, 1), ("g", 3.0, None), ("g", 5.0, 1)],
+                               "g string, x double, y int")
+    got = {r["g"]: r for r in resample.poisson_mean(df, ["g"], "x", 300).collect()}
+    assert got[None]["ci_lower"] < got[None]["mean"] < got[None]["ci_upper"]
+    assert got["g"]["mean"] == 4.0
+    assert {r["g"]: r["ratio"] for r in resample.poisson_ratio(df, ["g"], "x", "y", 50).collect()}["g"] == 4.0
+    assert resample.poisson_mean(df.limit(0), ["g"], "x", 50).count() == 0
 
 
 # --- clustering ---

@@ -12,118 +12,103 @@ work on those cells, so their cost does not grow with the number of rows.
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.arrays import let
 from ..session import cut_lineage
 
 LEVELS = (0.025, 0.975)
-# Break points and coefficients of the rational normal quantile.
-_LOW = 0.02425
-_A = (-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02,
-      1.383577518672690e+02, -3.066479806614716e+01, 2.506628277459239e+00)
-_B = (-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02,
-      6.680131188771972e+01, -1.328068155288572e+01)
-_C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00,
-      -2.549732539343734e+00, 4.374664141464968e+00, 2.938163982698783e+00)
-_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00, 3.754408661907416e+00)
-_SMALL = (1, 2, 4, 8, 16, 32)
-_LARGE = 64
-_GUIDE = 256
 CELLS_PER_BLOCK = 10_000
+CELLS_AT_A_TIME = 512
+#: A draw reads the first 13 hex digits of its md5.
+DRAW_BYTES, DRAW_BITS = 7, 52
 
 
-def poisson_cuts(mean: int) -> list[float]:
-    """Cumulative probabilities up to where a 20-bit draw can no longer tell them from 1."""
-    cuts, term, total, k = [], math.exp(-mean), math.exp(-mean), 0
-    while total < 1 - 2.0 ** -20:
-        cuts.append(total)
-        k += 1
-        term *= mean / k
-        total += term
-    return cuts
+def poisson_table(mean: int) -> tuple[int, np.ndarray]:
+    """(k, cdf): the cumulative probabilities of k, k + 1, … under Poisson(mean).
 
-
-def _guide(mean: int) -> list[int]:
-    """Draw per 1/256 of the unit interval, or -1 where a cut falls inside the piece."""
-    cuts = poisson_cuts(mean)
-    count = lambda u: sum(c <= u for c in cuts)
-    ends = [(count(i / _GUIDE), count((i + 1) / _GUIDE)) for i in range(_GUIDE)]
-    return [low if low == high else -1 for low, high in ends]
-
-
-def _uniform(digest: Column, start: int, digits: int) -> Column:
-    return (F.conv(digest.substr(start, digits), 16, 10).cast("double") + 0.5) / float(16 ** digits)
-
-
-def _horner(coefficients, x: Column) -> Column:
-    value = F.lit(coefficients[0])
-    for c in coefficients[1:]:
-        value = value * x + c
-    return value
-
-
-def normal_quantile(u: Column) -> Column:
-    def tail(p: Column) -> Column:
-        size = let(F.sqrt(-2 * F.log(p)), lambda e: _horner(_C, e) / (_horner(_D, e) * e + 1))
-        return F.when(u < 0.5, size).otherwise(-size)
-
-    middle = let((u - 0.5) * (u - 0.5), lambda r: _horner(_A, r) * (u - 0.5) / (_horner(_B, r) * r + 1))
-    return let(F.least(u, 1 - u), lambda p: F.when(p < _LOW, tail(p)).otherwise(middle))
-
-
-def poisson_draw(count: Column, digest: Column) -> Column:
-    """Poisson(count) from 32 hex digits.  Below 64 one table draw per set bit of the count
-    (sums of Poissons are Poisson), from 64 on a rounded normal expansion.
-
-    Shared parts are bound to lambda variables, which also keeps the generated code small
-    enough for the JVM to compile.
+    The table reaches eight spreads and 20 counts to either side of the mean; what lies beyond is less
+    than a 52-bit uniform can tell from 0 or 1.  It has 16 * sqrt(mean) + 41 entries at any mean.
     """
-    def table_draw(part: int, position: int) -> Column:
-        cuts = F.expr("array(" + ", ".join(f"{c!r}D" for c in poisson_cuts(part)) + ")")
-        guide = F.expr("array(" + ", ".join(str(k) for k in _guide(part)) + ")")
-
-        def look_up(u: Column) -> Column:
-            return let(F.element_at(guide, (u * _GUIDE).cast("int") + 1),
-                       lambda k: F.when(k >= 0, k).otherwise(F.size(F.filter(cuts, lambda c: c <= u))))
-
-        return F.when(count.bitwiseAND(F.lit(part)) != 0, let(_uniform(digest, position, 5), look_up)).otherwise(0)
-
-    def rough(mean: Column) -> Column:
-        return let(normal_quantile(_uniform(digest, 1, 8)), lambda z: F.greatest(
-            F.lit(0.0), F.floor(mean + F.sqrt(mean) * z + (z * z - 1) / 6 + 0.5).cast("double")))
-
-    small = F.lit(0)
-    for i, part in enumerate(_SMALL):
-        small = small + table_draw(part, 1 + 5 * i)
-    return F.when(count < _LARGE, small.cast("double")).otherwise(let(count.cast("double"), rough))
-
-
-def _interval(cells: DataFrame, keys: list[str], salt: list[str], replicates: int, points: list[str],
-              scale: int = 1) -> DataFrame:
+    reach = math.ceil(8 * math.sqrt(mean)) + 20
+    low = max(0, mean - reach)
+    k = np.arange(low, mean + reach + 1, dtype=float)
+    steps = math.log(mean) - np.log(np.maximum(k, 1))
+    from_mean = np.cumsum(steps) - np.cumsum(steps)[mean - low]
+    at_mean = mean * math.log(mean) - mean - math.lgamma(mean + 1)
+    return low, np.cumsum(np.exp(at_mean + from_mean))
+
+
+def uniforms(salts: list[str], replicates: int) -> np.ndarray:
+    """One number in (0, 1) per salt and replicate, from md5(salt + number)."""
+    numbers = [str(b).encode() for b in range(replicates)]
+    digests = bytearray()
+    for salt in salts:
+        start = hashlib.md5(salt.encode())
+        for number in numbers:
+            digest = start.copy()
+            digest.update(number)
+            digests += b"\0" + digest.digest()[:DRAW_BYTES]
+    whole = np.frombuffer(bytes(digests), dtype=">u8") >> (8 * DRAW_BYTES - DRAW_BITS)
+    return ((whole.astype(float) + 0.5) / 2.0 ** DRAW_BITS).reshape(len(salts), replicates)
+
+
+def poisson_draws(counts: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Poisson(count) per row of `u`, by the inverse of its distribution: one rule for every count."""
+    draws = np.empty_like(u)
+    for count in np.unique(counts):
+        rows = counts == count
+        low, cdf = poisson_table(int(count))
+        draws[rows] = low + np.searchsorted(cdf, u[rows], side="right")
+    return draws
+
+
+def _salt(column: str) -> Column:
+    """A number as text with 12 decimals, as every engine writes it; what does not fit keeps its own form."""
+    value = F.col(column)
+    return F.coalesce(value.try_cast("decimal(38,12)").cast("string"), value.cast("string"))
+
+
+def _interval(cells: DataFrame, keys: list[str], salt: list[str], replicates: int, points: list[str]) -> DataFrame:
     """Point values and a percentile interval per key.
 
     `cells` has `_x, _y, _n`, and arrays `_tops, _bottoms` whose sums give the point values as
-    quotients.  Every cell is multiplied by the replicate numbers; the negative ones stand for
-    the point values, so two sums serve everything.  Cells are few bytes and AQE would leave
-    them in one partition; a fixed repartition spreads them first.
+    quotients.  A task draws for a few hundred cells at a time and keeps only sums per key and
+    replicate, so draws never become rows; the negative replicate numbers stand for the point
+    values.  Cells are few bytes and AQE would leave them in one partition; a fixed repartition
+    spreads them first.
     """
-    spread = cells.repartition(cells.sparkSession.sparkContext.defaultParallelism)
-    numbers = F.sequence(F.lit(-len(points)), F.lit(replicates - 1))
-    drawn = spread.withColumn("_b", F.explode(numbers))
-    digest = F.md5(F.concat_ws("-", *[F.col(c).cast("string") for c in salt], F.col("_b").cast("string")))
+    spread = cells.repartition(cells.sparkSession.sparkContext.defaultParallelism).select(
+        *keys, F.concat_ws("-", *keys, *[_salt(c) for c in salt], F.lit("")).alias("_salt"),
+        *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ("_x", "_y")], "_n", "_tops", "_bottoms")
+    types = {f.name: f.dataType.simpleString() for f in spread.schema}
+    key_types = "".join(f"`{k}` {types[k]}, " for k in keys)
+    at = np.concatenate([np.arange(replicates), -1 - np.arange(len(points))])
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), CELLS_AT_A_TIME):
+                part = batch.iloc[start:start + CELLS_AT_A_TIME].reset_index(drop=True)
+                drawn = poisson_draws(part["_n"].to_numpy(), uniforms(part["_salt"].tolist(), replicates))
+                tops = np.hstack([drawn * part[["_x"]].to_numpy(), np.stack(part["_tops"])])
+                bottoms = np.hstack([drawn * part[["_y"]].to_numpy(), np.stack(part["_bottoms"])])
+                group = part.groupby(keys, dropna=False, sort=False).ngroup().to_numpy() if keys else np.zeros(len(part))
+                for number in np.unique(group):
+                    rows = np.flatnonzero(group == number)
+                    out = pd.DataFrame({"_b": at, "_top": tops[rows].sum(axis=0), "_bottom": bottoms[rows].sum(axis=0)})
+                    for i, k in enumerate(keys):
+                        out.insert(i, k, part[k].iloc[rows[0]])
+                    yield out
+
+    summed = spread.mapInPandas(sums, f"{key_types}_b int, _top double, _bottom double").groupBy(*keys, "_b").agg(
+        F.sum("_top").alias("_top"), F.sum("_bottom").alias("_bottom"))
+    estimates = summed.select(*keys, "_b", F.when(F.col("_bottom") > 0, F.col("_top") / F.col("_bottom")).alias("_q"))
     redraw = F.col("_b") >= 0
-    weighted = drawn.withColumn("_digest", digest).withColumn(
-        "_w", F.when(redraw, poisson_draw(F.col("_n"), F.col("_digest"))))
-    sums = weighted.groupBy(*keys, "_b").agg(
-        F.sum(F.when(redraw, F.col("_w") * F.col("_x")).otherwise(F.element_at("_tops", -F.col("_b")))).alias("_top"),
-        F.sum(F.when(redraw, F.col("_w") * F.col("_y")).otherwise(F.element_at("_bottoms", -F.col("_b")))).alias("_bottom"))
-    quotient = F.when(F.col("_bottom") > 0, F.col("_top") / (F.col("_bottom") * F.when(redraw, scale).otherwise(1)))
-    estimates = sums.select(*keys, "_b", quotient.alias("_q"))
     return estimates.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_b") == -1 - i, F.col("_q"))).alias(name) for i, name in enumerate(points)],
         F.percentile(F.when(redraw, F.col("_q")), F.lit(LEVELS[0])).alias("ci_lower"),
@@ -142,24 +127,21 @@ def poisson_ratio(df: DataFrame, keys: list[str], top: str, bottom: str, replica
     over the facts."""
     means = means or {}
     x, y = _number(df, top), _number(df, bottom)
-    sums = [F.sum(x).cast("double"), *[F.coalesce(F.sum(F.col(c).cast("double")), F.lit(0.0)) for c in means.values()]]
-    counts = [F.sum(y).cast("double"), *[F.count(c).cast("double") for c in means.values()]]
+    total = lambda c: F.coalesce(F.sum(c.cast("double")), F.lit(0.0))
+    sums = [total(x), *[total(F.col(c)) for c in means.values()]]
+    counts = [total(y), *[F.count(c).cast("double") for c in means.values()]]
     cells = df.groupBy(*keys, x.alias("_x"), y.alias("_y")).agg(
         F.count("*").alias("_n"), F.array(*sums).alias("_tops"), F.array(*counts).alias("_bottoms"))
-    return _interval(cells, keys, keys + ["_x", "_y"], replicates, ["ratio", *means])
+    return _interval(cells, keys, ["_x", "_y"], replicates, ["ratio", *means])
 
 
-def poisson_mean(df: DataFrame, keys: list[str], value: str, replicates: int, scale: int = 10_000) -> DataFrame:
-    """`mean` per key with its interval, one pass over the facts.
-
-    Replicates count values as whole multiples of 1/scale, the precision scores are stored
-    with, so cells stay few; the mean itself uses the values as they are.  NULLs are skipped.
-    """
-    units = F.round(F.col(value).cast("double") * scale).cast("long")
-    cells = df.filter(F.col(value).isNotNull()).groupBy(*keys, units.alias("_x")).agg(
+def poisson_mean(df: DataFrame, keys: list[str], value: str, replicates: int) -> DataFrame:
+    """`mean` per key with its interval, one pass over the facts.  Cells are the stored values as they
+    are; NULLs are skipped."""
+    cells = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_x")).agg(
         F.count("*").alias("_n"), F.array(F.sum(F.col(value).cast("double"))).alias("_tops"),
         F.array(F.count("*").cast("double")).alias("_bottoms")).withColumn("_y", F.lit(1))
-    return _interval(cells, keys, keys + ["_x"], replicates, ["mean"], scale)
+    return _interval(cells, keys, ["_x"], replicates, ["mean"])
 
 
 def rounded(df: DataFrame, columns: list[str], places: int = 4) -> DataFrame:

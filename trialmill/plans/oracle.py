@@ -7,7 +7,6 @@ windows, silhouettes and distances come from pair joins, tails from closed serie
 from __future__ import annotations
 
 from ..fixed_values import CASE, CONDITIONS, CONTRACTIONS, FENCE_LANGUAGES, FILLERS, RULES, VALID_TOOLS
-from ..operators.resample import _A, _B, _C, _D, _LARGE, _LOW, _SMALL, poisson_cuts
 from .bindings import CODE_MENU, GOLD_MENU, INTENTS, MODELS, TOOL_MENU
 
 HEX = "'0123456789abcdef'"
@@ -273,44 +272,24 @@ def _binom_p(k: str, n: str) -> str:
             f"exp(lgamma({n} + 1.0) - lgamma(i + 1.0) - lgamma({n} - i + 1.0) - {n} * ln(2.0)))))")
 
 
-def _unit(start: int, digits: int) -> str:
-    return f"((CAST('0x' || substr(dg, {start}, {digits}) AS BIGINT) + 0.5::DOUBLE) / {float(16 ** digits)}::DOUBLE)"
-
-
-def _poly(cs, x: str) -> str:
-    out = f"{cs[0]!r}::DOUBLE"
-    for c in cs[1:]:
-        out = f"({out} * {x} + {c!r}::DOUBLE)"
-    return out
-
-
-def _poisson() -> str:
-    parts = []
-    for i, part in enumerate(_SMALL):
-        cuts = poisson_cuts(part)
-        whens = " ".join(f"WHEN u{part} < {c!r}::DOUBLE THEN {k}" for k, c in enumerate(cuts))
-        parts.append(f"CASE WHEN n < {_LARGE} AND (n & {part}) <> 0 THEN CASE {whens} ELSE {len(cuts)} END ELSE 0 END")
-    mean = "CAST(n AS DOUBLE)"
-    parts.append(f"CASE WHEN n >= {_LARGE} THEN greatest(0.0::DOUBLE, floor({mean} + sqrt({mean}) * z + (z * z - 1) / 6 + 0.5::DOUBLE)) "
-                 "ELSE 0.0::DOUBLE END")
-    return " + ".join(parts)
-
-
 def _boot(keys: list[str], cells: str, salt: list[str], estimate: str) -> str:
-    """CTEs from a `cells` select (keys, x[, y], n) to `bounds(keys, ci_lower, ci_upper)`."""
+    """CTEs from a `cells` select (keys, x[, y], n) to `bounds(keys, ci_lower, ci_upper)`.
+
+    A draw is the first count whose cumulative Poisson probability is above the uniform number; `low` is the
+    probability of all smaller counts.
+    """
     k = ", ".join(keys)
-    units = ", ".join(f"{_unit(1 + 5 * i, 5)} AS u{p}" for i, p in enumerate(_SMALL)) + f", {_unit(1, 8)} AS u"
-    edge = "sqrt(-2 * ln(least(u, 1 - u)))"
-    tail = f"({_poly(_C, edge)} / ({_poly(_D, edge)} * {edge} + 1))"
-    r = "((u - 0.5::DOUBLE) * (u - 0.5::DOUBLE))"
-    middle = f"({_poly(_A, r)} * (u - 0.5::DOUBLE) / ({_poly(_B, r)} * {r} + 1))"
-    salted = ", ".join(f"CAST({c} AS VARCHAR)" for c in salt)
+    salted = ", ".join(keys + [f"CAST(CAST({c} AS DECIMAL(38,12)) AS VARCHAR)" for c in salt])
+    reach = "CAST(ceil(8 * sqrt(n)) AS BIGINT) + 20"
     return f""",
-cells AS ({cells}),
+cells AS MATERIALIZED ({cells}),
 digests AS (SELECT *, md5(concat_ws('-', {salted}, CAST(b AS VARCHAR))) AS dg FROM cells, (SELECT unnest(range(0, {B})) AS b)),
-units AS (SELECT *, {units} FROM digests),
-normals AS (SELECT *, CASE WHEN u < {_LOW} THEN {tail} WHEN u > {1 - _LOW} THEN -{tail} ELSE {middle} END AS z FROM units),
-draws AS (SELECT *, CAST({_poisson()} AS DOUBLE) AS w FROM normals),
+units AS (SELECT *, (CAST('0x' || substr(dg, 1, 13) AS BIGINT) + 0.5::DOUBLE) / {2.0 ** 52}::DOUBLE AS u FROM digests),
+counts AS (SELECT n, unnest(range(greatest(0, n - ({reach})), n + {reach} + 1)) AS k FROM (SELECT DISTINCT n FROM cells)),
+masses AS (SELECT n, k, exp(k * ln(n) - n - lgamma(k + 1.0)) AS mass FROM counts),
+tables AS MATERIALIZED (SELECT n, k, coalesce(sum(mass) OVER (PARTITION BY n ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low
+           FROM masses),
+draws AS (SELECT q.*, CAST(t.k AS DOUBLE) AS w FROM units q ASOF JOIN tables t ON q.n = t.n AND q.u >= t.low),
 estimates AS (SELECT {k}, b, {estimate} AS e FROM draws GROUP BY {k}, b),
 bounds AS (SELECT {k}, quantile_cont(e, 0.025) AS ci_lower, quantile_cont(e, 0.975) AS ci_upper
            FROM estimates WHERE e IS NOT NULL GROUP BY {k})"""
@@ -318,13 +297,13 @@ bounds AS (SELECT {k}, quantile_cont(e, 0.025) AS ci_lower, quantile_cont(e, 0.9
 
 def _boot_ratio() -> str:
     return _boot(["condition"], "SELECT condition, total_tokens AS x, min_req_met AS y, count(*) AS n FROM scored GROUP BY ALL",
-                 ["condition", "x", "y"], "CASE WHEN sum(w * y) > 0 THEN sum(w * x) / sum(w * y) END")
+                 ["x", "y"], "CASE WHEN sum(w * y) > 0 THEN sum(w * x) / sum(w * y) END")
 
 
 def _boot_mean(keys: list[str], source: str, value: str) -> str:
     k = ", ".join(keys)
-    return _boot(keys, f"SELECT {k}, CAST(round(CAST({value} AS DOUBLE) * 10000) AS BIGINT) AS x, count(*) AS n FROM {source} "
-                 f"WHERE {value} IS NOT NULL GROUP BY ALL", keys + ["x"], "sum(w * x) / nullif(sum(w) * 10000, 0)")
+    return _boot(keys, f"SELECT {k}, CAST({value} AS DOUBLE) AS x, count(*) AS n FROM {source} "
+                 f"WHERE {value} IS NOT NULL GROUP BY ALL", ["x"], "sum(w * x) / nullif(sum(w), 0)")
 
 
 def _fig_mean(keys: list[str], value: str, source: str = "scored", head: str = SCORED) -> str:
