@@ -167,15 +167,20 @@ def word_count(text: Column) -> Column:
 def judge_score(reply: Column) -> tuple[Column, Column]:
     """(score, status) from a judge's reply.
 
-    The span from the first `{` to the last `}` must be one JSON object.  Numbers are cut
+    The span from the first `{` to the last `}` must be one JSON object; of repeated keys the last
+    counts (a variant refuses them, so such a reply is read as a struct).  Numbers are cut
     to integers, integer strings are accepted, everything else scores 0.  The status keeps
     a failed judgement apart from a true 0.
     """
     span = F.regexp_extract(reply, r"(?s)\{.*\}", 0)
-    doc = F.try_parse_json(F.concat(F.lit("["), span, F.lit("]")))
-    kind = F.schema_of_variant(F.try_variant_get(doc, "$[0].score", "variant"))
-    as_text = F.try_variant_get(doc, "$[0].score", "string")
-    as_number = F.try_variant_get(doc, "$[0].score", "double")
+    listed = F.concat(F.lit("["), span, F.lit("]"))
+    doc = F.try_parse_json(listed)
+    last = F.from_json(listed, "array<struct<score:variant>>")
+    single = F.when(doc.isNull() & (F.size(last) == 1), F.get(last, F.lit(0))["score"])
+    score = F.coalesce(F.try_variant_get(doc, "$[0].score", "variant"), single)
+    kind = F.schema_of_variant(score)
+    as_text = F.try_variant_get(score, "$", "string")
+    as_number = F.try_variant_get(score, "$", "double")
     is_whole = F.regexp_like(as_text, F.lit(r"^\s*[+-]?\d+\s*$"))
     value = (
         F.when(kind == "STRING", F.when(is_whole, strip(as_text).try_cast("long")))
@@ -186,7 +191,7 @@ def judge_score(reply: Column) -> tuple[Column, Column]:
     status = (
         F.when(reply.isNull(), "no_reply")
         .when(span == "", "no_json")
-        .when(doc.isNull() | F.try_variant_get(doc, "$[1]", "variant").isNotNull(), "bad_json")
+        .when((doc.isNull() & single.isNull()) | F.try_variant_get(doc, "$[1]", "variant").isNotNull(), "bad_json")
         .when(~has_key, "no_score")
         .when(value.isNull(), "bad_score")
         .otherwise("ok")

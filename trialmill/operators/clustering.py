@@ -78,11 +78,22 @@ def seed_centroids(points: DataFrame, label: str, point: str, vec: str, k: int,
     return chosen
 
 
+def _refilled(points: DataFrame, before: DataFrame, moved: DataFrame, keys: list[str], point: str, vec: str) -> DataFrame:
+    """`moved` with one lost cluster per class and restart put on the point farthest from its centroid."""
+    lost = before.join(moved.select(*keys, "cluster"), keys + ["cluster"], "left_anti").groupBy(*keys).agg(
+        F.min("cluster").alias("cluster"))
+    far = assign(points.join(small_side(lost.select(*keys)), keys), before, keys, vec).groupBy(*keys).agg(
+        F.max_by(vec, F.struct("d2", point)).alias("centroid"))
+    added = lost.join(far, keys).select(*keys, "cluster", "centroid")
+    return moved.select(*keys, "cluster", "centroid").unionByName(added)
+
+
 def kmeans_per_class(points: DataFrame, label: str, point: str, vec: str, dim: int, k: int = 6, restarts: int = 10,
                      rounds: int = 300, tolerance: float = 1e-4) -> tuple[DataFrame, DataFrame]:
     """(assignments, centroids) of the best of `restarts` runs per class.
 
-    All classes and restarts move together; a round is one pass over the points.  Centroids
+    All classes and restarts move together; a round is one pass over the points.  A cluster that lost
+    its points starts again at the farthest one.  Centroids
     (classes x restarts x k rows) are written out between rounds.  Clusters are numbered by
     their smallest member, so ids do not depend on seeding.
     """
@@ -91,10 +102,17 @@ def kmeans_per_class(points: DataFrame, label: str, point: str, vec: str, dim: i
     fanned = points.withColumn("restart", F.explode(F.array(*[F.lit(r) for r in range(restarts)])))
     for _ in range(rounds):
         moved = cut_lineage(lloyd_step(fanned, centroids, keys, vec, dim))
-        shift = moved.alias("new").join(centroids.alias("old"), keys + ["cluster"]).agg(
-            F.max(squared_distance(F.col("new.centroid"), F.col("old.centroid"))).alias("s")).first()["s"]
+        near = centroids.alias("old").join(moved.alias("new"), keys + ["cluster"], "left")
+        state = near.agg(
+            F.max(squared_distance(F.col("new.centroid"), F.col("old.centroid"))).alias("shift"),
+            F.count_if(F.col("new.centroid").isNull()).alias("lost")).first()
+        shift = state["shift"]
+        if state["lost"]:
+            moved, shift = cut_lineage(_refilled(fanned, centroids, moved, keys, point, vec)), None
+        if shift is None and not state["lost"]:
+            break
         centroids = moved.select(*keys, "cluster", "centroid")
-        if shift is None or shift <= tolerance ** 2:
+        if shift is not None and shift <= tolerance ** 2:
             break
     else:
         raise RuntimeError(f"clusters still move after {rounds} rounds")
@@ -118,34 +136,41 @@ def silhouette_exact(points: DataFrame, label: str, cluster: str, point: str, ve
                      tile_rows: int = TILE_ROWS) -> DataFrame:
     """Mean Euclidean silhouette per class, over every pair of a class.
 
-    The distances are inherently quadratic.  Points are cut into tiles of bounded size; a
-    task gets two tiles and returns, per point, the distance sums to each cluster.  Pairs
-    are never emitted and a class of any size spreads over many tasks.
+    The distances are inherently quadratic: a class of n points moves n * n / `tile_rows` vectors.
+    Points are cut into tiles of bounded size; a task gets two tiles, in one order only, and
+    returns, per point of either, the distance sums to each cluster.  Pairs are never emitted
+    and a class of any size spreads over many tasks.
     """
     sizes = points.groupBy(label).agg(F.count("*").alias("_total")).filter(F.col("_total") >= minimum)
     tiles = F.greatest(F.lit(1), F.ceil(F.col("_total") / tile_rows)).cast("int")
     tiled = points.join(small_side(sizes), label).select(
         label, F.col(cluster).cast("int").alias("_c"), F.col(point).alias("_p"), F.col(vec).alias("_v"),
         tiles.alias("_tiles"), F.pmod(F.xxhash64(point), tiles).cast("int").alias("_t"))
-    meeting = tiled.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
-    left = meeting.select(label, F.col("_t").alias("_i"), F.col("_other").alias("_j"), "_p", "_c", "_v")
-    right = meeting.select(F.col(label).alias("_label"), F.col("_other").alias("_ri"), F.col("_t").alias("_rj"),
-                           F.col("_c").alias("_rc"), F.col("_v").alias("_rv"))
+    left = tiled.withColumn("_j", F.explode(F.sequence(F.col("_t"), F.col("_tiles") - 1))).select(
+        label, F.col("_t").alias("_i"), "_j", "_p", "_c", "_v")
+    right = tiled.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_t")))).select(
+        F.col(label).alias("_label"), F.col("_i").alias("_ri"), F.col("_t").alias("_rj"), F.col("_p").alias("_rp"),
+        F.col("_c").alias("_rc"), F.col("_v").alias("_rv"))
 
     def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         columns = [label, "_p", "_c", "_to", "_sum", "_n"]
         if a.empty or b.empty:
             return pd.DataFrame(columns=columns)
         x, y = np.stack(a["_v"]).astype(float), np.stack(b["_rv"]).astype(float)
-        parts = []
-        for other in np.unique(b["_rc"]):
-            members = y[(b["_rc"] == other).to_numpy()]
-            total = np.zeros(len(x))
-            for start in range(0, len(members), 64):
-                gap = x[:, None, :] - members[None, start:start + 64, :]
-                total += np.sqrt((gap * gap).sum(axis=2)).sum(axis=1)
-            parts.append(pd.DataFrame({label: a[label], "_p": a["_p"], "_c": a["_c"], "_to": other,
-                                       "_sum": total, "_n": len(members)}))
+        mine, own = np.unique(a["_c"].to_numpy(), return_inverse=True)
+        theirs, other = np.unique(b["_rc"].to_numpy(), return_inverse=True)
+        in_mine, in_theirs = np.eye(len(mine))[own], np.eye(len(theirs))[other]
+        out, back = np.zeros((len(x), len(theirs))), np.zeros((len(y), len(mine)))
+        for start in range(0, len(y), 64):
+            gap = x[:, None, :] - y[None, start:start + 64, :]
+            far = np.sqrt((gap * gap).sum(axis=2))
+            out += far @ in_theirs[start:start + 64]
+            back[start:start + 64] = far.T @ in_mine
+        parts = [pd.DataFrame({label: a[label], "_p": a["_p"], "_c": a["_c"], "_to": to, "_sum": out[:, i],
+                               "_n": int(in_theirs[:, i].sum())}) for i, to in enumerate(theirs)]
+        if a["_i"].iloc[0] != a["_j"].iloc[0]:
+            parts += [pd.DataFrame({label: b["_label"], "_p": b["_rp"], "_c": b["_rc"], "_to": to, "_sum": back[:, i],
+                                    "_n": int(in_mine[:, i].sum())}) for i, to in enumerate(mine)]
         return pd.concat(parts, ignore_index=True)[columns]
 
     types = {f.name: f.dataType.simpleString() for f in tiled.schema}

@@ -36,13 +36,15 @@ def pending_runs(grid: DataFrame, done: DataFrame) -> DataFrame:
     return grid.join(done.filter(F.col("error").isNull()).select("run_id"), "run_id", "left_anti")
 
 
-RUN_STAGE_COLUMNS = "response string, usage_input long, usage_output long, execution_time_sec double, error string"
+RUN_STAGE_COLUMNS = ("response string, usage_input long, usage_output long, execution_time_sec double, error string, "
+                     "timestamp timestamp")
 
 
 def run_stage(prompts: DataFrame, responder: Callable[[str], dict], timer: Callable[[], float] | None = None) -> DataFrame:
     """Call `responder` once per prompt: one row out per row in, an error row on failure.
 
-    `responder(prompt)` returns `response` and optionally `input_tokens`, `output_tokens`.
+    `responder(prompt)` returns `response` and optionally `input_tokens`, `output_tokens`; `timestamp` is when
+    the call ended.
     It is the caller's code, hence the only Python in the run path.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema) + ", " + RUN_STAGE_COLUMNS
@@ -57,13 +59,13 @@ def run_stage(prompts: DataFrame, responder: Callable[[str], dict], timer: Calla
         except Exception as failure:
             out, error = (None, 0, 0), str(failure)[:limit]
         took = round(timer() - started, 3) if timer else 0.0
-        return (*out, took, error)
+        return (*out, took, error, pd.Timestamp.now(tz="UTC"))
 
     def stage(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["response", "usage_input", "usage_output", "execution_time_sec", "error"]
+        names = ["response", "usage_input", "usage_output", "execution_time_sec", "error", "timestamp"]
         for batch in batches:
             replies = pd.DataFrame([call(p) for p in batch["prompt"]], columns=names, index=batch.index)
-            replies = replies.astype({"usage_input": "Int64", "usage_output": "Int64"})
+            replies = replies.astype({"usage_input": "Int64", "usage_output": "Int64", "timestamp": "datetime64[ns, UTC]"})
             yield pd.concat([batch, replies], axis=1)
 
     return prompts.mapInPandas(stage, schema)

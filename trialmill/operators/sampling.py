@@ -68,12 +68,15 @@ def task_ids(selected: DataFrame, label: str, order: list[str]) -> DataFrame:
 
 
 def small_class_fallback(df: DataFrame, label: str, order: str, clusters: int) -> DataFrame:
-    """Rows of classes too small to cluster (fewer than two clusters): the first rows, cluster 0."""
-    sizes = df.groupBy(label).agg(F.count("*").alias("_n")).filter(F.least(F.col("_n"), F.lit(clusters)) < 2)
-    small = df.join(small_side(sizes), label)
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(order))
-    picked = small.withColumn("_rank", rank).filter(F.col("_rank") <= F.least(F.col("_n"), F.lit(clusters)))
-    return picked.withColumn("cluster", F.lit(0)).drop("_n", "_rank")
+    """Classes too small to cluster (fewer than two rows or clusters): their first row, as cluster 0.
+
+    An aggregate, so that with one cluster no class is ranked whole in one task.
+    """
+    rest = [c for c in df.columns if c != label]
+    first = df.groupBy(label).agg(
+        F.count("*").alias("_n"), F.min_by(F.struct(*rest), F.col(order)).alias("_row"))
+    picked = first.filter((F.col("_n") < 2) | (F.lit(clusters) == 1)).filter(F.lit(clusters) > 0)
+    return picked.select(label, *[F.col(f"_row.{c}").alias(c) for c in rest], F.lit(0).alias("cluster"))
 
 
 def raw_task(df: DataFrame) -> DataFrame:
@@ -110,7 +113,7 @@ def missing_gold(tasks: DataFrame, gold: DataFrame) -> DataFrame:
     return tasks.join(gold.select("task_id"), "task_id", "left_anti")
 
 
-def quality_report(master: DataFrame, text: str) -> DataFrame:
+def quality_report(master: DataFrame, text: str, embedding: str = "gold_standard.intent_preservation_embedding") -> DataFrame:
     """Counts behind the data checks, as one row.
 
     Duplicates are found by counting per key, which reduces before the shuffle; a plain
@@ -124,6 +127,7 @@ def quality_report(master: DataFrame, text: str) -> DataFrame:
         F.count("*").alias("n_tasks"),
         F.count_if(F.coalesce(F.size("gold_standard.expected_tools"), F.lit(0)) < 1).alias("empty_expected"),
         F.count_if(F.coalesce(F.size("gold_standard.minimum_required_tools"), F.lit(0)) < 1).alias("empty_minimum"),
+        F.count_if(F.coalesce(F.size(embedding), F.lit(0)) < 1).alias("empty_embeddings"),
         F.count_if("has_unit_test").alias("with_tests"),
         F.count_if(~F.col("has_unit_test")).alias("without_tests"),
     )
@@ -136,7 +140,7 @@ def quality_report(master: DataFrame, text: str) -> DataFrame:
 
 def assert_quality(report: DataFrame, expected_rows: int | None = None) -> None:
     row = report.first()
-    problems = [name for name in ("repeated_ids", "repeated_texts", "empty_expected", "empty_minimum") if row[name]]
+    problems = [name for name in ("repeated_ids", "repeated_texts", "empty_expected", "empty_minimum", "empty_embeddings") if row[name]]
     if expected_rows is not None and row["n_tasks"] != expected_rows:
         problems.append(f"n_tasks={row['n_tasks']}, expected {expected_rows}")
     if problems:

@@ -252,7 +252,7 @@ def structured_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def judge_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = tasks(spark, sf_dir)
     k = F.col("k").cast("string")
-    variant = F.col("owner") % 11
+    variant = F.col("owner") % 12
     reply = (
         F.when(variant == 0, F.concat(F.lit('{"score": '), k, F.lit(', "reasoning": "fine"}')))
         .when(variant == 1, F.concat(F.lit('Verdict:\n{"score": '), k, F.lit('.7, "claims": [{"x": 1}]}\nDone.')))
@@ -264,6 +264,7 @@ def judge_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(variant == 7, F.concat(F.lit('{"score": "'), k, F.lit('.5"}')))
         .when(variant == 8, F.concat(F.lit('{"score": '), k, F.lit('} and {"score": 1}')))
         .when(variant == 9, F.lit('{"score": true}'))
+        .when(variant == 10, F.concat(F.lit('{"score": 1, "why": "a", "score": '), k, F.lit("}")))
         .otherwise(F.lit('{"score": null}'))
     )
     return base.select("task_id", "topic", reply.alias("reply"))

@@ -11,7 +11,7 @@ from ..fixed_values import CONDITIONS
 from ..functions import text as tx, toolcalls as tc, vectors as vx
 from ..operators import clustering, grid, inference, reports, resample, sampling, scoring, tables
 from ..session import shared_dir
-from ..sources import schemas
+from ..sources import files, schemas
 from ..streaming import incremental
 from . import bindings as b
 
@@ -80,6 +80,54 @@ def task_lookup(spark, sf):
     return tables.lookup(b.tasks(spark, sf), "task_id", ids).select("task_id", "intent", "topic", F.col("k").cast("long").alias("k"))
 
 
+# --- files ---
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/trialmill-{name}-{uuid.uuid4().hex}"
+
+
+@query
+def corpus_from_csv(spark, sf):
+    """Documents as a CSV with untidy names and a repeated column, read back as a corpus."""
+    folder = _folder(spark, "corpus")
+    untidy = b.table(spark, sf, "documents").select(
+        F.col("doc_id").alias(" Doc_ID"), F.col("text").alias("Utterance "), F.col("lang").alias("language"),
+        F.col("source").alias("Language.1"), F.col("n_chars").alias("N_Chars"), (F.col("n_chars") / 7.0).alias("share"))
+    files.write_csv(untidy, folder)
+    return files.read_corpus(spark, folder, {"doc_id": "bigint", "n_chars": "bigint", "share": "double"}, multi_line=True)
+
+
+@query
+def records_from_json(spark, sf):
+    """Conversation turns as JSON arrays, read back by schema."""
+    folder = _folder(spark, "turns")
+    turns = b.table(spark, sf, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    files.write_json_array(turns, folder)
+    return files.read_json_records(spark, folder, turns.schema)
+
+
+@query
+def records_from_json_lines(spark, sf):
+    folder = _folder(spark, "items")
+    items = b.table(spark, sf, "benchmark").select("item_id", "text", F.split("text", " ").alias("words"))
+    files.write_json_lines(items, folder)
+    return spark.read.schema(items.schema).json(folder).select(
+        "item_id", "text", F.size("words").cast("long").alias("n_words"))
+
+
+@query
+def score_snapshot(spark, sf):
+    """The score table from its first use on: made, filled, copied aside once, and changed after that."""
+    folder = _folder(spark, "scores")
+    table, kept = f"{folder}/scores", f"{folder}/original"
+    first = tables.evolve(_thin_scores(b.runs(spark, sf)).drop("topic"), schemas.SCORES)
+    tables.read_or_empty(spark, table, schemas.SCORES).unionByName(first).write.parquet(table)
+    stored = tables.read_or_empty(spark, table, schemas.SCORES)
+    tables.snapshot_once(stored, kept)
+    tables.snapshot_once(stored.withColumn("total_tool_calls", F.lit(0).cast("long")), kept)
+    return spark.read.parquet(kept).select("run_id", "total_tool_calls", "intent_fidelity_score", "tool_f1")
+
+
 # --- task sampling -----------------------------------------------------------------
 
 @query
@@ -169,6 +217,20 @@ def append_composites(spark, sf):
                       F.col("entities_in_source.error_type").alias("error_type"))
 
 
+@query
+def small_classes(spark, sf):
+    """Documents alone in their class (here: their length)."""
+    docs = b.table(spark, sf, "documents").select("n_chars", "doc_id", "source")
+    return sampling.small_class_fallback(docs, "n_chars", "doc_id", 6).withColumn("cluster", F.col("cluster").cast("long"))
+
+
+@query
+def merged_gold(spark, sf):
+    gold = b.gold(spark, sf).select("task_id", "expected_tools", "minimum_required_tools")
+    later = gold.filter(F.size("expected_tools") > 3).withColumn("expected_tools", F.col("minimum_required_tools"))
+    return sampling.merge_gold(gold, later).select("task_id", _joined("expected_tools").alias("expected"))
+
+
 def _master(spark, sf) -> DataFrame:
     tasks = b.tasks(spark, sf).select("task_id", "intent", "topic", "k")
     return sampling.tasks_master(tasks, b.gold(spark, sf))
@@ -190,7 +252,10 @@ def missing_gold(spark, sf):
 @query
 def task_quality_report(spark, sf):
     text = F.concat("topic", F.lit(" "), F.col("k").cast("string"), F.lit(" "), "intent")
-    return sampling.quality_report(_master(spark, sf).withColumn("raw_utterance", text), "raw_utterance")
+    known = F.when(F.size("expected_tools") > 2, F.array(F.size("minimum_required_tools").cast("float")))
+    gold = b.gold(spark, sf).withColumn("intent_preservation_embedding", known)
+    master = sampling.tasks_master(b.tasks(spark, sf).select("task_id", "intent", "topic", "k"), gold)
+    return sampling.quality_report(master.withColumn("raw_utterance", text), "raw_utterance")
 
 
 @query
@@ -311,12 +376,16 @@ def run_stage_stub(spark, sf):
                        "total_tool_calls", "error")
 
 
+def refuse(prompt: str) -> dict:
+    """Stand-in responder that fails with the prompt as its message."""
+    raise RuntimeError(prompt)
+
+
 @query
 def error_rows(spark, sf):
-    docs = b.table(spark, sf, "documents")
-    return docs.select(
-        "doc_id", F.lit(None).cast("string").alias("response"), F.lit(0).cast("long").alias("total_tokens"),
-        F.lit("[]").alias("tool_calls_json"), grid.error_text(F.col("text")).alias("error"))
+    asked = b.table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("prompt"))
+    done = grid.finish_runs(grid.run_stage(asked, refuse))
+    return done.select("doc_id", "response", "total_tokens", "tool_calls_json", "error")
 
 
 @query
@@ -733,10 +802,6 @@ def fig_compliance(spark, sf):
 
 # --- incremental -------------------------------------------------------------------
 
-def _stream_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/trialmill-{name}-{uuid.uuid4().hex}"
-
-
 def _event_stream(spark, sf) -> DataFrame:
     return incremental.file_stream(spark, sf, "events.parquet", b.table(spark, sf, "events").schema)
 
@@ -744,7 +809,7 @@ def _event_stream(spark, sf) -> DataFrame:
 @query
 def stream_scoring(spark, sf):
     """Events arrive, become runs, are scored per batch and read back as the current table."""
-    folder = _stream_folder(spark, "scores")
+    folder = _folder(spark, "scores")
 
     def score(events: DataFrame) -> DataFrame:
         return b.scored_in_place(spark, b.runs_of(b.tasks_of(events))).select(
@@ -756,7 +821,7 @@ def stream_scoring(spark, sf):
 
 @query
 def stream_summary(spark, sf):
-    folder = _stream_folder(spark, "summary")
+    folder = _folder(spark, "summary")
     """Score averages per condition, kept up while events arrive."""
     scores = b.scored_in_place(spark, b.runs_of(b.tasks_of(_event_stream(spark, sf))))
     averages = {"avg_intent_fidelity": "intent_fidelity_score", "avg_f1": "tool_f1",

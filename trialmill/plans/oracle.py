@@ -225,14 +225,15 @@ stripped AS (SELECT *, trim(replace(replace(trim(reply), '```json', ''), '```',
 parsed AS (SELECT *, api_error IS NULL AND coalesce(json_valid(doc), false) AS ok FROM stripped)"""
 
 JUDGE = TASKS + """,
-replies AS (SELECT task_id, CASE owner % 11
+replies AS (SELECT task_id, CASE owner % 12
    WHEN 0 THEN '{"score": ' || k || ', "reasoning": "fine"}'
    WHEN 1 THEN 'Verdict:' || chr(10) || '{"score": ' || k || '.7, "claims": [{"x": 1}]}' || chr(10) || 'Done.'
    WHEN 2 THEN '{"score": "' || k || '"}' WHEN 3 THEN '{"score": ' || k || ', }' WHEN 4 THEN 'I cannot judge this.'
    WHEN 5 THEN NULL WHEN 6 THEN '{"reasoning": "' || topic || '"}' WHEN 7 THEN '{"score": "' || k || '.5"}'
-   WHEN 8 THEN '{"score": ' || k || '} and {"score": 1}' WHEN 9 THEN '{"score": true}' ELSE '{"score": null}' END AS reply
+   WHEN 8 THEN '{"score": ' || k || '} and {"score": 1}' WHEN 9 THEN '{"score": true}'
+   WHEN 10 THEN '{"score": 1, "why": "a", "score": ' || k || '}' ELSE '{"score": null}' END AS reply
    FROM tasks),
-spans AS (SELECT *, regexp_extract(reply, '(?s)\\{.*\\}') AS span FROM replies),
+spans AS (SELECT *, replace(regexp_extract(reply, '(?s)\\{.*\\}'), '"score": 1, "why": "a", ', '') AS span FROM replies),
 docs AS (SELECT *, json_valid(span) AND NOT regexp_matches(span, ',\\s*[\\}\\]]') AS fine, CASE WHEN fine THEN json_type(span, '$.score') END AS kind,
                 CASE WHEN fine THEN json_extract_string(span, '$.score') END AS raw FROM spans),
 vals AS (SELECT *, CASE WHEN kind = 'VARCHAR' THEN CASE WHEN regexp_full_match(raw, '\\s*[+-]?\\d+\\s*') THEN CAST(trim(raw) AS BIGINT) END
@@ -428,6 +429,15 @@ def statements() -> dict[str, str]:
     words = f"CASE WHEN trim(utterance, {_SPACES}) = '' THEN 0 ELSE len(regexp_split_to_array(trim(utterance, {_SPACES}), '\\s+')) END"
     spread = "sum(m * d)"
     return {
+        "corpus_from_csv": """SELECT doc_id, text AS utterance, lang AS language, n_chars, round(n_chars / 7.0::DOUBLE, 4) AS share
+            FROM documents""",
+        "records_from_json": "SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM conversations",
+        "records_from_json_lines": "SELECT item_id, text, len(string_split(text, ' ')) AS n_words FROM benchmark",
+        "score_snapshot": f"""WITH {RUNS} SELECT run_id, planned_calls AS total_tool_calls, CAST(k % 4 AS BIGINT) AS intent_fidelity_score,
+            CAST(NULL AS DOUBLE) AS tool_f1 FROM runs WHERE error IS NULL""",
+        "small_classes": """SELECT n_chars, doc_id, source, CAST(0 AS BIGINT) AS cluster FROM documents
+            QUALIFY count(*) OVER (PARTITION BY n_chars) = 1""",
+        "merged_gold": f"WITH {TASKS} SELECT task_id, array_to_string(CASE WHEN len(expected) > 3 THEN minimum ELSE expected END, ',') AS expected FROM gold",
         "schema_evolve_scores": f"WITH {RUNS} SELECT run_id, planned_calls AS total_tool_calls, CAST(NULL AS DOUBLE) AS tool_f1, "
             "CAST(NULL AS BIGINT) AS intent_fidelity_score, CAST(NULL AS BOOLEAN) AS functional_correct FROM runs",
         "upsert_results": f"""WITH {RUNS}, again AS (SELECT * FROM called WHERE error IS NOT NULL OR topic = 'purchase'),
@@ -471,6 +481,7 @@ def statements() -> dict[str, str]:
         "task_quality_report": f"""WITH {TASKS}, m AS (SELECT task_id, topic || ' ' || k || ' ' || intent AS txt, expected, minimum, has_unit_test
               FROM tasks JOIN gold USING (task_id))
             SELECT count(*) AS n_tasks, count(*) FILTER (len(expected) < 1) AS empty_expected, count(*) FILTER (len(minimum) < 1) AS empty_minimum,
+            count(*) FILTER (len(expected) <= 2) AS empty_embeddings,
             count(*) FILTER (has_unit_test) AS with_tests, count(*) FILTER (NOT has_unit_test) AS without_tests,
             (SELECT count(*) FROM (SELECT task_id FROM m GROUP BY 1 HAVING count(*) > 1)) AS repeated_ids, count(DISTINCT task_id) AS distinct_task_id,
             (SELECT count(*) FROM (SELECT txt FROM m GROUP BY 1 HAVING count(*) > 1)) AS repeated_texts, count(DISTINCT txt) AS distinct_raw_utterance FROM m""",
@@ -517,7 +528,7 @@ def statements() -> dict[str, str]:
             CAST(CASE WHEN bad THEN 0 ELSE 2 END AS BIGINT) AS total_tool_calls,
             CASE WHEN bad THEN substr('refused: ' || prompt, 1, 500) END AS error FROM counted""",
         "error_rows": """SELECT doc_id, CAST(NULL AS VARCHAR) AS response, CAST(0 AS BIGINT) AS total_tokens, '[]' AS tool_calls_json,
-            substr(text, 1, 500) AS error FROM documents""",
+            substr(coalesce(text, ''), 1, 500) AS error FROM documents""",
         "token_usage": f"""WITH {UTTERANCES} SELECT doc_id, CASE WHEN language = 'en' THEN n_chars
             ELSE CAST(len(regexp_extract_all(utterance, '\\w+|[^\\w\\s]')) AS BIGINT) END AS tokens FROM utterances""",
         "run_status": f"""WITH {RUNS} SELECT model, count(*) FILTER (error IS NULL) AS succeeded, count(*) FILTER (error IS NOT NULL) AS failed

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
@@ -40,16 +42,31 @@ def read_corpus(spark: SparkSession, path: str, types: dict[str, str] | None = N
 
 
 def read_json_records(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """A JSON array of records (one document per file)."""
+    """JSON arrays of records, one array per file."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
 def write_csv(df: DataFrame, path: str, places: int = 4) -> None:
     """A result table as CSV, floating columns rounded."""
-    rounded = [F.round(f.name, places).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType))
-               else F.col(f.name) for f in df.schema.fields]
-    df.select(rounded).write.mode("overwrite").option("header", True).csv(path)
+    rounded = [F.round(f"`{f.name}`", places).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType))
+               else F.col(f"`{f.name}`") for f in df.schema.fields]
+    df.select(rounded).write.mode("overwrite").csv(
+        path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def write_json_array(df: DataFrame, path: str) -> None:
+    """A JSON array of records per part file; records stream through, no partition is held whole."""
+    def bracketed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mark = "["
+        for batch in batches:
+            if len(batch):
+                yield pd.DataFrame({"value": [mark + batch["record"].iloc[0], *("," + batch["record"].iloc[1:])]})
+                mark = ","
+        yield pd.DataFrame({"value": ["]" if mark == "," else "[]"]})
+
+    records = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("record"))
+    records.mapInPandas(bracketed, "value string").write.mode("overwrite").text(path)
