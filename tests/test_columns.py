@@ -135,10 +135,10 @@ def test_code_block_and_judge(spark):
     texts = ["a\n```python\nx = 1\n```\nb\n```\ny\n```", "```\n```", "  plain ", "```rust\nz```", None]
     assert column(spark, texts, tx.first_code_block) == ["x = 1", "", "plain", "```rust\nz```", ""]
     replies = ['{"score": 2}', 'say {"score": 1.7}\nend', '{"score": "2"}', '{"score": "1.7"}', "none", '{"score": 2} x}',
-               '{"x": 1}', None, '{"score": null}']
-    assert column(spark, replies, lambda v: tx.judge_score(v)[0]) == [2, 1, 2, 0, 0, 0, 0, 0, 0]
+               '{"x": 1}', None, '{"score": null}', '{"score": 1, "x": {}, "score": "3"}', '{"score": 1, "score": 2, }']
+    assert column(spark, replies, lambda v: tx.judge_score(v)[0]) == [2, 1, 2, 0, 0, 0, 0, 0, 0, 3, 0]
     assert column(spark, replies, lambda v: tx.judge_score(v)[1]) == [
-        "ok", "ok", "ok", "bad_score", "no_json", "bad_json", "no_score", "no_reply", "bad_score"]
+        "ok", "ok", "ok", "bad_score", "no_json", "bad_json", "no_score", "no_reply", "bad_score", "ok", "bad_json"]
 
 
 def test_structured_prompt(spark):

@@ -56,6 +56,14 @@ def test_json_and_csv(spark, tmp_path):
     assert rows(tasks.select("task_id", "cluster", "sub_intents"), "task_id") == [("a", None, ["x"]), ("b", 1, None)]
     files.write_csv(spark.createDataFrame([(0.123456,)], "x double"), f"{tmp_path}/out")
     assert spark.read.csv(f"{tmp_path}/out", header=True).first()[0] == "0.1235"
+    files.write_json_array(tasks, f"{tmp_path}/array")
+    files.write_json_array(tasks.limit(0), f"{tmp_path}/nothing")
+    back = files.read_json_records(spark, f"{tmp_path}/array", schemas.RAW_TASKS)
+    assert rows(back, "task_id") == rows(tasks, "task_id")
+    assert files.read_json_records(spark, f"{tmp_path}/nothing", schemas.RAW_TASKS).count() == 0
+    odd = [(1, ' "a",\n b '), (2, ""), (3, None)]
+    files.write_csv(spark.createDataFrame(odd, "id int, ` T.x` string"), f"{tmp_path}/odd")
+    assert rows(files.read_corpus(spark, f"{tmp_path}/odd", {"id": "int"}, multi_line=True), "id") == [odd[0], (2, None), odd[2]]
     files.write_json_lines(tasks, f"{tmp_path}/json")
     assert spark.read.json(f"{tmp_path}/json").count() == 2
 
@@ -84,6 +92,7 @@ def test_run_stage(spark):
     assert got["1"]["output_tokens"] == 6 and got["1"]["error"] is None
     assert got["2"]["response"] is None and len(got["2"]["error"]) == 500 and got["2"]["total_tokens"] == 0
     assert got["2"]["tool_calls_json"] == "[]"
+    assert got["1"]["timestamp"] is not None and got["2"]["timestamp"] is not None
 
 
 def test_unscored_includes_reserved(spark):
@@ -117,6 +126,8 @@ def test_representatives_and_small_classes(spark):
     assert rows(named.select("task_id", "id")) == [("0_001", 2), ("0_002", 4)]
     small = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3)], "intent string, id int")
     assert rows(sampling.small_class_fallback(small, "intent", "id", 6)) == [("a", 1, 0)]
+    assert rows(sampling.small_class_fallback(small, "intent", "id", 1)) == [("a", 1, 0), ("b", 2, 0)]
+    assert sampling.small_class_fallback(small, "intent", "id", 0).count() == 0
 
 
 def test_gold_merge_and_master(spark):
@@ -186,6 +197,17 @@ def test_describe_and_interval_edges(spark):
     assert (b["ci_lower"], b["ci_upper"]) == (0.3, 0.3)
 
 
+def test_exact_median(spark):
+    rng = random.Random(3)
+    data = {"a": [rng.random() for _ in range(4001)], "b": [1e-300, 1e300, 7.0, 7.0], None: [2.0, None, 5.0], "c": [None],
+            "d": [float("-inf"), 1.0, 2.0, float("inf")], "e": [3.0] * 9}
+    df = spark.createDataFrame([(k, v) for k, vs in data.items() for v in vs], "k string, v double")
+    got = {r["_key"]["k"]: r["median"] for r in inference.exact_median(inference._value_counts(df, ["k"], "v")).collect()}
+    assert got == {"a": statistics.median(data["a"]), "b": 7.0, None: 3.5, "d": 1.5, "e": 3.0}
+    assert inference.describe_metric(df, ["k"], "v").count() == 6
+    assert inference.describe_metric(df.filter("k = 'e'"), [], "v").first()["median"] == 3.0
+
+
 def test_relative_lift_matches_published_rows(spark):
     """Published scaffold lift (0.5241 -> 0.7148) and the mean without one model."""
     published = [("m0", "a", 0.4828), ("m1", "a", 0.2306), ("m2", "a", 0.5239),
@@ -273,6 +295,16 @@ def test_kmeans_finds_blobs(spark):
     assert found[0] == 0 and found[1] == 0
 
 
+def test_lost_cluster_starts_at_the_farthest_point(spark):
+    points = spark.createDataFrame([(i, 0, 0, [float(x)]) for i, x in enumerate([0, 1, 2, 50])],
+                                   "id long, label int, restart int, vec array<double>")
+    before = spark.createDataFrame([(0, 0, 0, [1.0]), (0, 0, 1, [-900.0])], "label int, restart int, cluster int, centroid array<double>")
+    moved = clustering.lloyd_step(points, before, ["label", "restart"], "vec", 1)
+    assert moved.count() == 1
+    filled = clustering._refilled(points, before, moved, ["label", "restart"], "id", "vec")
+    assert rows(filled.select("cluster", "centroid")) == [(0, [13.25]), (1, [50.0])]
+
+
 def test_silhouettes_against_pairs(spark):
     points, data = blobs(spark, per=12)
     clustered = points.withColumn("cluster", (F.col("id") % 5).cast("int"))

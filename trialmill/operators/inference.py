@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..fixed_values import ALPHA, CONDITION_PAIRS, CONDITIONS, FAMILY_SIZE
 from ..functions import distributions as dist
+from ..session import cut_lineage, small_side
+
+MEDIAN_BINS = 1024
 
 
 def by_condition(df: DataFrame, units: list[str], value: str, conditions: list[str] = CONDITIONS) -> DataFrame:
@@ -84,13 +87,56 @@ def mean_ci95(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return stats.select(*keys, "n", F.round("_m", 4).alias("mean"), low.alias("ci_lower"), high.alias("ci_upper"))
 
 
+def _value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Rows per `_key` (a struct of `keys`) and distinct value, NULL among them, written once."""
+    key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
+    return cut_lineage(df.groupBy(key.alias("_key"), F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n")))
+
+
+def exact_median(cells: DataFrame) -> DataFrame:
+    """Exact median per `_key` of values `_v` that occur `_n` times; NULLs do not count.
+
+    Both middle ranks are closed in on: each round counts the range that holds a rank in `MEDIAN_BINS`
+    pieces, so no task ever holds a key's values, however many differ.  The least and the greatest value of a
+    range fall in different pieces, hence every round narrows.
+    """
+    cells = cells.filter(F.col("_v").isNotNull())
+    ends = cells.groupBy("_key").agg(
+        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total"))
+    middle = F.array(F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2))
+    at = ends.select("_key", "_lo", "_hi", F.posexplode(middle).alias("_side", "_rank"))
+    ordered = Window.partitionBy("_key", "_side").orderBy("_bin")
+    while True:
+        at = cut_lineage(at)
+        if at.filter(F.col("_lo") < F.col("_hi")).isEmpty():
+            return at.groupBy("_key").agg(F.avg("_lo").alias("median"))
+        v, lo, hi = F.col("_v"), F.col("_lo"), F.col("_hi")
+        piece = F.floor((v - lo) / F.when(lo < hi, hi - lo).otherwise(1.0) * MEDIAN_BINS)
+        bins = F.when(v == lo, 0).when(v == hi, MEDIAN_BINS - 1).otherwise(
+            F.coalesce(F.least(piece.try_cast("int"), F.lit(MEDIAN_BINS - 1)), F.lit(MEDIAN_BINS // 2)))
+        counted = cells.join(small_side(at), "_key").filter((v >= lo) & (v <= hi)).groupBy(
+            "_key", "_side", "_rank", bins.alias("_bin")).agg(
+            F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_n"))
+        before = F.sum("_n").over(ordered) - F.col("_n")
+        at = counted.withColumn("_before", before).filter(
+            (F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_n"))).select(
+            "_key", "_lo", "_hi", "_side", (F.col("_rank") - F.col("_before")).alias("_rank"))
+
+
 def describe_metric(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    stats = df.groupBy(*keys).agg(
-        F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"), F.percentile(value, F.lit(0.5)).alias("_q"),
-        F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("n"))
+    """Count, mean, spread, median, ends and interval per key, from one pass over the facts."""
+    cells = _value_counts(df, keys, value)
+    times = F.when(F.col("_v").isNotNull(), F.col("_n"))
+    stats = cells.groupBy("_key").agg(
+        (F.sum(F.col("_v") * F.col("_n")) / F.sum(times)).alias("_m"),
+        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.coalesce(F.sum(times), F.lit(0)).alias("n"))
+    around = cells.join(small_side(stats.select("_key", "_m", "n")), "_key").groupBy("_key").agg(
+        F.sqrt(F.try_divide(F.sum(F.col("_n") * F.pow(F.col("_v") - F.col("_m"), 2)), F.max("n") - 1)).alias("_s"))
+    stats = stats.join(around, "_key").join(exact_median(cells), "_key", "left")
     low, high = mean_interval(F.col("n"), F.col("_m"), F.col("_s"))
     return stats.select(
-        *keys, F.round("_m", 4).alias("mean"), F.round("_s", 4).alias("std"), F.round("_q", 4).alias("median"),
+        *[F.col(f"_key.{k}").alias(k) for k in keys], F.round("_m", 4).alias("mean"), F.round("_s", 4).alias("std"),
+        F.round("median", 4).alias("median"),
         F.round("_lo", 4).alias("min"), F.round("_hi", 4).alias("max"), "n",
         low.alias("ci_lower"), high.alias("ci_upper"))
 

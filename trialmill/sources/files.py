@@ -28,7 +28,7 @@ def read_corpus(spark: SparkSession, path: str, types: dict[str, str] | None = N
     """A headered CSV with trimmed lower-case names and repeated columns dropped.
 
     Only the header line is read ahead; columns are text unless `types` says otherwise.
-    `multi_line` allows line breaks inside quotes, at the price that files are not split.
+    An empty field, quoted or not, is NULL.  `multi_line` allows line breaks inside quotes, at the price that files are not split.
     """
     header = spark.read.csv(path, header=False).first()
     names = normal_names([v or "" for v in header])
