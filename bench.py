@@ -16,6 +16,7 @@ from trialmill.session import build_session  # noqa: E402
 HEADLINE = [
     "condition_overall", "best_sequence_f1", "bootstrap_cpstc", "silhouette_exact", "extract_tool_calls",
     "clean_text", "upsert_results", "paired_ttest", "fig_latency", "lloyd_step",
+    "describe_metric", "kmeans_per_class",
 ]
 
 

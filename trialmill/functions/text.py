@@ -24,8 +24,8 @@ def zero_padded(number: Column, width: int) -> Column:
     return F.when(F.length(digits) < width, F.lpad(digits, width, "0")).otherwise(digits)
 
 
-def _contraction_rules() -> list[tuple[str, str]]:
-    """(pattern, replacement) pairs: one pass per shared ending instead of one per word.
+def _contraction_rules() -> list[tuple[str, str, str]]:
+    """(ending, pattern, replacement) rows: one pass per shared ending instead of one per word.
 
     Words such as "they're" and "we're" keep their stem and swap the ending, so a single
     pattern with a back-reference serves them all.
@@ -42,17 +42,21 @@ def _contraction_rules() -> list[tuple[str, str]]:
     for (ending, replacement), members in groupby(parts, key=lambda p: p[:2]):
         stems = [m[2] for m in members]
         if stems == [""]:
-            rules.append((rf"(?U)\b{ending}\b", replacement))
+            rules.append((ending, rf"(?U)\b{ending}\b", replacement))
         else:
-            rules.append((rf"(?U)\b({'|'.join(stems)}){ending}\b", "$1" + replacement))
+            rules.append((ending, rf"(?U)\b({'|'.join(stems)}){ending}\b", "$1" + replacement))
     return rules
 
 
 def expand_contractions(text: Column) -> Column:
-    """Expand contractions in lower-cased text.  Text without an apostrophe skips the work."""
+    """Expand contractions in lower-cased text.  Text without an ending skips its pass, text without an
+    apostrophe all of them."""
+    def swap(ending: str, pattern: str, replacement: str):
+        return lambda t: F.when(F.contains(t, F.lit(ending)), F.regexp_replace(t, pattern, replacement)).otherwise(t)
+
     expanded = text
-    for pattern, replacement in _contraction_rules():
-        expanded = F.regexp_replace(expanded, pattern, replacement)
+    for rule in _contraction_rules():
+        expanded = let(expanded, swap(*rule))
     return F.when(F.contains(text, F.lit("'")), expanded).otherwise(text)
 
 
