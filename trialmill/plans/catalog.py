@@ -268,7 +268,8 @@ def task_quality_report(spark, sf):
     known = F.when(F.size("expected_tools") > 2, F.array(F.size("minimum_required_tools").cast("float")))
     gold = b.gold(spark, sf).withColumn("intent_preservation_embedding", known)
     master = sampling.tasks_master(b.tasks(spark, sf).select("task_id", "intent", "topic", "k"), gold)
-    return sampling.quality_report(master.withColumn("raw_utterance", text), "raw_utterance")
+    return sampling.quality_report(master.withColumn("raw_utterance", text), "raw_utterance",
+                                   "gold_standard.intent_preservation_embedding")
 
 
 @query
