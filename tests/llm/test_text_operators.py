@@ -60,6 +60,37 @@ def test_pages_defined_cases(spark):
     assert htmltext.extract_pages(frame.limit(0)).count() == 0
 
 
+LONG = "Words of the article that go on. " * 12
+
+
+@pytest.mark.parametrize("attribute", [
+    'style="overflow:hidden"', 'title="hidden gems"', 'data-hidden="false"', "data-x='role=navigation'", 'data-url="/x?id=login"', "data-class=sidebar",
+    'title="class=footer" class=text', "data-aria-hidden=true",
+])
+def test_only_real_attribute_names_count(attribute):
+    assert htmltext.extract(f"<body><div {attribute}><p>{LONG}</div><p>x") == LONG.strip()
+    assert htmltext.extract(f"<body><p>{LONG}<div hidden><p>a</div><div ROLE = 'navigation'>b</div><div id=login>c</div>") == LONG.strip()
+
+
+@pytest.mark.parametrize("name", ["no-sidebar", "has-sidebar", "hasSidebar", "header-fixed", "layout-left-sidebar", "page footer-dark"])
+def test_a_noise_word_on_a_wrapper_keeps_the_article(name):
+    box = "<div class=sidebar>Side words.</div><div class='ad-box'>Buy!</div>"
+    page = f"<body><div class='{name}'>{box}<div class=text><h1>Head</h1><p>{LONG}</div></div><div class=small>Imprint</div></body>"
+    assert htmltext.extract(page) == f"Head {LONG}".strip()
+    assert htmltext.extract(f"<body><main><div class='{name}'><div class=navbar-top><p>{LONG}</div></div></main>") == LONG.strip()
+
+
+def test_long_noise_by_name_stays_out():
+    comments = "<div class=comment-list>" + f"<div class=comment><p>Reader says: {LONG}</div>" * 9 + "</div>"
+    for article in (f"<article><p>{LONG}</article>", f"<div class=text><h1>Head</h1><p>{LONG}</div>"):
+        assert "Reader" not in htmltext.extract(f"<body>{article}{comments}")
+
+
+def test_math_and_xmp_are_text():
+    page = f"<body><div><p>{LONG}<math><mi>x</mi><mo>=</mo><mn>1</mn></math></p><xmp>a <b>&amp;</b></xmp><p>End.</div>"
+    assert htmltext.extract(page) == f"{LONG}x=1 a <b>&amp;</b> End."
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 

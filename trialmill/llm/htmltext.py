@@ -6,7 +6,8 @@ classes down to it with digits generalised.  Spark adds the votes up by host; a
 at its host's winning path, or at its own best container where it lacks that path or has little there.
 
 Navigation, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments count
-nowhere and are cut out.  Character references are decoded, blocks are joined by one space.
+nowhere and are cut out; an element that is one of these only by a word of its class or id stays if it
+holds the page's main text.  Character references are decoded, blocks are joined by one space.
 
 Defined cases: null and empty html give the empty text; a page without tags is its own text; pages
 without a host vote together; unclosed, stray and crossed tags close as browsers do for blocks; long
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from html import unescape
+from html import escape, unescape
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -26,11 +27,11 @@ from trialmill.llm.common import chunks, cut_lineage, fresh, join_written, utf8
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp template svg math".split())
+RAW = frozenset("script style textarea title noscript iframe template svg".split())
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
     "form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section "
-    "summary table tbody td tfoot th thead tr ul".split()
+    "summary table tbody td tfoot th thead tr ul xmp".split()
 )
 CONTAINERS = frozenset("article body center div main section table tbody td tr".split())
 #: Start tags that end an open element of the same line, up to the nearest of the second list.
@@ -53,28 +54,33 @@ NOISE_WORDS = frozenset(
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
 )
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 DIGITS = re.compile(r"\d+")
 PARTS = re.compile(r"[a-z]+", re.I)
+#: Says of a wrapper what it holds or lacks, not what it is.
+HOLDS = re.compile(r"(?<![a-z])(?:no|not|has|with|without)[-_]*(?=[A-Z]|(?<=[-_])[a-z])[a-zA-Z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
 class Node:
-    __slots__ = ("tag", "parent", "path", "noise", "items", "score")
+    __slots__ = ("tag", "parent", "path", "noise", "named", "items", "score")
 
     def __init__(self, tag: str, parent: Node | None, path: str, noise: bool) -> None:
         self.tag, self.parent, self.path, self.noise = tag, parent, path, noise
+        self.named = False  # noise by a word of class or id, until `_settle` has looked at the whole page
         self.items: list = []  # texts and child nodes in page order
         self.score = 0.0
 
 
 def _attributes(text: str) -> dict[str, str]:
-    return {m[0].lower(): m[1] or m[2] or m[3] for m in ATTRIBUTE.findall(text)}
+    """Name to value; of a repeated name the first counts."""
+    return {m[0].lower(): m[1] or m[2] or m[3] for m in reversed(ATTRIBUTE.findall(text))}
 
 
 def _start(tag: str, attributes: str, parent: Node) -> Node:
     noise = parent.noise or tag in NOISE_TAGS
+    named = False
     label = tag
     if attributes.strip():
         found = _attributes(attributes)
@@ -82,17 +88,79 @@ def _start(tag: str, attributes: str, parent: Node) -> Node:
         if name:
             label += "." + ".".join(sorted(DIGITS.sub("#", name).split()))
         if not noise and tag not in ("html", "body", "main", "article"):
-            words = PARTS.findall(CAMEL.sub(" ", f"{name} {unescape(found.get('id', ''))}"))
-            noise = (
-                any(w.lower() in NOISE_WORDS for w in words) or found.get("role", "").lower() in NOISE_ROLES
-                or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
-            )
-    return Node(tag, parent, f"{parent.path}/{label}", noise)
+            words = PARTS.findall(CAMEL.sub(" ", HOLDS.sub(" ", f"{name} {unescape(found.get('id', ''))}")))
+            named = any(w.lower() in NOISE_WORDS for w in words)
+            noise = found.get("role", "").lower() in NOISE_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
+    node = Node(tag, parent, f"{parent.path}/{label}", noise)
+    node.named = named and not noise
+    return node
+
+
+def _settle(root: Node, named: list[Node]) -> None:
+    """Make noise of the elements that are noise by name, but for those that hold the page's main text.
+
+    Text belongs to the nearest such element around it.  One with more text than all that is kept is a
+    wrapper, if the page has no other main element and either only it has a headline or hardly anything is kept.
+    """
+    text = dict.fromkeys(map(id, [root, *named]), 0)
+    heads: dict[int, set[str]] = {k: set() for k in text}
+    marks: list[tuple[Node, int]] = []  # article and main with the element they are kept by
+    stack = [(root, root, False)]
+    while stack:
+        node, owner, linked = stack.pop()
+        if node.noise:
+            continue
+        owner, linked = node if node.named else owner, linked or node.tag == "a"
+        if node.tag in ("h1", "main", "article"):
+            heads[id(owner)].add(node.tag)
+            if node.tag != "h1":
+                marks.append((node, id(owner)))
+        if not linked:
+            text[id(owner)] += sum(len(x) - sum(map(x.count, " \t\r\n")) for x in node.items if isinstance(x, str))
+        stack.extend((x, owner, linked) for x in node.items if isinstance(x, Node))
+    kept, rest = {id(root)}, named
+    while True:
+        rest = [n for n in rest if n.named]
+        most = max(rest, key=lambda n: text[id(n)], default=None)
+        have = sum(text[k] for k in kept)
+        if most is None or text[id(most)] <= have:
+            break
+        size, above, up = text[id(most)], set(), most
+        while up is not None:
+            above.add(id(up))
+            up = up.parent
+        other = any(k in kept and id(m) not in above and _has_text(m) for m, k in marks)
+        headed = any("h1" in heads[k] for k in kept)
+        wraps = have * 20 < size or not headed and (have * 4 < size or bool(heads[id(most)]))
+        if have and (other or not wraps):
+            break
+        node = most
+        while node is not None:
+            if node.named:
+                node.named = False
+                kept.add(id(node))
+            node = node.parent
+    for node in rest:
+        node.noise = True
+
+
+def _has_text(top: Node) -> bool:
+    """Whether there is text in an element, noise and what may be noise by name apart."""
+    stack = [top]
+    while stack:
+        for item in stack.pop().items:
+            if isinstance(item, str):
+                if not item.isspace():
+                    return True
+            elif item is not None and not item.noise and not item.named:
+                stack.append(item)
+    return False
 
 
 def parse(html: str) -> Node:
-    """The page as a tree; raw elements lose their content."""
+    """The page as a tree; raw elements lose their content, that of xmp is text as it stands."""
     root = at = Node("", None, "", False)
+    named: list[Node] = []
     position, size, lower = 0, len(html), None
     search = TOKEN.search
     while position < size:
@@ -117,10 +185,17 @@ def parse(html: str) -> Node:
                 at.items.append(None)
         elif tag:
             tag = tag.lower()
-            if tag in RAW:
+            if tag in RAW or tag == "xmp":
                 lower = html.lower() if lower is None else lower
-                stop = lower.find(f"</{tag}", position) if not attributes.rstrip().endswith("/") else position
-                position = size if stop < 0 else stop
+                stop = lower.find(f"</{tag}", position) if tag == "xmp" or not attributes.rstrip().endswith("/") else position
+                start, position = position, size if stop < 0 else stop
+                if tag == "xmp":
+                    at = _implied(at, tag)
+                    node = _start(tag, attributes, at)
+                    node.items.append(escape(html[start:position]))
+                    at.items.append(node)
+                    if node.named:
+                        named.append(node)
                 if stop >= 0 and (closing := search(html, position)) and closing.start() == position:
                     position = closing.end()
                 continue
@@ -133,6 +208,10 @@ def parse(html: str) -> Node:
             node = _start(tag, attributes, at)
             at.items.append(node)
             at = node
+            if node.named:
+                named.append(node)
+    if named:
+        _settle(root, named)
     return root
 
 
