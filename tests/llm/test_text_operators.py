@@ -86,6 +86,28 @@ def test_long_noise_by_name_stays_out():
         assert "Reader" not in htmltext.extract(f"<body>{article}{comments}")
 
 
+def test_all_of_a_path_is_extracted():
+    for tag in ("div class=part", "section"):
+        name = tag.split()[0]
+        page = f"<body><div><{tag}><p>{LONG}</{name}><{tag}><p>Shorter part.</{name}></div>"
+        path = f"/body/div/{name}.part" if " " in tag else f"/body/div/{name}"
+        for host_path in (None, path):
+            assert htmltext.extract(page, host_path) == f"{LONG}Shorter part."
+
+
+def test_a_container_with_more_text_wins_over_its_best_part():
+    lead = "A lead of some length. " * 5
+    for page in (
+        f"<body><div><h1>Head</h1><p>{lead}</p><div class=text><p>{LONG}</div></div>", f"<body><h1>Head</h1><p>{lead}</p><div><p>{LONG}</div>",
+    ):
+        root = htmltext.parse(page)
+        for host_path in (None, htmltext.best_container(root).path):
+            assert htmltext.extract(page, host_path) == f"Head {lead}{LONG}".strip()
+    assert htmltext.extract(f"<body><div><div class=a><p>{LONG}</div><section class=b><p>{lead}</section></div>") == f"{LONG}{lead}".strip()
+    assert htmltext.extract(f"<body><div><h1>Head</h1><div><p>{LONG}</div></div>") == f"Head {LONG}".strip()
+    assert htmltext.extract(f"<body><div><div class=a><p>{LONG}</div><div class=b><a href=/>{LONG}</a></div></div>") == LONG.strip()
+
+
 def test_math_and_xmp_are_text():
     page = f"<body><div><p>{LONG}<math><mi>x</mi><mo>=</mo><mn>1</mn></math></p><xmp>a <b>&amp;</b></xmp><p>End.</div>"
     assert htmltext.extract(page) == f"{LONG}x=1 a <b>&amp;</b> End."

@@ -1,9 +1,10 @@
 """Main text of HTML pages by consensus host paths.
 
 Every page scores its containers: text that is not links, and paragraphs, count for a container and
-half for the one around it.  The best container votes, with its score, for its path: the tags and
+half for the one around it; one with markedly more of it than the best container in it scores no less
+than that.  The best container votes, with its score, for its path: the tags and
 classes down to it with digits generalised.  Spark adds the votes up by host; a page is extracted again
-at its host's winning path, or at its own best container where it lacks that path or has little there.
+at its host's winning path, or at its own best path where it lacks that path or has little there.
 
 Navigation, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments count
 nowhere and are cut out; an element that is one of these only by a word of its class or id stays if it
@@ -55,6 +56,8 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
 )
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
+#: A container that holds this much more text than the best inside wins over it.
+MORE = 1.2
 DIGITS = re.compile(r"\d+")
 PARTS = re.compile(r"[a-z]+", re.I)
 #: Says of a wrapper what it holds or lacks, not what it is.
@@ -245,6 +248,9 @@ def _scored(root: Node) -> list[Node]:
                 size[linked] += len(item) - item.count(" ")
         stack.extend((x, linked) for x in reversed(node.items) if isinstance(x, Node))
     containers = [n for n in order if n.tag in CONTAINERS or n is root]
+    headed: set[int] = set()  # has a headline outside the containers in it
+    whole: dict[int, int] = {}  # plain text with that of the containers in it
+    inside: dict[int, tuple[float, int]] = {}  # score and plain text of the best container in it
     for node in reversed(order):  # children come before what is around them
         text, links = sizes[id(node)]
         up = node.parent
@@ -253,10 +259,24 @@ def _scored(root: Node) -> list[Node]:
             carry[0] += text
             carry[1] += links
             up.score += node.score
+            whole[id(up)] = whole.get(id(up), 0) + whole.get(id(node), 0)
+            if id(node) in inside:
+                inside[id(up)] = max(inside.get(id(up), (0.0, 0)), inside[id(node)])
+            if node.tag == "h1" and text > links or id(node) in headed:
+                headed.add(id(up))
         else:
-            node.score += max(0, text - links)
+            own = max(0, text - links)
+            node.score += own
+            mine = whole.get(id(node), 0) + own
+            score, most = inside.get(id(node), (0.0, 0))
+            # the body and the table parts hold what is not of one piece: there only text of their own speaks for them
+            plain = node.tag in ("div", "section")
+            if most and ((mine if plain else most + own) >= MORE * most or plain and id(node) in headed):
+                node.score = max(node.score, score)
             if up is not None:  # half of a container's score goes to the one around it
                 up.score += node.score / 2
+                whole[id(up)] = whole.get(id(up), 0) + mine
+                inside[id(up)] = max(inside.get(id(up), (0.0, 0)), (score, most), (node.score, mine))
     for node in containers:
         if node.tag in ("article", "main"):
             node.score *= 3
@@ -296,7 +316,7 @@ def text_of(nodes: list[Node]) -> str:
 
 
 def extract(html: str, host_path: str | None = None, least: float = 0.3) -> str:
-    """Main text at the host's path, or at the page's best container if that path has under `least` of its score."""
+    """Main text of all at the host's path, or at the page's best path if that path has under `least` of its score."""
     root = parse(html)
     containers = _scored(root)
     best = max(containers, key=lambda n: n.score)
@@ -304,7 +324,7 @@ def extract(html: str, host_path: str | None = None, least: float = 0.3) -> str:
         voted = [n for n in containers if n.path == host_path]
         if sum(n.score for n in voted) >= least * best.score:
             return text_of(voted)
-    return text_of([n for n in containers if n.path == best.path] if best.tag == "article" else [best])
+    return text_of([n for n in containers if n.path == best.path])
 
 
 def host_of(url: Column) -> Column:
