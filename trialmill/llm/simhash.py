@@ -168,7 +168,12 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     The row with the smallest doc_id stays, a row without one only where its group has none; texts
     under one id are ordered by their hash, and of equal rows one stays.
     """
-    found = cut_lineage(near_duplicates(docs, **options))
+    return keep_rows(docs, near_duplicates(docs, **options))
+
+
+def keep_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of `docs` that `keep_one` keeps where `found` (doc_id, th, root) has the groups."""
+    found = cut_lineage(found.select("doc_id", "th", "root"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
     kept = found.groupBy("root").agg(F.min(order).alias("_best")).select(F.col("_best.doc_id").alias("_doc"), F.col("_best.th").alias("_th"))
     again = cut_lineage(found.groupBy("doc_id", "th").count().where("count > 1").select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th")))
