@@ -12,7 +12,7 @@ that are dropped without a loss.
 
 Defined cases: words are runs of letters and digits, lower-cased; null, empty and wordless items and
 texts match nothing; items with under five words are sought whole; rows that repeat doc_id and text are
-one document; rows without doc_id are told apart by their text; empty tables give an empty result.
+one document; rows without doc_id and items without item_id are told apart by their text; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -94,26 +94,31 @@ def _matches(item, text, free_item, free_text, size: int) -> list[tuple[int, int
     return sorted(zip(length.tolist(), a[cut].tolist(), b[cut].tolist()), key=lambda m: (-m[0], m[1], m[2]))
 
 
+def _known(items: DataFrame) -> DataFrame:
+    """(item_id, ih, text) of every item; the hash of the text tells items without an id apart."""
+    return items.select("item_id", F.xxhash64("text").alias("ih"), F.col("text").cast("string").alias("text"))
+
+
 def item_seeds(items: DataFrame, width: int) -> DataFrame:
-    """(item_id, size, width, pos, seed) of every item with words; shorter items are one seed."""
+    """(item_id, ih, size, width, pos, seed) of every item with words; shorter items are one seed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            for i, text in enumerate(utf8(batch.column(1))):
+            for i, text in enumerate(utf8(batch.column(2))):
                 words = words_of(text, known)
                 w = min(width, len(words))
                 seeds = seeds_of(words, w) if w else np.zeros(0, np.uint64)
                 n = len(seeds)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array([i] * n, pa.int64())), pa.array([len(words)] * n, pa.int32()), pa.array([w] * n, pa.int32()),
+                    [batch.column(0).take(pa.array([i] * n, pa.int64())), batch.column(1).take(pa.array([i] * n, pa.int64())), pa.array([len(words)] * n, pa.int32()), pa.array([w] * n, pa.int32()),
                      pa.array(range(n), pa.int32()), pa.array(seeds.view(np.int64), pa.int64())],
-                    names=["item_id", "size", "width", "pos", "seed"],
+                    names=["item_id", "ih", "size", "width", "pos", "seed"],
                 )
 
     kind = items.schema["item_id"].dataType.simpleString()
-    return items.where("item_id is not null").select("item_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        run, f"item_id {kind}, size int, width int, pos int, seed bigint"
+    return _known(items).mapInArrow(
+        run, f"item_id {kind}, ih bigint, size int, width int, pos int, seed bigint"
     )
 
 
@@ -166,14 +171,14 @@ def contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE,
     found = texts.mapInArrow(hits, f"doc_id {kind}, th int, seed bigint").distinct()
     enough = F.ceil(F.col("size") * F.lit(coverage) / F.lit(float(width)))
     pairs = cut_lineage(
-        found.join(seeds.select("item_id", "size", "pos", F.col("seed").alias("_seed")), F.col("seed") == F.col("_seed"))
-        .groupBy("doc_id", "th", "item_id", "size").agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= F.least(enough, F.lit(1) + F.greatest(F.col("size") - width, F.lit(0)))).select("doc_id", "th", "item_id")
+        found.join(seeds.select("item_id", "ih", "size", "pos", F.col("seed").alias("_seed")), F.col("seed") == F.col("_seed"))
+        .groupBy("doc_id", "th", "item_id", "ih", "size").agg(F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") >= F.least(enough, F.lit(1) + F.greatest(F.col("size") - width, F.lit(0)))).select("doc_id", "th", "item_id", "ih")
     )
-    renamed = pairs.select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), "item_id")
+    renamed = pairs.select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), "item_id", "ih")
     both = join_written(texts, renamed, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th")))
-    named = cut_lineage(items.where("item_id is not null").select(F.col("item_id").alias("_item"), F.col("text").cast("string").alias("item_text")))
-    compared = join_written(both, named, F.col("item_id") == F.col("_item")).select("doc_id", "th", "item_id", "text", "item_text")
+    named = cut_lineage(_known(items).select(F.col("item_id").alias("_item"), F.col("ih").alias("_ih"), F.col("text").alias("item_text")))
+    compared = join_written(both, named, F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("ih") == F.col("_ih"))).select("doc_id", "th", "item_id", "text", "item_text")
     item_kind = items.schema["item_id"].dataType.simpleString()
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
