@@ -1,6 +1,7 @@
 """Cases in which an operator once did less than the whole job."""
 
 from trialmill.llm import decontam
+from trialmill.llm.labelled import Row, labelled_sample
 
 
 def test_items_without_an_id_are_found(spark):
@@ -10,3 +11,13 @@ def test_items_without_an_id_are_found(spark):
     got = {(r.doc_id, r.item_id, r.coverage) for r in decontam.contaminated(docs, items).collect()}
     assert got == {(1, None, 1.0), (2, None, 1.0), (4, 7, 1.0)}
     assert [r.doc_id for r in decontam.drop_contaminated(docs, items).collect()] == [3]
+
+
+def test_a_text_beyond_the_budget_is_passed_over(spark):
+    ids = [r.doc_id for r in spark.range(1, 80).selectExpr("id AS doc_id", "md5(cast(id AS string)) AS o").where("crc32(cast(cast(doc_id AS string) AS binary)) % 5 <> 0").orderBy("o").collect()]
+    texts = [(d, "x" * (500 if k == 0 else 10), "en") for k, d in enumerate(ids)]
+    texts += [(ids[1], "y" * 10, "en")] * 3  # repeats of an id count once
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(d, k % 2) for k, d in enumerate(ids)], "doc_id long, toxic int")
+    got, _ = labelled_sample(docs, labels, "toxic", 100, 200)
+    assert got == [Row(b"x" * 10, k % 2, "en") for k in range(1, 21)]
