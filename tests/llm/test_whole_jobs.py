@@ -1,6 +1,6 @@
 """Cases in which an operator once did less than the whole job."""
 
-from trialmill.llm import decontam
+from trialmill.llm import decontam, toxicity
 from trialmill.llm.labelled import Row, labelled_sample
 
 
@@ -21,3 +21,15 @@ def test_a_text_beyond_the_budget_is_passed_over(spark):
     labels = spark.createDataFrame([(d, k % 2) for k, d in enumerate(ids)], "doc_id long, toxic int")
     got, _ = labelled_sample(docs, labels, "toxic", 100, 200)
     assert got == [Row(b"x" * 10, k % 2, "en") for k in range(1, 21)]
+
+
+def test_languages_beyond_the_most_frequent_share_the_overall_cut(monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_LANGUAGES", 2)
+    sample = []
+    for i in range(400):
+        lang = ("aa", "bb", "cc", "dd")[0 if i % 10 < 5 else 1 if i % 10 < 8 else i % 10 - 6]
+        sample.append(Row(f"{lang}one {lang}two {'bad' if i % 3 == 0 else 'good'} {lang}three".encode(), int(i % 3 == 0), lang))
+    model = toxicity.fit(sample, 0.3, epochs=2)
+    assert model.languages.shape[1] == len(model.cuts) == 3
+    guess = [model.language_of(toxicity.lay_out([f"{x}one {x}two {x}three".encode()], toxicity.WordHashes()))[0] for x in ("aa", "bb", "cc", "dd")]
+    assert guess == [0, 1, 2, 2]
