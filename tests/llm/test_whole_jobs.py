@@ -1,6 +1,6 @@
 """Cases in which an operator once did less than the whole job."""
 
-from trialmill.llm import decontam, toxicity
+from trialmill.llm import decontam, substrings, toxicity
 from trialmill.llm.labelled import Row, labelled_sample
 
 
@@ -13,6 +13,16 @@ def test_items_without_an_id_are_found(spark):
     assert [r.doc_id for r in decontam.drop_contaminated(docs, items).collect()] == [3]
 
 
+def test_rows_without_an_id_are_told_apart_by_64_bits(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(None, long), (None, f"{long} more")], "doc_id long, text string")
+    th = {r.th for r in substrings.repeated_windows(docs).select("th").collect()}
+    known = {r.h for r in docs.selectExpr("xxhash64(text) AS h").collect()}
+    assert th and th <= known
+    items = spark.createDataFrame([(1, long)], "item_id long, text string")
+    assert {r.th for r in decontam.contaminated(docs, items).collect()} == known
+
+
 def test_a_text_beyond_the_budget_is_passed_over(spark):
     ids = [r.doc_id for r in spark.range(1, 80).selectExpr("id AS doc_id", "md5(cast(id AS string)) AS o").where("crc32(cast(cast(doc_id AS string) AS binary)) % 5 <> 0").orderBy("o").collect()]
     texts = [(d, "x" * (500 if k == 0 else 10), "en") for k, d in enumerate(ids)]

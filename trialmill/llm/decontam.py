@@ -167,8 +167,8 @@ def contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE,
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", F.hash("text").alias("th"), F.col("text").cast("string").alias("text"))
-    found = texts.mapInArrow(hits, f"doc_id {kind}, th int, seed bigint").distinct()
+    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
+    found = texts.mapInArrow(hits, f"doc_id {kind}, th bigint, seed bigint").distinct()
     enough = F.ceil(F.col("size") * F.lit(coverage) / F.lit(float(width)))
     pairs = cut_lineage(
         found.join(seeds.select("item_id", "ih", "size", "pos", F.col("seed").alias("_seed")), F.col("seed") == F.col("_seed"))
@@ -197,7 +197,7 @@ def contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE,
                 names=["doc_id", "th", "item_id", "coverage", "tiles"],
             )
 
-    measured = compared.mapInArrow(cover, f"doc_id {kind}, th int, item_id {item_kind}, coverage double, tiles bigint")
+    measured = compared.mapInArrow(cover, f"doc_id {kind}, th bigint, item_id {item_kind}, coverage double, tiles bigint")
     return measured.where(F.col("coverage") >= coverage).distinct()
 
 
@@ -205,4 +205,4 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame
     """`docs` without the contaminated ones."""
     found = contaminated(docs, items, **options).select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th")).distinct()
     found = cut_lineage(found)
-    return join_written(docs, found, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.hash("text") == F.col("_th")), "left_anti")
+    return join_written(docs, found, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_th")), "left_anti")

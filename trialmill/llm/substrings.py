@@ -36,12 +36,12 @@ CHUNK_BYTES = 4_000_000
 
 #: marks: 4 bytes a window of the row; none: the windows from `start` on are settled as repeats.
 ROWS = T.StructType([
-    T.StructField("key", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("th", T.IntegerType()),
+    T.StructField("key", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("th", T.LongType()),
     T.StructField("start", T.IntegerType()), T.StructField("first", T.IntegerType()), T.StructField("n", T.IntegerType()),
     T.StructField("marks", T.BinaryType()),
 ])
 ARROW = pa.schema([
-    ("key", pa.int64()), ("doc", pa.int64()), ("th", pa.int32()), ("start", pa.int32()), ("first", pa.int32()),
+    ("key", pa.int64()), ("doc", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("first", pa.int32()),
     ("n", pa.int32()), ("marks", pa.binary()),
 ])
 
@@ -93,7 +93,7 @@ def _settled(doc, th, start, n) -> pa.RecordBatch:
     """Intervals of starts that are known as repeats; the key only spreads them."""
     key = mix(th.astype(np.int64).view(np.uint64) + start.astype(np.uint64)).view(np.int64)
     return pa.RecordBatch.from_arrays(
-        [pa.array(key), doc, pa.array(th.astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(np.zeros(len(th), np.int32)),
+        [pa.array(key), doc, pa.array(th.astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(np.zeros(len(th), np.int32)),
          pa.array(n.astype(np.int32)), pa.nulls(len(th), pa.binary())], schema=ARROW,
     )
 
@@ -137,7 +137,7 @@ def _chunk_rows(ids: pa.Array, th: np.ndarray, texts: list[bytes], window: int,
     if send.any():
         marks = hashes[np.repeat(send, n)] >> np.uint64(32)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(least[at[send]].view(np.int64)), ids.take(pa.array(doc[at[send]])), pa.array(th[doc[at[send]]].astype(np.int32)),
+            [pa.array(least[at[send]].view(np.int64)), ids.take(pa.array(doc[at[send]])), pa.array(th[doc[at[send]]].astype(np.int64)),
              pa.array(start[at[send]].astype(np.int32)), pa.array(place[at[send]].astype(np.int32)), pa.array(n[send].astype(np.int32)),
              _binary(marks, np.cumsum(n[send]))], schema=ARROW,
         )
@@ -227,12 +227,12 @@ def _match(group: int):
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, group: int = GROUP, chunk: int = CHUNK_BYTES) -> DataFrame:
     """(doc, th, start, n): runs of window starts whose words also start earlier; th is the text's hash."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.hash("text").alias("th"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
     rows = texts.mapInArrow(_emit_windows(window, chunk), ROWS)
     order = ["key", F.col("doc").asc_nulls_last(), "th", "start"]
     met = rows.repartition("key").sortWithinPartitions(*order).mapInArrow(_match(group), ROWS)
     # outsized keys once more, window by window; settled rows pass
-    met = met.repartition("key").sortWithinPartitions(*order).mapInArrow(_streamed(), "doc bigint, th int, start int, n int")
+    met = met.repartition("key").sortWithinPartitions(*order).mapInArrow(_streamed(), "doc bigint, th bigint, start int, n int")
     return met
 
 
@@ -278,7 +278,7 @@ def removal_runs(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
     found = repeated_windows(docs, window, **options).groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).agg(
         F.collect_list(F.struct("start", "n")).alias("_runs")
     )
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.hash("text") == F.col("_th"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_th"))
     return docs.drop("_runs", "_doc", "_th").join(found, same, "left").drop("_doc", "_th")
 
 
