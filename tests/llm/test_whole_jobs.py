@@ -1,5 +1,8 @@
 """Cases in which an operator once did less than the whole job."""
 
+import pytest
+
+import corpus_pipeline
 from trialmill.llm import decontam, substrings, toxicity
 from trialmill.llm.labelled import Row, labelled_sample
 
@@ -43,3 +46,15 @@ def test_languages_beyond_the_most_frequent_share_the_overall_cut(monkeypatch):
     assert model.languages.shape[1] == len(model.cuts) == 3
     guess = [model.language_of(toxicity.lay_out([f"{x}one {x}two {x}three".encode()], toxicity.WordHashes()))[0] for x in ("aa", "bb", "cc", "dd")]
     assert guess == [0, 1, 2, 2]
+
+
+@pytest.mark.parametrize("stage", ["mixing", "quality"])
+def test_stages_keep_clashing_columns(spark, sf_dir, stage):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    names = ["u", "size", "source_size", "target", "taken", "n_docs", "score", "predicted", "held_out", "_s", "_mine"]
+    given = docs.selectExpr("*", *[f"concat('{n}', doc_id) AS {n}" for n in names])
+    run = dict(corpus_pipeline.STAGES)[stage]
+    got = run(spark, given, sf_dir)
+    rows = got.collect()
+    assert got.columns == given.columns and rows
+    assert all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
