@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -49,15 +51,55 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_FOLDERS[app]
 
 
+_SCOPES: list[list[str]] = []
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` as a table into the shared folder and read it back.
 
     One computation (a checkpoint would run the plan twice), it survives lost executors, and
-    the written size lets Catalyst choose joins.
+    the written size lets Catalyst choose joins.  The table goes with the innermost `scratch` around
+    the call, by `forget`, or when the session's JVM ends.
     """
-    path = f"{shared_dir(df.sparkSession)}/trialmill-cut-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/trialmill-cut-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder, files = _folder(spark, path)
+    files.deleteOnExit(folder)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_at = path
+    return table
+
+
+def _folder(spark: SparkSession, path: str):
+    """Hadoop's path and file system of a folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def remove_folders(spark: SparkSession, paths: Iterable[str]) -> None:
+    for path in paths:
+        folder, files = _folder(spark, path)
+        files.delete(folder, True)
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Remove tables that `cut_lineage` wrote and nothing reads any more; other frames are left alone."""
+    for table in tables:
+        if path := getattr(table, "written_at", None) if table is not None else None:
+            remove_folders(table.sparkSession, [path])
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove what `cut_lineage` wrote in this block when it ends: its result must be stored by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        remove_folders(spark, _SCOPES.pop())
 
 
 def planned_bytes(df: DataFrame) -> int:
