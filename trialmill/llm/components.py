@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from trialmill.llm.common import cut_lineage
+from trialmill.session import forget
 
 
 def _hang(links: DataFrame, keep: str) -> DataFrame:
@@ -29,9 +30,10 @@ def connected_components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
         large = _hang(both, "v > u").unionByName(
             both.groupBy("u").agg(F.min("v").alias("v")).where("v < u")
         ).where("u <> v").distinct()
-        large = cut_lineage(large)
+        large, before = cut_lineage(large), edges
         small = _hang(large, "v <> m").unionByName(large.groupBy("u").agg(F.min("v").alias("v"))).where("u <> v")
         edges = cut_lineage(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        forget(before, large)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break

@@ -1,151 +1,45 @@
-"""Near-duplicates by Jaccard similarity of word shingles: MinHash bands, then the exact similarity.
+"""The pipeline's near-duplicate stage: SimHash's covering tables and bands of minima, then the exact similarity.
 
-Texts with equal shingle sets fold into one point.  A point has `BANDS` keys of `ROWS` minima each; a pair
-of similarity s shares a key with probability 1 - (1 - s^ROWS)^BANDS, at 0.8 all but 1.5 in 100,000.
-Only pairs whose sets are compared whole and reach `least` become links.
+SimHash's covering tables find all pairs of fingerprints within `radius` bits.  At a similarity of 0.8, however,
+64-bit fingerprints differ in about 10 bits, out of reach of any covering that has a practical number of
+tables; HyperMinHash bands are added for those, which pass over a pair at 0.8 with a chance of 1.5 in 100,000.
+Whichever key brings a pair together, its whole shingle sets are compared.
 
-A bucket compares its first `PIVOTS` points with all others; what is left goes to the next round, unless
-it is of one component by then.  So no bucket gives all its pairs at once, and no pair is passed over
-but those that are connected already.
-
-Defined cases: null, empty and wordless texts are one point; fewer words than a shingle are one shingle;
+Defined cases: null, empty and wordless texts are one group; fewer words than a shingle are one shingle;
 a table without near-duplicates keeps every row; an empty table stays empty.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from trialmill.llm.common import cut_lineage, join_written, utf8
-from trialmill.llm.components import connected_components
-from trialmill.llm.simhash import LOWER, keep_rows
+from trialmill.llm import hyperminhash
+from trialmill.llm.common import cut_lineage
+from trialmill.llm.simhash import RADIUS, covering_masks, keep_rows, majority
 
 SHINGLE = 5
-LEAST = 0.8
+LEAST = (80, 100)
 BANDS, ROWS = 28, 5
-PIVOTS = 16
-SEED = 42
-
-
-def shingles(text: bytes, width: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the runs of `width` words."""
-    words = text.translate(LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    n = max(1, len(words) - width + 1)
-    view, digest = memoryview(joined), xxhash.xxh64_intdigest
-    return np.unique(np.fromiter(
-        (digest(view[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[len(words) - n :].tolist())), np.uint64, n
-    ))
-
-
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
-
-
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """A key for each band, of the band's number and its minima; none for the empty set."""
-    if not len(hashes):
-        return np.zeros(0, np.int64)
-    rng = np.random.default_rng(SEED)
-    flip = rng.integers(0, 2**64, BANDS * ROWS, np.uint64)
-    factor = rng.integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1)
-    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for start in range(0, len(hashes), 2048):
-        np.minimum(least, ((hashes[start : start + 2048, None] ^ flip) * factor).min(axis=0), out=least)
-    return np.array([xxhash.xxh64_intdigest(m.tobytes(), i) for i, m in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
-
-
-def _points(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, th, point, keys) of every row; point is the hash of its shingle set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            points, keys = [], []
-            for text in utf8(batch.column(2)):
-                found = shingles(text, width)
-                points.append(xxhash.xxh64_intdigest(found.tobytes()))
-                keys.append(band_keys(found))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.array(points, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "th", "point", "keys"],
-            )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, th bigint, point bigint, keys array<bigint>")
-
-
-def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(point, hashes) of the wanted rows (_doc, _th, point)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingles(t, width).tobytes() for t in utf8(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["point", "hashes"])
-
-    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th"))
-    texts = join_written(rows, wanted, same).select("point", "text")
-    return texts.mapInArrow(run, "point bigint, hashes binary").dropDuplicates(["point"])
-
-
-def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose similarity is `least` or more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = ([np.frombuffer(x, np.uint64) for x in utf8(batch.column(c))] for c in ("ha", "hb"))
-            near = pa.array([jaccard(a, b) >= least for a, b in zip(left, right)], pa.bool_())
-            yield batch.select(["a", "b"]).filter(near)
-
-    first = sets.select(F.col("point").alias("a"), F.col("hashes").alias("ha"))
-    second = sets.select(F.col("point").alias("b"), F.col("hashes").alias("hb"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "ha", "hb").mapInArrow(run, "a bigint, b bigint")
 
 
-def near_links(docs: DataFrame, points: DataFrame, width: int, least: float, pivots: int = PIVOTS) -> DataFrame:
-    """(node, root) of all points with a near-duplicate."""
-    by_key = Window.partitionBy("key")
-    rows = points.select("point", F.explode("keys").alias("key"))
-    rows = cut_lineage(rows.withColumn("n", F.count(F.lit(1)).over(by_key)).where("n > 1").select("key", "point"))
-    met = rows.select("point").distinct()
-    wanted = cut_lineage(points.join(met, "point").select(F.col("best.doc_id").alias("_doc"), F.col("best.th").alias("_th"), "point"))
-    sets = cut_lineage(_sets(docs, wanted, width))
-    left, links, roots = rows.withColumn("label", F.col("point")), None, None
-    while True:
-        ranked = left.withColumn("rank", F.row_number().over(by_key.orderBy("point")))
-        ranked = cut_lineage(ranked)
-        heads = ranked.where(F.col("rank") <= pivots).select(F.col("key").alias("_key"), F.col("point").alias("a"), F.col("label").alias("_label"), F.col("rank").alias("_rank"))
-        pairs = ranked.join(heads, (F.col("key") == F.col("_key")) & (F.col("rank") > F.col("_rank")) & (F.col("label") != F.col("_label")))
-        found = cut_lineage(_alike(pairs.select("a", F.col("point").alias("b")).distinct(), sets, least))
-        links = found if links is None else links.unionByName(found)
-        roots = cut_lineage(connected_components(links))
-        named = roots.select(F.col("node").alias("_node"), "root")
-        rest = ranked.where(F.col("rank") > pivots).select("key", "point").join(named, F.col("point") == F.col("_node"), "left")
-        rest = rest.select("key", "point", F.coalesce("root", "point").alias("label"))
-        mixed = F.min("label").over(by_key) != F.max("label").over(by_key)
-        left = cut_lineage(rest.withColumn("mixed", mixed).where("mixed").drop("mixed"))
-        if not left.take(1):
-            return roots
+def table_keys(hashes: np.ndarray, masks: list[int]) -> np.ndarray:
+    """A key for each covering table, of its number and the bits it keeps of the set's fingerprint."""
+    bits = majority(hashes)
+    return np.array([xxhash.xxh64_intdigest((bits & m).to_bytes(8, "little"), 1000 + t) for t, m in enumerate(masks)], np.uint64).view(np.int64)
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE, least: float = LEAST, pivots: int = PIVOTS) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, width: int = SHINGLE, least: tuple[int, int] = LEAST, radius: int = RADIUS,
+    bands: int = BANDS, rows: int = ROWS, slots: int = 1,
+) -> DataFrame:
     """(doc_id, th, root) of every row; rows with one root are connected by pairs of similarity `least` or more."""
-    found = cut_lineage(_points(docs, width))
-    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("best")
-    points = cut_lineage(found.groupBy("point").agg(one, F.first("keys").alias("keys")))
-    roots = near_links(docs, points, width, least, pivots)
-    return found.join(roots, F.col("point") == F.col("node"), "left").select("doc_id", "th", F.coalesce("root", "point").alias("root"))
+    masks = covering_masks(radius)
+    found = cut_lineage(hyperminhash.sketches(docs, width, bands, rows, lambda hashes: table_keys(hashes, masks)))
+    roots = hyperminhash.point_classes(docs, found, width, least, slots)
+    joined = found.select("doc_id", "th", "point").join(roots, F.col("point") == F.col("node"), "left")
+    return joined.select("doc_id", "th", F.coalesce("root", "point").alias("root"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

@@ -57,10 +57,15 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     hashes = np.fromiter(
         (digest(view[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[len(words) - n :].tolist())), np.uint64, n
     )
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that over half the hashes have set."""
     total = np.zeros(64, np.int64)
-    for part in np.array_split(hashes, n // 65536 + 1):
+    for part in np.array_split(hashes, len(hashes) // 65536 + 1):
         total += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(total * 2 > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(total * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
