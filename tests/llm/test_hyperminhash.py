@@ -61,8 +61,7 @@ def test_classes_equal_all_pairs(spark):
     frame = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, point int, keys string")
     key = lambda r: tuple((x is None, x) for x in r)
     want = sorted(_plain(rows, (85, 100)), key=key)
-    for slots in (1, 4):
-        assert sorted(map(tuple, h.near_duplicates(frame.repartition(3), slots=slots).collect()), key=key) == want
+    assert sorted(map(tuple, h.near_duplicates(frame.repartition(3)).collect()), key=key) == want
     assert h.near_duplicates(frame.limit(0)).count() == 0
 
 

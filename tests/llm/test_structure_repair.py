@@ -86,7 +86,7 @@ def _plain(rows):
                 counts[fault] += 1
             letter = role[:1] if role[:1] in ("s", "u", "a") else "x"
             tokens += "d" if fault in ("b", "d") else letter.upper() if fault else letter
-        cost, audit = repair.cheapest(_chart(tokens)) if tokens else (0, "")
+        cost, audit = repair.cheapest(_chart(tokens) if len(tokens) < 30 else repair.parse(tokens)) if tokens else (0, "")
         lines, at, place = [], iter(kept), 0
         for edit in audit:
             role, text = ("", "") if edit == "I" else next(at)[1:]
