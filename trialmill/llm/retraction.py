@@ -10,7 +10,8 @@ smaller id arrives, the counts of the earlier one are retracted and given again
 to a folder of its own, which a replay overwrites; their sum is the answer however files fall into batches.
 
 A hot text folds to a row for each part and label in every task before it is shuffled; state holds a number of rows,
-never the rows.  The state store is the session's (`spark.sql.streaming.stateStore.providerClass`).
+never the rows.  A state store key is a bucket of texts; there are as many as the files have megabytes, so a
+bucket does not grow with the table.  The state store is the session's (`spark.sql.streaming.stateStore.providerClass`).
 
 Defined cases: a null text is empty and a null lang the empty part; a null doc_id has no smaller one and is none, so
 its row never fails E; rows that repeat an id with one text are no copies of each other; of an id's repeated labels
@@ -20,7 +21,7 @@ one 1 counts; columns of other names are not read; an empty table gives no rows.
 from __future__ import annotations
 
 import itertools
-import json
+import pickle
 import re
 import uuid
 from collections.abc import Iterator
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from trialmill.llm.common import cut_lineage, join_written, utf8
-from trialmill.session import inline_table, remove_folders, shared_dir
+from trialmill.session import inline_table, planned_bytes, remove_folders, shared_dir
 
 FILTERS = "ABCDE"
 COPY = 1 << FILTERS.index("E")
@@ -42,6 +43,9 @@ CAPITALS_PERCENT = 10
 SYMBOLS = re.compile(rb"[#$%&*|]")
 CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BATCHES = 4
+#: Texts are kept in buckets, one for each such piece of the files, as a call for a key takes 2 ms whatever it does.
+BUCKET_BYTES = 1024 * 1024
+MIN_BUCKETS = 64
 
 
 def text_mask(text: bytes) -> int:
@@ -115,34 +119,35 @@ DELTA = "part string, mask int, good boolean, toxic boolean, n bigint"
 
 
 def _update(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """New rows of one text -> changes of the counters.  State: the smallest id and the counts of its rows."""
-    least, held = state.get if state.exists else (None, "[]")
-    held = {tuple(entry[:3]): entry[3] for entry in json.loads(held)}
+    """New rows of a bucket's texts -> changes of the counters.
+
+    State: for each text the smallest id and how many of its rows were counted under each (part, good, toxic).
+    """
+    texts: dict[bytes, tuple] = pickle.loads(state.get[0]) if state.exists else {}
     change: dict[tuple, int] = {}
-    mask = 0
 
-    def add(part, copy, good, toxic, n):
-        if n:
-            at = (part, mask | COPY if copy else mask, good, toxic)
-            change[at] = change.get(at, 0) + n
+    def add(part, mask, good, toxic, n):
+        at = (part, mask, good, toxic)
+        change[at] = change.get(at, 0) + n
 
     for frame in frames:
-        for part, mask, good, toxic, has, lowest, n_least, n_more, n_none in zip(*[
-            frame[c].tolist() for c in ("part", "mask", "good", "toxic", "has", "least", "n_least", "n_more", "n_none")
+        for digest, part, mask, good, toxic, has, lowest, n_least, n_more, n_none in zip(*[
+            frame[c].tolist() for c in ("digest", "part", "mask", "good", "toxic", "has", "least", "n_least", "n_more", "n_none")
         ]):
-            add(part, False, good, toxic, n_none)
-            add(part, True, good, toxic, n_more)
+            add(part, mask, good, toxic, n_none)
+            add(part, mask | COPY, good, toxic, n_more)
+            least, held = texts.get(digest, (None, {}))
             if not has:
                 continue
             if least is None or lowest < least:
-                for where, n in held.items():  # they are copies of the newcomer
-                    add(where[0], False, where[1], where[2], -n)
-                    add(where[0], True, where[1], where[2], n)
-                least, held = lowest, {}
-            if lowest == least:
+                for (part0, good0, toxic0), n in held.items():  # they are copies of the newcomer
+                    add(part0, mask, good0, toxic0, -n)
+                    add(part0, mask | COPY, good0, toxic0, n)
+                texts[digest] = lowest, {(part, good, toxic): n_least}
+            elif lowest == least:
                 held[part, good, toxic] = held.get((part, good, toxic), 0) + n_least
-            add(part, lowest != least, good, toxic, n_least)
-    state.update((least, json.dumps([[*where, n] for where, n in held.items()])))
+            add(part, mask if least is None or lowest <= least else mask | COPY, good, toxic, n_least)
+    state.update((pickle.dumps(texts),))
     rows = [(*at, n) for at, n in change.items() if n]
     if rows:
         yield pd.DataFrame(rows, columns=["part", "mask", "good", "toxic", "n"])
@@ -174,8 +179,10 @@ def mask_counters(spark: SparkSession, path: str, labels: DataFrame, files_per_b
     judged = join_written(_judged(docs), marks, F.col("doc_id") == F.col("_doc"), "left").select(
         "doc_id", "part", "digest", "mask", "n", F.coalesce("_good", F.lit(False)).alias("good"), F.coalesce("_toxic", F.lit(False)).alias("toxic"),
     )
-    held = T.StructType([T.StructField("least", table.schema["doc_id"].dataType), T.StructField("held", T.StringType())])
-    changes = _folded(judged, kind).groupBy("digest").applyInPandasWithState(
+    buckets = max(MIN_BUCKETS, planned_bytes(table) // BUCKET_BYTES)
+    bucket = F.pmod(F.xxhash64("digest"), F.lit(buckets)).alias("bucket")
+    held = T.StructType([T.StructField("texts", T.BinaryType())])
+    changes = _folded(judged, kind).select("*", bucket).groupBy("bucket").applyInPandasWithState(
         _update, T.StructType.fromDDL(DELTA), held, "update", GroupStateTimeout.NoTimeout
     )
 
