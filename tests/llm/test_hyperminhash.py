@@ -61,7 +61,7 @@ def test_classes_equal_all_pairs(spark):
     frame = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, point int, keys string")
     key = lambda r: tuple((x is None, x) for x in r)
     want = sorted(_plain(rows, (85, 100)), key=key)
-    assert sorted(map(tuple, h.near_duplicates(frame.repartition(3)).collect()), key=key) == want
+    assert sorted(map(tuple, h.near_duplicates(frame.repartition(3), tile=16).collect()), key=key) == want
     assert h.near_duplicates(frame.limit(0)).count() == 0
 
 
@@ -72,19 +72,44 @@ def _pair(rng, n, similarity):
     return np.unique(pool[:both + rest // 2]), np.unique(np.concatenate((pool[:both], pool[both + rest // 2 : n])))
 
 
+def _estimate(a, b):
+    size = h.BANDS * h.ROWS
+    return h.corrected(h.registers(a)[None], h.registers(b)[None], h.spread(np.array([len(a)]), size), h.spread(np.array([len(b)]), size))[0]
+
+
+def test_tiles_link_what_all_pairs_link():
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**63, 150, np.uint64)
+    sets = [np.unique(np.concatenate((base[rng.random(150) > drop], rng.integers(0, 2**63, int(150 * drop), np.uint64)))) for drop in rng.uniform(0, 0.15, 60)]
+    held = np.stack([h.registers(x) for x in sets])
+    for blocks in (np.zeros(60, int), rng.integers(0, 2, 60)):
+        near = {
+            (i, j) for i in range(60) for j in range(i)
+            if (blocks[i] != blocks[j] or not blocks.any()) and 100 * h.intersection(sets[i], sets[j]) >= 85 * len(np.union1d(sets[i], sets[j]))
+        }
+        labels = np.arange(60) // 2  # some are of one class before
+        links = h.tile_links(labels, blocks, held, sets, h.LEAST)
+
+        def parts(pairs):
+            up = list(range(30))
+            for a, b in pairs:
+                up = [up[a] if x == up[b] else x for x in up]
+            return [up.index(x) for x in up]
+
+        assert near and parts(links) == parts((labels[i], labels[j]) for i, j in near) and len(links) < 30
+
+
 def test_estimate_and_sieve():
     rng = np.random.default_rng(4)
     for n in (8, 40, 200, 5000):
         got, passed = [], []
         for _ in range(60):
             a, b = _pair(rng, n, 0.875)
-            args = h.registers(a)[None], h.registers(b)[None], np.array([len(a)]), np.array([len(b)])
-            got.append(h.estimate(*args)[0])
-            passed.append(h.plausible(*args, 0.85)[0])
+            got.append(_estimate(a, b))
+            passed.append(got[-1] >= h.needed(np.array([len(a)]), np.array([len(b)]), h.BANDS * h.ROWS, 0.85)[0])
         assert abs(np.mean(got) - 0.875) < 0.03 and all(passed)
     a, b = (np.unique(rng.integers(0, 2**63, 5000, np.uint64)) for _ in range(2))
-    args = h.registers(a)[None], h.registers(b)[None], np.array([5000]), np.array([5000])
-    assert h.estimate(*args)[0] < 0.05 and not h.plausible(*args, 0.85)[0]
+    assert _estimate(a, b) < 0.05 < h.needed(np.array([5000]), np.array([5000]), h.BANDS * h.ROWS, 0.85)[0]
 
 
 def test_registers_are_zeros_and_mantissa():
@@ -106,5 +131,5 @@ def test_chance_matches_fit_what_unlike_sets_show():
     for _ in range(300):
         a, b = (h.registers(np.unique(rng.integers(0, 2**64, 2000, np.uint64))) for _ in range(2))
         hits, total = hits + int((a == b).sum()), total + len(a)
-    expected = h.chance_matches(np.array([2000]), np.array([2000]), h.BANDS * h.ROWS)[0]
+    expected = h.chance_matches(*[h.spread(np.array([2000]), h.BANDS * h.ROWS)] * 2)[0]
     assert abs(hits / total - expected) < 4 * (expected / total) ** 0.5

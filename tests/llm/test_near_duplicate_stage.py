@@ -51,5 +51,5 @@ def test_stage_finds_all_near_copies(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = _kept(rows)
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == want
-    assert sorted(r.doc_id for r in neardup.keep_one(docs, slots=4).collect()) == want  # many rounds
+    assert sorted(r.doc_id for r in neardup.keep_one(docs, tile=8).collect()) == want  # keys in many tiles
     assert neardup.keep_one(docs.limit(0)).count() == 0

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from trialmill.llm.common import cut_lineage, join_written, utf8
-from trialmill.llm.pairs import classes
+from trialmill.llm.pairs import TILE, classes
 from trialmill.llm.simhash import LOWER
 from trialmill.session import forget
 
@@ -97,27 +97,28 @@ def band_keys(values: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(values.reshape(-1, rows))], np.uint64).view(np.int64)
 
 
-def chance_matches(n_a: np.ndarray, n_b: np.ndarray, buckets: int) -> np.ndarray:
-    """Probability that registers of unlike minima agree, for sets of n_a and n_b hashes."""
+def spread(n: np.ndarray, buckets: int) -> np.ndarray:
+    """For sets of n hashes the probabilities of a register's numbers of leading zeros, a row each."""
     edges = 0.5 ** np.arange(0, 41)
+    below = -np.expm1(n.astype(float)[:, None] * np.log1p(-edges[None, :] / buckets))  # a minimum under each power of two
+    return -np.diff(below / below[:, :1], axis=1)
 
-    def levels(n):
-        below = -np.expm1(n[:, None] * np.log1p(-edges[None, :] / buckets))  # a minimum under each power of two
-        return -np.diff(below / below[:, :1], axis=1)
 
-    return (levels(n_a.astype(float)) * levels(n_b.astype(float))).sum(axis=1) / 2**MANTISSA
+def chance_matches(spread_a: np.ndarray, spread_b: np.ndarray) -> np.ndarray:
+    """Probability that registers of unlike minima agree: in the zeros, and in all bits of the mantissa."""
+    return (spread_a * spread_b).sum(axis=1) / 2**MANTISSA
 
 
-def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+def corrected(a: np.ndarray, b: np.ndarray, spread_a: np.ndarray, spread_b: np.ndarray) -> np.ndarray:
     """Similarity of pairs of register rows, corrected for chance matches."""
-    chance = chance_matches(n_a, n_b, a.shape[1])
+    chance = chance_matches(spread_a, spread_b)
     return np.maximum(0.0, ((a == b).mean(axis=1) - chance) / (1.0 - chance))
 
 
-def plausible(a, b, n_a, n_b, least: float) -> np.ndarray:
-    """Whether the estimate leaves room for a similarity of `least`; small sets have fewer free registers."""
-    free = np.minimum(np.minimum(n_a, n_b), a.shape[1]) / 2.0
-    return estimate(a, b, n_a, n_b) >= least - DEVIATIONS * np.sqrt(least * (1 - least) / free)
+def needed(n_a: np.ndarray, n_b: np.ndarray, buckets: int, least: float) -> np.ndarray:
+    """The estimate that still leaves room for a similarity of `least`; small sets have fewer free registers."""
+    free = np.minimum(np.minimum(n_a, n_b), buckets) / 2.0
+    return least - DEVIATIONS * np.sqrt(least * (1 - least) / free)
 
 
 def intersection(a: np.ndarray, b: np.ndarray) -> int:
@@ -152,18 +153,83 @@ def sketches(docs: DataFrame, width: int, bands: int, rows: int, more_keys=None)
     return texts.mapInArrow(run, f"doc_id {kind}, th bigint, point bigint, n bigint, registers binary, keys array<bigint>")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(point, hashes) of the wanted rows (_doc, _th, point)."""
+def _sets(docs: DataFrame, wanted: DataFrame, width: int, buckets: int) -> DataFrame:
+    """(point, held, hashes) of the wanted rows (_doc, _th, point); held are the registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(t, width).tobytes() for t in utf8(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["point", "hashes"])
+            found = [shingles(t, width) for t in utf8(batch.column(1))]
+            held = [registers(x, buckets).tobytes() for x in found]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(held, pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())], names=["point", "held", "hashes"]
+            )
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th"))
     texts = join_written(rows, wanted, same).select("point", "text")
-    return texts.mapInArrow(run, "point bigint, hashes binary").dropDuplicates(["point"])
+    return texts.mapInArrow(run, "point bigint, held binary, hashes binary").dropDuplicates(["point"])
+
+
+def tile_links(labels: np.ndarray, blocks: np.ndarray, held: np.ndarray, sets: list[np.ndarray], least: tuple[int, int]) -> list[tuple[int, int]]:
+    """Spanning links between the classes of a tile's points; points of two blocks are compared across them only."""
+    sizes = np.array([len(x) for x in sets])
+    words, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)[np.argsort(ids, kind="stable")]
+    ends = np.cumsum(np.bincount(ids, minlength=len(words)))
+    starts = np.concatenate(([0], ends[:-1]))
+    first = np.concatenate(([0], np.cumsum(sizes)))
+    values, own = np.unique(labels, return_inverse=True)
+    across = blocks.min() != blocks.max()
+    odds = spread(sizes, held.shape[1])
+    out = []
+    # pairs inside the largest class need no look, and every other pair has a point outside of it
+    for i in np.flatnonzero(own != np.bincount(own).argmax()):
+        others = own != own[i]
+        if across:
+            others &= blocks != blocks[i]
+        others &= least[1] * np.minimum(sizes, sizes[i]) >= least[0] * np.maximum(sizes, sizes[i])
+        at = np.flatnonzero(others)
+        at = at[corrected(held[at], held[i], odds[at], odds[i]) >= needed(sizes[at], sizes[i], held.shape[1], least[0] / least[1])]
+        if not len(at):
+            continue
+        mine = ids[first[i] : first[i + 1]]
+        runs = ends[mine] - starts[mine]
+        places = np.repeat(starts[mine] - np.concatenate(([0], np.cumsum(runs)[:-1])), runs) + np.arange(runs.sum())
+        both = np.bincount(owner[places], minlength=len(sets))[at]
+        for j in at[least[1] * both >= least[0] * (sizes[i] + sizes[at] - both)]:
+            if own[i] != own[j]:
+                out.append((int(labels[i]), int(labels[j])))
+                own[own == own[j]] = own[i]
+    return out
+
+
+def _tiled(rows: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """(la, lb) links of tiles, which come as sorted runs."""
+
+    def links(run):
+        columns = list(zip(*run))
+        held = np.stack([np.frombuffer(x, np.uint16) for x in columns[2]])
+        found = tile_links(np.array(columns[1]), np.array(columns[0]), held, [np.frombuffer(x, np.uint64) for x in columns[3]], least)
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["la", "lb"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, gathered = None, []
+        for batch in batches:
+            tile = zip(*[batch.column(c).to_pylist() for c in ("key", "one", "two")])
+            rest = zip(*[batch.column(c).to_pylist() for c in ("block", "label")], *[batch.column(c).cast(pa.binary()).to_pylist() for c in ("held", "hashes")])
+            for place, row in zip(tile, rest):
+                if place != at:
+                    if gathered:
+                        yield links(gathered)
+                    at, gathered = place, []
+                gathered.append(row)
+        if gathered:
+            yield links(gathered)
+
+    joined = rows.join(sets.withColumnRenamed("point", "_point"), F.col("point") == F.col("_point"))
+    order = ["key", "one", "two"]
+    ordered = joined.select(*order, "block", "label", "held", "hashes").repartition(*order).sortWithinPartitions(*order)
+    return ordered.mapInArrow(run, "la bigint, lb bigint")
 
 
 def _sieve(pairs: DataFrame, points: DataFrame, least: tuple[int, int]) -> DataFrame:
@@ -176,7 +242,8 @@ def _sieve(pairs: DataFrame, points: DataFrame, least: tuple[int, int]) -> DataF
                 continue
             left, right = (np.stack([np.frombuffer(x, np.uint16) for x in batch.column(c).cast(pa.binary()).to_pylist()]) for c in ("ra", "rb"))
             n_a, n_b = (batch.column(c).to_numpy() for c in ("na", "nb"))
-            near = plausible(left, right, n_a, n_b, least[0] / least[1])
+            size = left.shape[1]
+            near = corrected(left, right, spread(n_a, size), spread(n_b, size)) >= needed(n_a, n_b, size, least[0] / least[1])
             yield batch.select(["a", "la", "b", "lb"]).filter(pa.array(near))
 
     first = points.select(F.col("point").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
@@ -203,35 +270,41 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFra
     return joined.mapInArrow(run, "a bigint, la bigint, b bigint, lb bigint")
 
 
-def point_classes(docs: DataFrame, found: DataFrame, width: int, least: tuple[int, int], slots: int = 1) -> DataFrame:
+def point_classes(docs: DataFrame, found: DataFrame, width: int, least: tuple[int, int], buckets: int, tile: int = TILE) -> DataFrame:
     """(node, root) of the points of `found` (written `sketches` of `docs`) that are alike to another."""
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("best")
     columns = [F.first(c).alias(c) for c in ("n", "registers", "keys")]
     points = cut_lineage(found.where("n > 0").groupBy("point").agg(best, *columns))
     rows = points.select("point", F.explode("keys").alias("key"))
-    held: list[DataFrame] = []
+    read: list[DataFrame] = []
 
-    def alike(pairs: DataFrame) -> DataFrame:
-        near = cut_lineage(_sieve(pairs, points, least))
-        # sets of the points that these pairs name and that no earlier round has read
-        named = near.select(F.col("a").alias("point")).unionByName(near.select(F.col("b").alias("point"))).distinct()
-        for sets in held:
+    def sets_of(named: DataFrame) -> DataFrame:
+        """Sets of the named points, read from their texts unless an earlier round did."""
+        for sets in read:
             named = named.join(sets.select("point"), "point", "left_anti")
         wanted = cut_lineage(points.join(named, "point").select(F.col("best.doc_id").alias("_doc"), F.col("best.th").alias("_th"), "point"))
-        held.append(cut_lineage(_sets(docs, wanted, width)))
+        read.append(cut_lineage(_sets(docs, wanted, width, buckets)))
         forget(wanted)
-        every = held[0]
-        for sets in held[1:]:
+        every = read[0]
+        for sets in read[1:]:
             every = every.unionByName(sets)
-        return _alike(near, every, least)
+        return every
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        near = cut_lineage(_sieve(pairs, points, least))
+        named = near.select(F.col("a").alias("point")).unionByName(near.select(F.col("b").alias("point"))).distinct()
+        return _alike(near, sets_of(named), least)
+
+    def finish(tiled: DataFrame) -> DataFrame:
+        return _tiled(tiled, sets_of(tiled.select("point").distinct()), least)
 
-    roots = classes(rows, alike, slots)
-    forget(points, *held)
+    roots = classes(rows, alike, finish, tile=tile)
+    forget(points, *read)
     return roots
 
 
 def near_duplicates(
-    docs: DataFrame, width: int = SHINGLE, least: tuple[int, int] = LEAST, bands: int = BANDS, rows: int = ROWS, slots: int = 1,
+    docs: DataFrame, width: int = SHINGLE, least: tuple[int, int] = LEAST, bands: int = BANDS, rows: int = ROWS, tile: int = TILE,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row.
 
@@ -239,7 +312,7 @@ def near_duplicates(
     smallest doc_id reachable, the row's own included.
     """
     found = cut_lineage(sketches(docs, width, bands, rows))
-    roots = point_classes(docs, found, width, least, slots)
+    roots = point_classes(docs, found, width, least, bands * rows, tile)
     slim = found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("point")).alias("point"))
     rooted = slim.join(roots, F.col("point") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "point").alias("root"))
     rooted = cut_lineage(rooted)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from trialmill.llm import hyperminhash
 from trialmill.llm.common import cut_lineage
+from trialmill.llm.pairs import TILE
 from trialmill.llm.simhash import RADIUS, covering_masks, keep_rows, majority
 
 SHINGLE = 5
@@ -32,12 +33,12 @@ def table_keys(hashes: np.ndarray, masks: list[int]) -> np.ndarray:
 
 def near_duplicates(
     docs: DataFrame, width: int = SHINGLE, least: tuple[int, int] = LEAST, radius: int = RADIUS,
-    bands: int = BANDS, rows: int = ROWS, slots: int = 1,
+    bands: int = BANDS, rows: int = ROWS, tile: int = TILE,
 ) -> DataFrame:
     """(doc_id, th, root) of every row; rows with one root are connected by pairs of similarity `least` or more."""
     masks = covering_masks(radius)
     found = cut_lineage(hyperminhash.sketches(docs, width, bands, rows, lambda hashes: table_keys(hashes, masks)))
-    roots = hyperminhash.point_classes(docs, found, width, least, slots)
+    roots = hyperminhash.point_classes(docs, found, width, least, bands * rows, tile)
     joined = found.select("doc_id", "th", "point").join(roots, F.col("point") == F.col("node"), "left")
     return joined.select("doc_id", "th", F.coalesce("root", "point").alias("root"))
 

@@ -1,14 +1,12 @@
-"""Classes of alike points from shared keys: candidates by pivots, whole comparison, contracted links.
+"""Classes of alike points from shared keys: pivots first, then what is left of each key in tiles.
 
-Points meet where they share a key.  A round gives every key one pivot (then 2, 4, 8, ... as rounds go on,
-one for each slot that a point's hash picks) and compares it with the points of the key that are not yet
-in its class; then the pivots leave the key, links are contracted to their smallest point, and keys whose
-points are all of one class are done.  The first round compares a point only with its smallest pivot, which
-settles large groups of near copies with one comparison a point.
+Points meet where they share a key.  In each of `turns` rounds every key has one pivot, a point is compared with at
+most one pivot of another class, and links are contracted to their smallest point; a large group of near
+copies folds so with a comparison a point.  What still holds several classes is compared whole: the rows of
+a key go through in tiles of at most `TILE` by `TILE` points, and a tile gives a spanning forest of its links.
 
-So no pair that shares a key is passed over but those that are connected already, and no group gives
-all its pairs at once: a round makes at most `pivots` rows for each (key, point).  Pivots come from
-minima that combine before the shuffle; a hot key is never a group in memory.
+So no pair that shares a key is passed over but those that are connected already, no pair is ever a row,
+and a key of any size is split over tasks.  Pivots come from minima that combine before the shuffle.
 """
 
 from __future__ import annotations
@@ -21,11 +19,14 @@ from trialmill.llm.common import cut_lineage
 from trialmill.llm.components import connected_components
 from trialmill.session import forget
 
+TURNS = 3
+TILE = 1024
+
 
 def shared_keys(rows: DataFrame) -> DataFrame:
-    """(point, key) -> (key, point, pivot) of keys with two or more points; the pivot is the smallest."""
-    ends = rows.groupBy("key").agg(F.min("point").alias("pivot"), F.max("point").alias("_last")).where("pivot <> _last")
-    return cut_lineage(rows.join(ends.drop("_last"), "key").select("key", "point", "pivot").distinct())
+    """(point, key) -> (key, point) of keys with two or more points."""
+    ends = rows.groupBy("key").agg(F.min("point").alias("_least"), F.max("point").alias("_most")).where("_least <> _most")
+    return cut_lineage(rows.join(ends.select("key"), "key", "left_semi").distinct())
 
 
 def _compose(named: DataFrame | None, roots: DataFrame) -> DataFrame:
@@ -38,44 +39,51 @@ def _compose(named: DataFrame | None, roots: DataFrame) -> DataFrame:
     return cut_lineage(older.unionByName(newer.select("node", "root")))
 
 
-def _pivot_pairs(left: DataFrame, heads: DataFrame) -> DataFrame:
-    """Distinct (a, la, b, lb): pivots and the points of their keys in another class."""
-    met = left.join(heads, "key").where((F.col("label") != F.col("_label")) & (F.col("point") != F.col("_pivot")))
-    turned = F.col("point") < F.col("_pivot")
-    return met.select(
-        F.least("point", "_pivot").alias("a"), F.when(turned, F.col("label")).otherwise(F.col("_label")).alias("la"),
-        F.greatest("point", "_pivot").alias("b"), F.when(turned, F.col("_label")).otherwise(F.col("label")).alias("lb"),
-    ).distinct()
+def _nearest(left: DataFrame, turn: int) -> DataFrame:
+    """(a, la, b, lb): each point with one pivot of its keys that is in another class, that of the smallest label."""
+    ordered = F.struct("label", F.xxhash64("point", F.lit(turn)).alias("mix"), "point")
+    heads = left.groupBy("key").agg(F.min(ordered).alias("_pivot"))
+    met = left.join(heads, "key").where(F.col("label") != F.col("_pivot.label"))
+    best = met.groupBy("point").agg(F.min("_pivot").alias("_pivot"), F.first("label").alias("lb"))
+    return best.select(F.col("_pivot.point").alias("a"), F.col("_pivot.label").alias("la"), F.col("point").alias("b"), "lb")
+
+
+def _contract(left: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, point, label, n) under new labels, of keys that still hold several; n counts the rows of the key."""
+    step = roots.select(F.col("node").alias("_at"), F.col("root").alias("_to"))
+    moved = left.join(step, F.col("label") == F.col("_at"), "left").select("key", "point", F.coalesce("_to", "label").alias("label"))
+    ends = moved.groupBy("key").agg(F.min("label").alias("_least"), F.max("label").alias("_most"), F.count(F.lit(1)).alias("n"))
+    return cut_lineage(moved.join(ends.where("_least <> _most").select("key", "n"), "key"))
 
 
-def classes(rows: DataFrame, alike: Callable[[DataFrame], DataFrame], slots: int = 1) -> DataFrame:
-    """(point, key) -> (node, root) of points alike to another; `alike` filters pairs (a, la, b, lb).
+def tiles(left: DataFrame, tile: int = TILE) -> DataFrame:
+    """(key, one, two, block, point, label): the rows of a key, once for each pair of its blocks."""
+    blocks = F.ceil(F.col("n") / F.lit(tile)).cast("int")
+    block = F.pmod(F.xxhash64("point"), blocks).cast("int")
+    other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
+    rows = left.select("key", "point", "label", block.alias("block"), other)
+    return rows.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "point", "label")
 
-    `slots` is the number of pivots a key has in the second round.
+
+def classes(
+    rows: DataFrame, alike: Callable[[DataFrame], DataFrame], finish: Callable[[DataFrame], DataFrame], turns: int = TURNS, tile: int = TILE,
+) -> DataFrame:
+    """(point, key) -> (node, root) of points alike to another.
+
+    `alike` filters pairs (a, la, b, lb); `finish` gives the links (la, lb) of tiles.
     """
-    first = shared_keys(rows)
-    nearest = first.where("point <> pivot").groupBy("point").agg(F.min("pivot").alias("pivot"))
-    pairs = nearest.select(F.col("pivot").alias("a"), F.col("pivot").alias("la"), F.col("point").alias("b"), F.col("point").alias("lb"))
-    left = first.select("key", "point", F.col("point").alias("label"))
-    read, named, turn = [first], None, 0
-    while True:
-        found = cut_lineage(alike(pairs).select("la", "lb").distinct())
-        roots = cut_lineage(connected_components(found.select(F.col("la").alias("a"), F.col("lb").alias("b"))))
+    left = shared_keys(rows).withColumn("label", F.col("point"))
+    named = None
+    for turn in range(turns + 1):
+        links = alike(_nearest(left, turn)) if turn < turns else finish(tiles(left, tile))
+        found = cut_lineage(links.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+        roots = cut_lineage(connected_components(found))
         named, before = _compose(named, roots), named
-        step = roots.select(F.col("node").alias("_at"), F.col("root").alias("_to"))
-        moved = left.join(step, F.col("label") == F.col("_at"), "left").select("key", "point", F.coalesce("_to", "label").alias("label"))
-        ends = moved.groupBy("key").agg(F.min("label").alias("_least"), F.max("label").alias("_most")).where("_least <> _most")
-        left = cut_lineage(moved.join(ends.select("key"), "key", "left_semi"))
-        forget(*read, found, before, roots if named is not roots else None)
+        if turn == turns:
+            forget(left, found, before)
+            return named
+        left, owner = _contract(left, roots), left
+        forget(owner, found, before, roots if named is not roots else None)
         if not left.take(1):
             forget(left)
             return named
-        # a pivot for each key and slot; all of them leave their keys after this round
-        slot = F.pmod(F.xxhash64("point", F.lit(turn)), F.lit(slots << turn))
-        best = F.min(F.struct("label", "point")).alias("_best")
-        heads = cut_lineage(left.groupBy("key", slot.alias("slot")).agg(best).select(
-            "key", F.col("_best.label").alias("_label"), F.col("_best.point").alias("_pivot")))
-        pairs = _pivot_pairs(left, heads)
-        gone = heads.select("key", F.col("_pivot").alias("point"))
-        read, left = [left, heads], left.join(gone, ["key", "point"], "left_anti")
-        turn += 1
