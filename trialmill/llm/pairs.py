@@ -19,7 +19,7 @@ from trialmill.llm.common import cut_lineage
 from trialmill.llm.components import connected_components
 from trialmill.session import forget
 
-TURNS = 3
+TURNS = 1
 TILE = 1024
 
 
