@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import functools
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -90,11 +91,32 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def shielded(*read: str) -> Callable:
+    """Decorator of an operator on a frame: columns beside `read` go through under names that meet no other.
+
+    Columns that the operator adds replace input columns of the same name.
+    """
+
+    def wrap(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @functools.wraps(operator)
+        def run(rows: DataFrame, *args, **options) -> DataFrame:
+            inside = [c if c.lower() in read else f"__input_{i}" for i, c in enumerate(rows.columns)]
+            done = operator(rows.toDF(*inside), *args, **options)
+            names = dict(zip(inside, rows.columns))
+            added = {c.lower() for c in done.columns if c not in names}
+            kept = [c for c in done.columns if c not in names or names[c].lower() not in added]
+            return done.select(*[F.col(c).alias(names.get(c, c)) for c in kept])
+
+        return run
+
+    return wrap
+
+
 def arrow_rows(columns: dict[str, Iterable], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
 __all__ = [
     "SMALL_TABLE_BYTES", "WORD", "WordHashes", "arrow_rows", "chunks", "cut_lineage", "fresh", "id_hash", "join_written",
-    "rolling", "size_of_written", "utf8",
+    "rolling", "shielded", "size_of_written", "utf8",
 ]

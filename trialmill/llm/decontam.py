@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from trialmill.llm.common import WordHashes, chunks, cut_lineage, join_written, rolling, utf8
+from trialmill.llm.common import WordHashes, chunks, cut_lineage, join_written, rolling, shielded, utf8
 from trialmill.llm.licenses import ALNUM
 from trialmill.llm.substrings import PART_BASE, mix
 
@@ -201,6 +201,7 @@ def contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE,
     return measured.where(F.col("coverage") >= coverage).distinct()
 
 
+@shielded("doc_id", "text")
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """`docs` without the contaminated ones."""
     found = contaminated(docs, items, **options).select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th")).distinct()

@@ -24,7 +24,7 @@ from html import escape, unescape
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from trialmill.llm.common import chunks, cut_lineage, fresh, join_written, utf8
+from trialmill.llm.common import chunks, cut_lineage, fresh, join_written, shielded, utf8
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -357,6 +357,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
     return page_votes(pages).groupBy("host").agg(best.alias("_best")).select("host", F.col("_best.path").alias("path"))
 
 
+@shielded("url", "html")
 def extract_pages(pages: DataFrame) -> DataFrame:
     """`pages` with text (the main text) and n_chars, its code points."""
     pages = pages.drop("text", "n_chars")

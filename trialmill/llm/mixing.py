@@ -21,7 +21,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from trialmill.llm.common import WORD, cut_lineage, id_hash, join_written
+from trialmill.llm.common import WORD, cut_lineage, fresh, id_hash, join_written, shielded
 
 SLICES = 4096
 #: Inclusion weight by length: up to the mean of the source, up to 4 times it, up to 16 times it, beyond.
@@ -137,6 +137,7 @@ def plan(docs: DataFrame, weights: Sequence[int], share: float, max_copies: int)
     return by_class.join(border, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
 
 
+@shielded("doc_id", "text", "source")
 def pareto_mix(
     docs: DataFrame,
     weights: Sequence[int] = (3, 1, 2),
@@ -182,5 +183,6 @@ def pareto_mix(
 def repeat_rows(mixed: DataFrame) -> DataFrame:
     """The mix as documents: a row for each whole copy; the border document comes in whole if at least half of it is due."""
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(0)).cast("int")
-    repeated = mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1))))).where(copies >= 1)
-    return repeated.drop("_copy", "size", "source_size", "target", "taken")
+    copy = fresh(mixed, "_copy")
+    repeated = mixed.withColumn(copy, F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1))))).where(copies >= 1)
+    return repeated.drop(copy, "size", "source_size", "target", "taken")

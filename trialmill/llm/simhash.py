@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from trialmill.llm.common import cut_lineage, fresh, utf8
+from trialmill.llm.common import cut_lineage, fresh, shielded, utf8
 from trialmill.llm.components import connected_components
 
 RADIUS = 4
@@ -176,6 +176,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     return keep_rows(docs, near_duplicates(docs, **options))
 
 
+@shielded("doc_id", "text")
 def keep_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of `docs` that `keep_one` keeps where `found` (doc_id, th, root) has the groups."""
     found = cut_lineage(found.select("doc_id", "th", "root"))

@@ -28,6 +28,9 @@ SCALE = 1024
 QUERY_BLOCK = 1024
 CANDIDATE_BLOCK = 2048
 BINS = 4096
+#: The search runs between these bounds; scores beyond them count as the bound until the last step takes them as they are.
+LIMIT = 2**61
+LONGEST = 2**63 - 1
 PACKED = "block long, ids array<long>, data binary, dim int"
 
 
@@ -63,13 +66,16 @@ def _matrix(data: bytes, dim: int) -> np.ndarray:
 
 
 def scores(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
-    """Inner products of whole numbers: exact doubles where every sum fits in 53 bits, else longs."""
+    """Inner products of whole numbers: exact doubles where every sum fits in 53 bits, else longs; beyond a long its ends."""
     dim = min(queries.shape[1], candidates.shape[1])
     q, c = queries[:, :dim], candidates[:, :dim]
     bound = float(np.abs(q.astype(float)).max(initial=0)) * float(np.abs(c.astype(float)).max(initial=0)) * dim
     if bound < 2.0**53:
         return (q.astype(np.float64) @ c.T.astype(np.float64)).astype(np.int64)
-    return q @ c.T
+    if bound < 2.0**63:
+        return q @ c.T
+    about = q.astype(np.float64) @ c.T.astype(np.float64)
+    return np.where(about >= 2.0**63, LONGEST, np.where(about < -(2.0**63), -LONGEST - 1, q @ c.T))
 
 
 def _tile(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -85,7 +91,7 @@ def _histogram(k: int, bins: int, width: int):
         for frame in frames:
             for row in frame.itertuples(index=False):
                 qid, _, score, own = _tile(row)
-                at = (score - np.asarray(row.lows, np.int64)[:, None]) // width
+                at = (np.clip(score, -LIMIT, LIMIT) - np.asarray(row.lows, np.int64)[:, None]) // width
                 at = np.where(own | (at < 0), -1, np.minimum(at, bins))  # above the range: bin `bins`
                 if at.shape[1] > k:
                     kth = np.partition(at, at.shape[1] - k, axis=1)[:, -k]
@@ -103,8 +109,10 @@ def _select(k: int):
             for row in frame.itertuples(index=False):
                 qid, cid, score, own = _tile(row)
                 floor = np.asarray(row.lows, np.int64)[:, None]
-                above = (score > floor) & ~own
-                ties = (score == floor) & ~own
+                held = np.clip(score, -LIMIT, LIMIT)
+                # at the bounds the search cannot tell scores apart, so all of them go on
+                above = ((held > floor) | ((held == floor) & (np.abs(floor) == LIMIT))) & ~own
+                ties = (held == floor) & ~own & ~above
                 order = np.argsort(cid, kind="stable")
                 rank = np.cumsum(ties[:, order], axis=1)
                 first = np.zeros_like(ties)
@@ -134,7 +142,7 @@ def top_k(
         F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("dim").alias("q_dim")
     ))
     norm = F.aggregate("v", F.lit(0.0), lambda total, x: total + x.cast("double") * x)
-    reach = int(vectors.agg(F.max(norm)).first()[0] or 0) + 1  # beyond any product, by Cauchy-Schwarz
+    reach = min(int(vectors.agg(F.max(norm)).first()[0] or 0) + 1, LIMIT)  # beyond any product, by Cauchy-Schwarz
     width = -(-(2 * reach + 1) // bins)
     state = asked.select("q_block", F.posexplode("q_ids").alias("pos", "query_id"), F.lit(-reach).cast("long").alias("low"))
     while True:
