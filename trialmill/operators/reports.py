@@ -59,6 +59,23 @@ def stratified(df: DataFrame, keys: list[str], names: list[str] = STRATIFIED) ->
     return with_flag(df).groupBy(*keys).agg(*[mean(OVERALL[n]).alias(n) for n in names])
 
 
+#: Groups of the result cube: per condition, by model or intent, per model, and over all.
+CUBE = [["condition"], ["model", "condition"], ["intent", "condition"], ["model"], []]
+
+
+def result_cube(df: DataFrame, names: list[str] = STRATIFIED) -> DataFrame:
+    """All result tables in one pass: means, runs and cost per success of each group of `CUBE`.
+
+    Rows are expanded once and combined before the shuffle; `level` tells the groups apart (a bit for each of model,
+    intent and condition that is summed over), so that a NULL key stays a key.
+    """
+    keys = ["model", "intent", "condition"]
+    sets = [[F.col(k) for k in group] for group in CUBE]
+    cost = F.try_divide(F.sum("total_tokens").cast("double"), F.sum(F.col("min_req_met").cast("int")))
+    return with_flag(df).groupingSets(sets, *[F.col(k) for k in keys]).agg(
+        F.grouping_id().cast("int").alias("level"), F.count("*").alias("n"), *[mean(OVERALL[n]).alias(n) for n in names], F.round(cost, 4).alias("cpstc"))
+
+
 def pivot_means(df: DataFrame, index: str, measures: dict[str, str], conditions: list[str] = CONDITIONS) -> DataFrame:
     """One row per `index`, one column per measure and condition.  The conditions are given,
     so the pivot is a single aggregation."""

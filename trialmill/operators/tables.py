@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..session import cut_lineage
+from ..session import cut_lineage, shared_dir
+
+BUCKETS = 64
 
 
 def evolve(df: DataFrame, schema: T.StructType | str) -> DataFrame:
@@ -69,6 +72,18 @@ def ensure_keys(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return table.unionByName(absent, allowMissingColumns=True)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int = BUCKETS) -> DataFrame:
+    """`df` stored in `buckets` by `key`, a sorted file each, and read back as such.
+
+    Tables stored with one number of buckets join, anti-join and aggregate on the key without a shuffle:
+    a run log and its scores pay for the shuffle once, when they are written.
+    """
+    spark, name = df.sparkSession, f"trialmill_bucketed_{uuid.uuid4().hex}"
+    writer = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
+    writer.option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def snapshot_once(df: DataFrame, path: str) -> None:
     """Copy the table aside unless a snapshot is already there."""
     df.write.mode("ignore").parquet(path)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..fixed_values import CONDITIONS
 from ..functions import text as tx, toolcalls as tc, vectors as vx
-from ..operators import clustering, grid, inference, reports, resample, sampling, scoring, tables
+from ..operators import clustering, frontier, grid, inference, reports, resample, sampling, scoring, tables
 from ..session import shared_dir
 from ..sources import files, schemas
 from ..streaming import incremental
@@ -373,6 +373,14 @@ def pending_runs(spark, sf):
     return todo.select("run_id", "task_id", "model", "condition")
 
 
+@query
+def bucketed_pending(spark, sf):
+    """Grid and run log stored by run, so that a resumed experiment finds what is left without a shuffle."""
+    done = tables.bucketed(b.runs(spark, sf).filter(F.col("topic") != "click").select("run_id", "error"), "run_id")
+    planned = tables.bucketed(grid.run_grid(b.tasks(spark, sf), b.MODELS).select("run_id", "task_id", "model", "condition"), "run_id")
+    return grid.pending_runs(planned, done).select("run_id", "task_id", "model", "condition")
+
+
 def echo_model(prompt: str) -> dict:
     """Stand-in responder: deterministic, fails on prompts about errors."""
     if "error" in prompt:
@@ -613,6 +621,21 @@ def analysis_base(spark, sf):
     return joined.select("run_id", "intent", "condition", "model", "total_tokens", "execution_time_sec", *reports.SCORE_COLUMNS)
 
 
+@query
+def result_cube(spark, sf):
+    return reports.result_cube(b.scored(spark, sf))
+
+
+@query
+def bucketed_analysis(spark, sf):
+    """The run log and its scores, both stored by run, joined without a shuffle and summed up."""
+    runs = tables.bucketed(b.results_frame(b.runs(spark, sf)), "run_id")
+    scores = tables.bucketed(b.scored(spark, sf).select("run_id", *reports.SCORE_COLUMNS), "run_id")
+    return reports.analysis_base(runs, scores).groupBy("model", "condition").agg(
+        F.count("*").alias("n"), F.sum("total_tokens").alias("tokens"), F.sum("total_tool_calls").alias("calls"),
+        F.sum("redundant_calls").alias("redundant"), F.round(F.avg("tool_f1"), 4).alias("tool_f1"))
+
+
 @query
 def condition_overall(spark, sf):
     return reports.condition_overall(b.scored(spark, sf), CI_REPLICATES)
@@ -801,6 +824,13 @@ def fig_pareto(spark, sf):
     return reports.pareto(b.scored(spark, sf), CI_REPLICATES)
 
 
+@query
+def run_frontier(spark, sf):
+    """Runs that no cheaper run of their intent matches in F1."""
+    points = b.scored(spark, sf).select("run_id", "intent", "total_tokens", F.round("tool_f1", 4).alias("f1"))
+    return frontier.frontier(points, ["intent"], "total_tokens", "f1")
+
+
 @query
 def fig_latency(spark, sf):
     return resample.mean_with_interval(b.scored(spark, sf), ["model", "condition"], "execution_time_sec", CI_REPLICATES)

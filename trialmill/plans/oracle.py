@@ -521,6 +521,7 @@ def statements() -> dict[str, str]:
         "pilot_grid": f"""WITH {_GRID} SELECT run_id, task_id, model, condition FROM grid WHERE model = 'm1'
             AND task_no IN (SELECT task_no FROM tasks ORDER BY task_no LIMIT 5)""",
         "pending_runs": f"WITH {RUNS} SELECT run_id, task_id, model, condition FROM runs WHERE error IS NOT NULL OR topic = 'click'",
+        "bucketed_pending": f"WITH {RUNS} SELECT run_id, task_id, model, condition FROM runs WHERE error IS NOT NULL OR topic = 'click'",
         "run_stage_stub": f"""WITH {_GRID}, asked AS (SELECT run_id, 'Developer request:' || chr(10) || chr(10) || topic || ' ' || k AS prompt
               FROM grid JOIN tasks USING (task_id)),
             done AS (SELECT *, contains(prompt, 'error') AS bad,
@@ -603,6 +604,20 @@ def statements() -> dict[str, str]:
         "analysis_base": f"""WITH {SCORED} SELECT run_id, intent, condition, model, total_tokens, execution_time_sec, tool_precision, tool_recall, tool_f1,
             total_tool_calls, redundant_calls, first_call_correct, min_req_met, hallucination_score, intent_fidelity_score, functional_correct FROM scored""",
         "condition_overall": _overall(),
+        "result_cube": f"""WITH {SCORED}, flagged AS (SELECT *, CAST(functional_correct AS INT) AS functional_flag FROM scored)
+            SELECT model, intent, condition, CAST(GROUPING(model, intent, condition) AS INTEGER) AS level, count(*) AS n,
+            {", ".join(f"round(avg(CAST({_OVERALL[n]} AS DOUBLE)), 4) AS {n}" for n in (
+                "intent_fidelity", "tool_f1", "hallucination_mean", "first_call_acc", "min_req_met", "format_compliance", "func_correct_rate", "avg_tokens"))},
+            round(CAST(sum(total_tokens) AS DOUBLE) / nullif(sum(CAST(flagged.min_req_met AS INT)), 0), 4) AS cpstc
+            FROM flagged GROUP BY GROUPING SETS ((condition), (model, condition), (intent, condition), (model), ())""",
+        "bucketed_analysis": f"""WITH {SCORED} SELECT model, condition, count(*) AS n, CAST(sum(total_tokens) AS BIGINT) AS tokens,
+            CAST(sum(total_tool_calls) AS BIGINT) AS calls, CAST(sum(redundant_calls) AS BIGINT) AS redundant, round(avg(tool_f1), 4) AS tool_f1
+            FROM scored GROUP BY model, condition""",
+        "run_frontier": f"""WITH {SCORED}, pts AS (SELECT run_id, intent, total_tokens, round(tool_f1, 4) AS f1 FROM scored WHERE tool_f1 IS NOT NULL AND total_tokens IS NOT NULL),
+            tops AS (SELECT intent, total_tokens, max(f1) AS q FROM pts GROUP BY 1, 2),
+            ahead AS (SELECT *, max(q) OVER (PARTITION BY intent ORDER BY total_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM tops)
+            SELECT p.run_id, p.intent, p.total_tokens, p.f1 FROM pts p JOIN ahead a
+            ON p.intent = a.intent AND p.total_tokens = a.total_tokens AND p.f1 = a.q WHERE a.prev IS NULL OR a.q > a.prev""",
         "model_stratified": _means(["model", "condition"], {n: _OVERALL[n] for n in (
             "intent_fidelity", "tool_f1", "hallucination_mean", "first_call_acc", "min_req_met", "format_compliance", "func_correct_rate", "avg_tokens")}),
         "model_condition_pivot": _pivot("model", {n: _OVERALL[n] for n in ("func_correct_rate", "hallucination_mean", "intent_fidelity", "tool_f1")}),
