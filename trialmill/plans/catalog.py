@@ -12,7 +12,7 @@ from ..functions import text as tx, toolcalls as tc, vectors as vx
 from ..operators import clustering, frontier, grid, inference, reports, resample, sampling, scoring, tables
 from ..session import shared_dir
 from ..sources import files, schemas
-from ..streaming import incremental
+from ..streaming import attempts, incremental
 from . import bindings as b
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -886,3 +886,27 @@ def stream_summary(spark, sf):
     incremental.running_summary(scores, ["condition"], aggregates, f"{folder}/out", f"{folder}/state")
     return incremental.read_summary(spark, f"{folder}/out").select(
         "condition", "n", *[F.round(name, 4).alias(name) for name in averages])
+
+
+@query
+def stream_last_attempt(spark, sf):
+    """Attempts arrive in three files, with replays, retries and late older ones; sums of the last attempt of every run."""
+    folder = _folder(spark, "attempts")
+    runs = b.runs(spark, sf)
+    third = F.pmod(F.instr(F.lit("0123456789abcdef"), F.substring(F.md5(F.col("run_id")), 1, 1)), F.lit(3))
+    first = runs.select("run_id", "model", "condition", "total_tokens", F.col("error").isNotNull().cast("long").alias("failed"),
+                        third.alias("third"), F.lit(1).alias("version"))
+    retried = lambda df, version, more: df.withColumns({
+        "version": F.lit(version), "total_tokens": F.col("total_tokens") + more, "failed": F.lit(0).cast("long")})
+    files = [
+        first.where("third < 2"),
+        first.where("third > 0").unionByName(retried(first.where("third = 0"), 2, 10)),
+        retried(first.where("third = 0"), 0, 1000).unionByName(retried(first.where("third = 2 AND failed = 1"), 3, 5)),
+    ]
+    measures = ["total_tokens", "failed"]
+    for arrived in files:
+        arrived.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(first.schema).parquet(f"{folder}/in")
+        changes = attempts.attempt_changes(stream, "run_id", "version", ["model", "condition"], measures)
+        attempts.store_changes(changes, ["model", "condition"], measures, f"{folder}/out", f"{folder}/state")
+    return attempts.read_sums(spark, f"{folder}/out", ["model", "condition"], measures)

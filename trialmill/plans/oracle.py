@@ -604,6 +604,10 @@ def statements() -> dict[str, str]:
         "analysis_base": f"""WITH {SCORED} SELECT run_id, intent, condition, model, total_tokens, execution_time_sec, tool_precision, tool_recall, tool_f1,
             total_tool_calls, redundant_calls, first_call_correct, min_req_met, hallucination_score, intent_fidelity_score, functional_correct FROM scored""",
         "condition_overall": _overall(),
+        "stream_last_attempt": f"""WITH {RUNS}, placed AS (SELECT *, instr({HEX}, substr(md5(run_id), 1, 1)) % 3 AS third, error IS NOT NULL AS bad FROM called)
+            SELECT model, condition, count(*) AS n,
+            CAST(sum(placed.total_tokens + CASE WHEN third = 0 THEN 10 WHEN third = 2 AND bad THEN 5 ELSE 0 END) AS BIGINT) AS total_tokens,
+            count(*) FILTER (third = 1 AND bad) AS failed FROM placed GROUP BY model, condition""",
         "result_cube": f"""WITH {SCORED}, flagged AS (SELECT *, CAST(functional_correct AS INT) AS functional_flag FROM scored)
             SELECT model, intent, condition, CAST(GROUPING(model, intent, condition) AS INTEGER) AS level, count(*) AS n,
             {", ".join(f"round(avg(CAST({_OVERALL[n]} AS DOUBLE)), 4) AS {n}" for n in (
