@@ -1,13 +1,16 @@
 """Compression classifier: how much better do dictionaries of good text fit than those of bad text?
 
 Labelled texts of either class fall into groups by which dictionary packs them best; each group trains
-a zstandard dictionary.  A text's score comes from the normalised difference of its smallest size with
-bad and with good dictionaries, calibrated by a logistic fit on rows no dictionary has seen; the fit
-also gets both sizes per byte and the length, since a difference means less in a short text.
+a zstandard dictionary.  A text's measure is the difference of its smallest size with bad and with good
+dictionaries, normalised by its length.  A logistic fit on rows no dictionary has seen turns it into a
+score.  Cut and slope of the curve follow the length, since a difference means less in a short text; the
+slope stays above zero, so texts of one length are ordered as the measure orders them.
 
 Models are small (at most `groups` dictionaries of `dict_bytes` a class) and fitted on a bounded
 sample; every document is scored whole, without a shuffle.
 
+Lengths beyond those of the rows of the fit count as the nearest of these.
+
 Defined cases: null and empty texts get the share of label 1 as their score; without usable labels
 of both classes every score is that share (0 where there are none); repeated rows score alike.
 """
@@ -26,9 +29,10 @@ from trialmill.llm.labelled import Row, held_out, labelled_sample
 
 PER_CLASS = 3000
 MAX_BYTES = 24_000_000
-GOOD_GROUPS, BAD_GROUPS = 4, 8
+GOOD_GROUPS, BAD_GROUPS = 8, 16
 DICT_BYTES = 65536
 THRESHOLD = 0.3
+LEAST_SLOPE = 1e-3
 
 
 def train_dictionary(texts: list[bytes], size: int) -> bytes:
@@ -66,30 +70,64 @@ def group_dictionaries(texts: list[bytes], groups: int, size: int, rounds: int =
     return found
 
 
-def features(texts: list[bytes], good: list, bad: list) -> np.ndarray:
-    g, b = sizes(texts, good).min(axis=1), sizes(texts, bad).min(axis=1)
-    n = np.array([len(t) + 1 for t in texts], float)
-    x = np.stack(((b - g) / (b + g), g / n, b / n, np.log(n) / 10), axis=1)
-    return np.concatenate((np.ones((len(x), 1)), x, x[:, :1] * x[:, 3:], x**2, x[:, 1:2] ** 3), axis=1)
+def measure(texts: list[bytes], good: list, bad: list) -> np.ndarray:
+    """Bytes that the good dictionaries save against the bad ones, by byte of the text."""
+    return (sizes(texts, bad).min(axis=1) - sizes(texts, good).min(axis=1)) / _lengths(texts)
+
+
+def _lengths(texts: list[bytes]) -> np.ndarray:
+    return np.array([len(t) + 1 for t in texts], float)
+
+
+@dataclass
+class Curve:
+    """Logistic curves over the measure; their cut and slope are parabolas of the logarithm of the length."""
+
+    shortest: float
+    longest: float
+    mean: tuple[float, float]  # of log length and of the measure
+    spread: tuple[float, float]
+    cut: np.ndarray
+    slope: np.ndarray
+
+    def powers(self, lengths: np.ndarray) -> np.ndarray:
+        x = (np.log(np.clip(lengths, self.shortest, self.longest)) - self.mean[0]) / self.spread[0]
+        return np.stack((np.ones(len(x)), x, x * x), axis=1)
+
+    def __call__(self, measured: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        at = self.powers(lengths)
+        scaled = (measured - self.mean[1]) / self.spread[1]
+        z = at @ self.cut + np.maximum(at @ self.slope, LEAST_SLOPE) * scaled
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def calibrate(measured: np.ndarray, lengths: np.ndarray, labels: np.ndarray, rate: float) -> Curve:
+    """The curve of best fit; weights restore the share of label 1."""
+    logs = np.log(lengths)
+    mean, spread = (logs.mean(), measured.mean()), (logs.std() + 1e-9, measured.std() + 1e-9)
+    curve = Curve(lengths.min(), lengths.max(), mean, spread, np.zeros(3), np.zeros(3))
+    at = curve.powers(lengths)
+    weight = np.where(labels > 0, rate / labels.mean(), (1 - rate) / (1 - labels.mean()))
+    found = _logistic(np.concatenate((at, at * ((measured - mean[1]) / spread[1])[:, None]), axis=1), labels, weight)
+    curve.cut, curve.slope = found[:3], found[3:]
+    return curve
 
 
 @dataclass
 class Model:
     good: list[bytes]
     bad: list[bytes]
-    mean: np.ndarray
-    spread: np.ndarray
-    weights: np.ndarray
+    curve: Curve | None
     rate: float
 
     def scorer(self):
-        if not self.good:
+        if self.curve is None:
             return lambda texts: np.full(len(texts), self.rate)
         good, bad = [compressor(d) for d in self.good], [compressor(d) for d in self.bad]
 
         def score(texts: list[bytes]) -> np.ndarray:
-            z = np.clip((features(texts, good, bad) - self.mean) / self.spread @ self.weights, -30, 30)
-            return np.where([not t.split() for t in texts], self.rate, 1 / (1 + np.exp(-z)))
+            found = self.curve(measure(texts, good, bad), _lengths(texts))
+            return np.where([not t.split() for t in texts], self.rate, found)
 
         return score
 
@@ -108,19 +146,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float =
 
 
 def fit(sample: list[Row], rate: float, good_groups: int, bad_groups: int, dict_bytes: int) -> Model:
-    """Dictionaries from every other row, the calibration from the rest; weights restore the share of label 1."""
+    """Dictionaries from every other row, the calibration from the rest."""
     rows = [r for r in sample if r.text.split()]
     learn, rest = rows[0::2], rows[1::2]
     by = {y: [r.text for r in learn if r.label == y] for y in (0, 1)}
     labels = np.array([r.label for r in rest], float)
     if not by[0] or not by[1] or labels.min(initial=1) == labels.max(initial=0):
-        return Model([], [], np.zeros(0), np.zeros(0), np.zeros(0), rate)
+        return Model([], [], None, rate)
     good, bad = group_dictionaries(by[1], good_groups, dict_bytes), group_dictionaries(by[0], bad_groups, dict_bytes)
-    x = features([r.text for r in rest], [compressor(d) for d in good], [compressor(d) for d in bad])
-    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
-    mean[0], spread[0] = 0, 1
-    weight = np.where(labels > 0, rate / labels.mean(), (1 - rate) / (1 - labels.mean()))
-    return Model(good, bad, mean, spread, _logistic((x - mean) / spread, labels, weight), rate)
+    texts = [r.text for r in rest]
+    measured = measure(texts, [compressor(d) for d in good], [compressor(d) for d in bad])
+    return Model(good, bad, calibrate(measured, _lengths(texts), labels, rate), rate)
 
 
 def train(
