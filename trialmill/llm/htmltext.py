@@ -5,10 +5,12 @@ half for the one around it; one with markedly more of it than the best container
 than that.  The best container votes, with its score, for its path: the tags and
 classes down to it with digits generalised.  Spark adds the votes up by host; a page is extracted again
 at its host's winning path, or at its own best path where it lacks that path or has little there.
+Siblings of like kind (articles, or one tag and first class) with much text belong to what is extracted.
 
 Navigation, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments count
 nowhere and are cut out; an element that is one of these only by a word of its class or id stays if it
-holds the page's main text.  Character references are decoded, blocks are joined by one space.
+holds the page's main text, and so does a form around the whole page, without its controls.  Within
+article and main a word that starts a longer name ("related-work") cuts only what is mostly links or short.  Character references are decoded, blocks are joined by one space.
 
 Defined cases: null and empty html give the empty text; a page without tags is its own text; pages
 without a host vote together; unclosed, stray and crossed tags close as browsers do for blocks; long
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import escape, unescape
 
 import pyarrow as pa
@@ -43,7 +46,8 @@ ENDS = {
 }
 CLOSES_P = BLOCK - frozenset("br caption body head html legend li dd dt option optgroup tbody td tfoot th thead tr summary".split())
 #: What is no main text, by tag, by role and by a word of class or id.
-NOISE_TAGS = frozenset("aside button dialog footer form head header iframe input menu nav noscript script select style svg template textarea title".split())
+NOISE_TAGS = frozenset("aside button datalist dialog footer form head header iframe input label legend menu nav noscript optgroup option output "
+    "script select style svg template textarea title".split())
 NOISE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 NOISE_WORDS = frozenset(
     "ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies "
@@ -52,13 +56,29 @@ NOISE_WORDS = frozenset(
     "sponsored subscribe toolbar".split()
 )
 
+#: Of these, those that have other meanings at the start of a longer name.
+LOOSE_WORDS = frozenset(
+    "banner comment header login menu modal navigation notice notices notification pager promotion related replies search "
+    "share sharing social subscribe toolbar".split()
+)
+#: Parts of names that say that a block is an addition to the page.
+WIDGET_WORDS = frozenset(
+    "area articles bar block body box button buttons container content count entries feed form group icon icons inner item items "
+    "link links list media module news panel post posts row section story stories text widget widgets wrap wrapper".split()
+)
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
 )
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 #: A container that holds this much more text than the best inside wins over it.
 MORE = 1.2
+#: A sibling belongs to the main text from this share of its score on.
+SIBLING = 0.25
 DIGITS = re.compile(r"\d+")
+NUMBER = re.compile(r"[-_]*\d+")
+#: First classes that say nothing about what a block is.
+LAYOUT = frozenset("block box cell col column columns container flex grid inner item row section span wrap wrapper".split())
 PARTS = re.compile(r"[a-z]+", re.I)
 #: Says of a wrapper what it holds or lacks, not what it is.
 HOLDS = re.compile(r"(?<![a-z])(?:no|not|has|with|without)[-_]*(?=[A-Z]|(?<=[-_])[a-z])[a-zA-Z]+")
@@ -67,11 +87,13 @@ HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
 class Node:
-    __slots__ = ("tag", "parent", "path", "noise", "named", "items", "score")
+    __slots__ = ("tag", "parent", "path", "kind", "noise", "named", "loose", "items", "score")
 
     def __init__(self, tag: str, parent: Node | None, path: str, noise: bool) -> None:
         self.tag, self.parent, self.path, self.noise = tag, parent, path, noise
+        self.kind = ""  # the first class without numbers
         self.named = False  # noise by a word of class or id, until `_settle` has looked at the whole page
+        self.loose = False  # only the start of a longer name within the main text says that it is noise
         self.items: list = []  # texts and child nodes in page order
         self.score = 0.0
 
@@ -81,30 +103,74 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[0].lower(): m[1] or m[2] or m[3] for m in reversed(ATTRIBUTE.findall(text))}
 
 
+@lru_cache(1024)
+def _by_name(names: str) -> tuple[bool, bool]:
+    """Whether a word of class or id says noise, and whether only words at the start of longer names do."""
+    named, loose = False, True
+    for name in HOLDS.sub(" ", names).split():
+        words = [w.lower() for w in PARTS.findall(CAMEL.sub(" ", name))]
+        for i, word in enumerate(words):
+            if word in NOISE_WORDS:
+                named = True
+                loose &= word in LOOSE_WORDS and i + 1 < len(words) and WIDGET_WORDS.isdisjoint(words)
+    return named, named and loose
+
+
 def _start(tag: str, attributes: str, parent: Node) -> Node:
-    noise = parent.noise or tag in NOISE_TAGS
-    named = False
-    label = tag
+    wraps = tag == "form" and parent.parent is not None
+    noise = parent.noise or tag in NOISE_TAGS and not wraps
+    named = loose = False
+    label, kind = tag, ""
     if attributes.strip():
         found = _attributes(attributes)
         name = unescape(found.get("class", ""))
         if name:
             label += "." + ".".join(sorted(DIGITS.sub("#", name).split()))
+            kind = (NUMBER.sub("", name).split() or [""])[0].lower()
         if not noise and tag not in ("html", "body", "main", "article"):
-            words = PARTS.findall(CAMEL.sub(" ", HOLDS.sub(" ", f"{name} {unescape(found.get('id', ''))}")))
-            named = any(w.lower() in NOISE_WORDS for w in words)
+            named, loose = _by_name(f"{name} {unescape(found.get('id', ''))}")
             noise = found.get("role", "").lower() in NOISE_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
     node = Node(tag, parent, f"{parent.path}/{label}", noise)
-    node.named = named and not noise
+    node.kind = kind
+    node.named = (named or wraps) and not noise
+    node.loose = loose and not wraps and _within_main(parent)
     return node
 
 
+def _within_main(node: Node) -> bool:
+    while node.parent is not None and node.tag not in ("article", "main"):
+        node = node.parent
+    return node.parent is not None
+
+
+def _prose(top: Node) -> bool:
+    """Whether a block is neither mostly links nor short: paragraphs and table cells are not short."""
+    plain = links = 0
+    prose = False
+    stack = [(top, False)]
+    while stack:
+        node, linked = stack.pop()
+        prose |= node.tag in ("p", "td", "th", "pre", "blockquote")
+        for item in node.items:
+            if isinstance(item, str):
+                size = len(item) - sum(map(item.count, " \t\r\n"))
+                plain, links = (plain, links + size) if linked else (plain + size, links)
+            elif item is not None and not item.noise:
+                stack.append((item, linked or item.tag == "a"))
+    return plain > links and (prose or plain >= 80)
+
+
 def _settle(root: Node, named: list[Node]) -> None:
     """Make noise of the elements that are noise by name, but for those that hold the page's main text.
 
     Text belongs to the nearest such element around it.  One with more text than all that is kept is a
     wrapper, if the page has no other main element and either only it has a headline or hardly anything is kept.
     """
+    for node in named:
+        if node.loose and _prose(node):
+            node.named = False
+    named = [n for n in named if n.named]
+    paragraphs = dict.fromkeys((id(n) for n in named if n.tag == "form"), 0)
     text = dict.fromkeys(map(id, [root, *named]), 0)
     heads: dict[int, set[str]] = {k: set() for k in text}
     marks: list[tuple[Node, int]] = []  # article and main with the element they are kept by
@@ -114,6 +180,8 @@ def _settle(root: Node, named: list[Node]) -> None:
         if node.noise:
             continue
         owner, linked = node if node.named else owner, linked or node.tag == "a"
+        if node.tag == "p" and id(owner) in paragraphs:
+            paragraphs[id(owner)] += 1
         if node.tag in ("h1", "main", "article"):
             heads[id(owner)].add(node.tag)
             if node.tag != "h1":
@@ -124,7 +192,9 @@ def _settle(root: Node, named: list[Node]) -> None:
     kept, rest = {id(root)}, named
     while True:
         rest = [n for n in rest if n.named]
-        most = max(rest, key=lambda n: text[id(n)], default=None)
+        # a form is a wrapper only if it has more of a page than controls
+        able = [n for n in rest if n.tag != "form" or heads[id(n)] or paragraphs[id(n)] > 1]
+        most = max(able, key=lambda n: text[id(n)], default=None)
         have = sum(text[k] for k in kept)
         if most is None or text[id(most)] <= have:
             break
@@ -323,8 +393,24 @@ def extract(html: str, host_path: str | None = None, least: float = 0.3) -> str:
     if host_path and host_path != best.path:
         voted = [n for n in containers if n.path == host_path]
         if sum(n.score for n in voted) >= least * best.score:
-            return text_of(voted)
-    return text_of([n for n in containers if n.path == best.path])
+            return text_of(_with_siblings(voted, containers))
+    return text_of(_with_siblings([n for n in containers if n.path == best.path], containers))
+
+
+def _with_siblings(chosen: list[Node], containers: list[Node]) -> list[Node]:
+    """The chosen containers and their siblings of like kind with much text, in page order."""
+    marks: dict[tuple, float] = {}
+    for node in chosen:
+        if node.tag == "article" or node.kind and node.kind not in LAYOUT:
+            key = (id(node.parent), node.tag, "" if node.tag == "article" else node.kind)
+            marks[key] = max(marks.get(key, 0.0), node.score)
+    ids = set(map(id, chosen))
+
+    def like(node: Node) -> bool:
+        most = marks.get((id(node.parent), node.tag, "" if node.tag == "article" else node.kind))
+        return most is not None and 0 < SIBLING * most <= node.score
+
+    return [n for n in containers if id(n) in ids or marks and like(n)]
 
 
 def host_of(url: Column) -> Column:
