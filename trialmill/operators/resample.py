@@ -6,8 +6,9 @@ work on those cells, so their cost does not grow with the number of rows.
 
 * `poisson_*`: every row is drawn Poisson(1) times, so a cell of n rows is drawn
   Poisson(n) times.  Draws come from md5, hence repeat on any engine and any layout.
-* `multinomial_ratio`: exactly as many draws as rows.  Cells are split into blocks; block
-  totals are drawn first and each block then draws its cells, so no key gathers in one task.
+* `multinomial_ratio`: exactly as many draws as rows.  Blocks of cells are the leaves of a binary
+  tree; a node splits its draws by a binomial generator that md5 of the node starts.  Every block
+  walks from the root down to itself, so draws are never shuffled and no key gathers in one task.
 """
 
 from __future__ import annotations
@@ -153,50 +154,72 @@ def mean_with_interval(df: DataFrame, keys: list[str], value: str, replicates: i
     return rounded(poisson_mean(df, keys, value, replicates), ["mean", "ci_lower", "ci_upper"])
 
 
-def multinomial_ratio(df: DataFrame, keys: list[str], top: str, bottom: str, replicates: int,
-                      blocks: int = 64, seed: int = 42) -> DataFrame:
-    """Interval of sum(top) / sum(bottom) under resampling of exactly n of n rows."""
-    cells = (
+def _generator(*parts) -> np.random.Generator:
+    return np.random.default_rng(int.from_bytes(hashlib.md5("|".join(map(str, parts)).encode()).digest(), "big"))
+
+
+def _paths(cells: DataFrame, keys: list[str], depth: int) -> DataFrame:
+    """(keys, _block, _path): rows of each node above the block and of that node's left half, from the root down."""
+    leaves = cut_lineage(cells.groupBy(*keys, "_block").agg(F.sum("_n").alias("_n")))
+    levels = F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("_level")
+    steps = leaves.select(*keys, "_block", "_n", levels).withColumn("_node", F.expr(f"shiftright(_block, {depth} - _level)"))
+    goes_left = F.expr(f"shiftright(_block, {depth - 1} - _level) % 2 = 0")
+    at = [*keys, "_level", "_node"]
+    nodes = steps.groupBy(*at).agg(
+        F.sum("_n").alias("_rows"), F.sum(F.when(goes_left, F.col("_n")).otherwise(0)).alias("_left"))
+    nodes = nodes.select(*[F.col(f"`{c}`").alias(f"_at{i}") for i, c in enumerate(at)], "_rows", "_left")
+    walked = steps.join(nodes, [F.col(f"`{c}`").eqNullSafe(F.col(f"_at{i}")) for i, c in enumerate(at)])
+    return walked.groupBy(*keys, "_block").agg(
+        F.sort_array(F.collect_list(F.struct("_level", "_rows", "_left"))).alias("_path"))  # `depth` entries
+
+
+def multinomial_sums(df: DataFrame, keys: list[str], top: str, bottom: str, replicates: int,
+                     blocks: int = 64, seed: int = 42) -> DataFrame:
+    """(keys, _b, _sx, _sy): sums of top and bottom in each resample of exactly n of a key's n rows.
+
+    The same rows give the same draws in any layout.  A block holds about `CELLS_PER_BLOCK` cells of a key
+    at most, chosen by hash; the tree's sums are a row a node.
+    """
+    cells = cut_lineage(
         df.groupBy(*keys, _number(df, top).cast("double").alias("_x"), _number(df, bottom).cast("double").alias("_y"))
         .agg(F.count("*").alias("_n"))
     )
-    cells = cut_lineage(cells)
-    blocks = max(blocks, cells.count() // CELLS_PER_BLOCK)  # a block's draws stay bounded
-    cells = (
-        cells.withColumn("_block", F.pmod(F.hash("_x", "_y"), F.lit(blocks)))
-    )
-    key_types = ", ".join(f"`{k}` {cells.schema[k].dataType.simpleString()}" for k in keys)
-    totals = cells.groupBy(*keys, "_block").agg(F.sum("_n").alias("_n"))
-
-    def generator(*parts) -> np.random.Generator:
-        text = "|".join(str(p) for p in parts).encode()
-        return np.random.default_rng([seed, *text])
-
-    def split_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_block")
-        weights = pdf["_n"].to_numpy()
-        rng = generator(*pdf[keys].iloc[0])
-        draws = rng.multinomial(weights.sum(), weights / weights.sum(), size=replicates)
-        return pdf[keys + ["_block"]].assign(_draws=list(draws.T))
-
-    def split_cells(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_x", "_y"])
-        weights = pdf["_n"].to_numpy()
-        rng = generator(*pdf[keys + ["_block"]].iloc[0])
-        draws = rng.multinomial(np.asarray(pdf["_draws"].iloc[0]), weights / weights.sum())
-        out = pd.DataFrame({"_b": np.arange(replicates), "_sx": draws @ pdf["_x"].to_numpy(),
-                            "_sy": draws @ pdf["_y"].to_numpy()})
+    depth = math.ceil(math.log2(max(blocks, cells.count() / CELLS_PER_BLOCK, 2)))
+    cells = cells.withColumn("_block", F.pmod(F.xxhash64("_x", "_y"), F.lit(2 ** depth)))
+    key_types = "".join(f"`{k}` {cells.schema[k].dataType.simpleString()}, " for k in keys)
+    at = [*keys, "_block"]
+
+    def draws_of(name: list, block: int, path: list) -> np.ndarray:
+        draws = np.full(replicates, path[0]["_rows"], np.int64)
+        for step in path:
+            level, rows, left = step["_level"], step["_rows"], step["_left"]
+            node = block >> (depth - level)
+            lower = _generator(seed, *name, level, node).binomial(draws, left / rows)
+            draws = draws - lower if block >> (depth - level - 1) & 1 else lower
+        return draws
+
+    def sums(part: pd.DataFrame, walked: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["_x", "_y"])
+        name, block = list(part[keys].iloc[0]), int(part["_block"].iloc[0])
+        weights = part["_n"].to_numpy()
+        draws = _generator(seed, *name, "cells", block).multinomial(
+            draws_of(name, block, walked["_path"].iloc[0]), weights / weights.sum())
+        out = pd.DataFrame({"_b": np.arange(replicates), "_sx": draws @ part["_x"].to_numpy(), "_sy": draws @ part["_y"].to_numpy()})
         for i, k in enumerate(keys):
-            out.insert(i, k, pdf[k].iloc[0])
+            out.insert(i, k, part[k].iloc[0])
         return out
 
-    block_draws = totals.groupBy(*keys).applyInPandas(
-        split_blocks, f"{key_types}, _block int, _draws array<bigint>")
-    joined = cells.join(block_draws, keys + ["_block"])
-    partial = joined.groupBy(*keys, "_block").applyInPandas(
-        split_cells, f"{key_types}, _b int, _sx double, _sy double")
-    estimates = partial.groupBy(*keys, "_b").agg(
-        F.when(F.sum("_sy") > 0, F.sum("_sx") / F.sum("_sy")).alias("_estimate"))
-    return estimates.filter(F.col("_estimate").isNotNull()).groupBy(*keys).agg(
+    partial = cells.groupBy(*at).cogroup(_paths(cells, keys, depth).groupBy(*at)).applyInPandas(
+        sums, f"{key_types}_b int, _sx double, _sy double")
+    return partial.groupBy(*keys, "_b").agg(F.sum("_sx").alias("_sx"), F.sum("_sy").alias("_sy"))
+
+
+def multinomial_ratio(df: DataFrame, keys: list[str], top: str, bottom: str, replicates: int,
+                      blocks: int = 64, seed: int = 42) -> DataFrame:
+    """Interval of sum(top) / sum(bottom) under resampling of exactly n of n rows; resamples without
+    successes are skipped."""
+    estimates = multinomial_sums(df, keys, top, bottom, replicates, blocks, seed).where("_sy > 0").withColumn(
+        "_estimate", F.col("_sx") / F.col("_sy"))
+    return estimates.groupBy(*keys).agg(
         F.percentile("_estimate", F.lit(LEVELS[0])).alias("ci_lower"),
         F.percentile("_estimate", F.lit(LEVELS[1])).alias("ci_upper"))
