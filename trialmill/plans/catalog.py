@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..fixed_values import CONDITIONS
 from ..functions import text as tx, toolcalls as tc, vectors as vx
-from ..operators import clustering, frontier, grid, inference, reports, resample, sampling, scoring, tables
+from ..operators import clustering, frontier, grid, inference, rankcorr, reports, resample, sampling, scoring, tables
 from ..session import shared_dir
 from ..sources import files, schemas
 from ..streaming import attempts, incremental
@@ -688,6 +688,16 @@ def cohens_kappa(spark, sf):
     return inference.cohens_kappa(raters, "quality", "clean")
 
 
+@query
+def document_rank_agreement(spark, sf):
+    """Kendall's tau-b of the lengths of documents and their numbers of spaces."""
+    docs = b.table(spark, sf, "documents").select(
+        F.char_length("text").alias("chars"), (F.char_length("text") - F.char_length(F.replace("text", F.lit(" "), F.lit("")))).alias("spaces"))
+    found = rankcorr.column_kendall_tau(docs, "chars", "spaces")
+    whole = [F.col(c).cast("long").alias(c) for c in ("n", "ties_x", "ties_y", "surplus")]
+    return found.select(*whole, F.round("tau_b", 6).alias("tau_b"))
+
+
 @query
 def paired_ttest(spark, sf):
     return inference.paired_ttest(b.scored(spark, sf), ["task_id", "model"], "tool_f1")

@@ -642,6 +642,13 @@ def statements() -> dict[str, str]:
         "cohens_kappa": """WITH r AS (SELECT quality AS a, 1 - toxic AS b FROM labels), t AS (SELECT count(*) AS n, count(*) FILTER (a = b) AS agree FROM r),
             e AS (SELECT sum(CAST(x.n AS DOUBLE) * y.n) AS pe FROM (SELECT a, count(*) AS n FROM r GROUP BY a) x JOIN (SELECT b, count(*) AS n FROM r GROUP BY b) y ON x.a = y.b)
             SELECT n, agree, round((CAST(agree AS DOUBLE) / n - pe / n / n) / (1 - pe / n / n), 4) AS kappa FROM t, e""",
+        "document_rank_agreement": """WITH v AS (SELECT length(text) AS x, length(text) - length(replace(text, ' ', '')) AS y FROM documents WHERE text IS NOT NULL),
+            c AS (SELECT x, y, count(*) AS w FROM v GROUP BY ALL), t AS (SELECT count(*) AS n FROM v),
+            tx AS (SELECT sum(w * (w - 1) // 2) AS k FROM (SELECT count(*) AS w FROM v GROUP BY x)),
+            ty AS (SELECT sum(w * (w - 1) // 2) AS k FROM (SELECT count(*) AS w FROM v GROUP BY y)),
+            s AS (SELECT sum(p.w * q.w * sign(q.y - p.y)) AS k FROM c p JOIN c q ON p.x < q.x)
+            SELECT n, CAST(tx.k AS BIGINT) AS ties_x, CAST(ty.k AS BIGINT) AS ties_y, CAST(s.k AS BIGINT) AS surplus,
+                round(s.k / (sqrt(n * (n - 1) / 2 - tx.k) * sqrt(n * (n - 1) / 2 - ty.k)), 6) AS tau_b FROM t, tx, ty, s""",
         "paired_ttest": _ttest(),
         "cohens_d": f"""WITH {SCORED}, s AS (SELECT condition, count(*) AS n, avg(tool_f1) AS m, var_samp(tool_f1) AS v FROM scored GROUP BY condition),
             j AS (SELECT x.condition AS f, y.condition AS s, y.n AS n1, y.m AS m1, y.v AS v1, x.n AS n2, x.m AS m2, x.v AS v2 FROM s x JOIN s y
