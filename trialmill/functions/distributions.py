@@ -68,14 +68,14 @@ def t_two_sided(t: Column, df: Column) -> Column:
         lambda w: F.exp(-df / 2 * F.log1p(t * t / df)) * _cosh_tail(w, df) / _cosh_half(df))))
 
 
-def t_critical(df: Column, level: float = 0.95) -> Column:
+def t_critical(df: Column, level: float | Column = 0.95) -> Column:
     """Two-sided critical value: Newton steps on the logarithm of the tail.
 
     The logarithm is concave in w, so the first step lands at or beyond the root and the next ones
     come down to it; twelve steps reach machine precision for every df.  NULL where df < 1.
     """
     df = df.cast("double")
-    wanted = math.log(1 - level)
+    wanted = F.log(1 - level) if isinstance(level, Column) else math.log(1 - level)
 
     def newton(w: Column, half: Column) -> Column:
         return let(_cosh_tail(w, df), lambda tail: w + tail * (
