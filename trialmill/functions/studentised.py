@@ -29,16 +29,21 @@ def _below(x: float) -> float:
     return math.erfc(-x / math.sqrt(2)) / 2
 
 
+def _literal(rows: list[dict[str, float]]) -> Column:
+    """Array of structs as one parsed expression, which folds to a literal."""
+    return F.expr("array(" + ", ".join(
+        "named_struct(" + ", ".join(f"'{name}', {value!r}D" for name, value in row.items()) + ")" for row in rows) + ")")
+
+
 def _table() -> Column:
-    """(place, probability below, density) at equal steps: a literal after constant folding."""
+    """(place, probability below, density) at equal steps."""
     at = [i / GRID for i in range(-REACH * GRID, REACH * GRID + 1)]
-    return F.array(*[F.struct(F.lit(x).alias("x"), F.lit(_below(x)).alias("p"), F.lit(_density(x)).alias("d")) for x in at])
+    return _literal([{"x": x, "p": _below(x), "d": _density(x)} for x in at])
 
 
 def _nodes() -> Column:
     at = [i / INNER for i in range(-8 * INNER, 8 * INNER + 1)]
-    return F.array(*[F.struct(F.lit(x).alias("z"), F.lit(_density(x) / INNER).alias("weight"), F.lit(_below(x)).alias("p"))
-                     for x in at])
+    return _literal([{"z": x, "weight": _density(x) / INNER, "p": _below(x)} for x in at])
 
 
 def _normal(x: Column, table: Column) -> Column:

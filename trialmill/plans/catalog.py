@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..fixed_values import CONDITIONS
 from ..functions import text as tx, toolcalls as tc, vectors as vx
-from ..operators import clustering, frontier, grid, inference, rankcorr, reports, resample, sampling, scoring, tables
+from ..operators import clustering, frontier, grid, inference, patterns, rankcorr, reports, resample, sampling, scoring, tables
 from ..session import shared_dir
 from ..sources import files, schemas
 from ..streaming import attempts, incremental
@@ -539,6 +539,19 @@ def rule_check(spark, sf):
     return scoring.rule_check(good, b.rules(spark), "rule_id").select("run_id", "functional_correct")
 
 
+@query
+def rule_check_many(spark, sf):
+    """Every document against all neighbouring words of every benchmark item; items that it holds whole in this sense."""
+    words = F.split("text", " ", -1)
+    items = b.table(spark, sf, "benchmark").select("item_id", words.alias("w")).where("size(w) > 1")
+    rules = items.select("item_id", F.explode(F.zip_with(
+        F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1),
+        lambda x, y: F.concat(x, F.lit(" "), y))).alias("phrase"))
+    docs = b.table(spark, sf, "documents")
+    checked = patterns.rule_check_many(docs, rules, "doc_id", "text", "item_id", "phrase")
+    return checked.select("doc_id", "hits", F.coalesce(_joined(F.col("passed").cast("array<string>")), F.lit("")).alias("passed"))
+
+
 def _stored_scores(runs: DataFrame) -> DataFrame:
     """Stored scores: reserved but unfinished for `view`, none for `signup`."""
     return _thin_scores(runs).filter(F.col("topic") != "signup").select(
@@ -733,6 +746,11 @@ def tukey_q(spark, sf):
     return inference.tukey_q(b.scored(spark, sf), "model", "tool_f1")
 
 
+@query
+def tukey_hsd(spark, sf):
+    return inference.tukey_hsd(b.scored(spark, sf), ["condition"], "model", "tool_f1")
+
+
 @query
 def mcnemar_exact(spark, sf):
     return inference.mcnemar_exact(b.scored(spark, sf), ["task_id", "model"], "min_req_met")
@@ -920,3 +938,36 @@ def stream_last_attempt(spark, sf):
         changes = attempts.attempt_changes(stream, "run_id", "version", ["model", "condition"], measures)
         attempts.store_changes(changes, ["model", "condition"], measures, f"{folder}/out", f"{folder}/state")
     return attempts.read_sums(spark, f"{folder}/out", ["model", "condition"], measures)
+
+
+# --- counts of row-level results ---------------------------------------------------
+
+# query: (scores as ten-thousandths, further columns)
+COUNTED = {
+    "best_sequence_f1": (["tool_precision", "tool_recall", "tool_f1"], ["total_tool_calls", "redundant_calls"]),
+    "standard_scoring": (["intent_preservation", "tool_precision", "tool_recall", "tool_f1"],
+                         ["total_tool_calls", "redundant_calls", "first_call_correct", "min_req_met", "hallucination_score",
+                          "intent_fidelity_score", "functional_correct"]),
+    "rescore_tools": (["tool_precision", "tool_recall", "tool_f1"],
+                      ["total_tool_calls", "redundant_calls", "first_call_correct", "min_req_met", "intent_fidelity_score"]),
+    "rescore_functional": (["tool_f1"], ["functional_correct"]),
+    "rescore_intent": (["tool_f1"], ["intent_fidelity_score"]),
+    "analysis_base": (["tool_precision", "tool_recall", "tool_f1"],
+                      ["intent", "condition", "model", "total_tool_calls", "redundant_calls", "first_call_correct", "min_req_met",
+                       "hallucination_score", "intent_fidelity_score", "functional_correct"]),
+    "fig_token_scatter": (["tool_f1"], ["condition", "total_tokens"]),
+    "stream_scoring": (["tool_f1"], ["condition", "min_req_met"]),
+}
+
+
+def _counts_of(name: str) -> Query:
+    def counts(spark, sf):
+        """Rows per distinct result: all rows of a row-level query in a few lines."""
+        scores, further = COUNTED[name]
+        tuples = [F.round(F.col(c) * 10000).cast("long").alias(c) for c in scores] + [F.col(c) for c in further]
+        return REGISTRY[name](spark, sf).groupBy(*tuples).agg(F.count("*").alias("n"))
+
+    return counts
+
+
+REGISTRY.update({f"{name}_counts": _counts_of(name) for name in COUNTED})

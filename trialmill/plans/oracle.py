@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from ..fixed_values import CASE, CONDITIONS, CONTRACTIONS, FENCE_LANGUAGES, FILLERS, RULES, VALID_TOOLS
 from .bindings import CODE_MENU, GOLD_MENU, INTENTS, MODELS, TOOL_MENU
+from .catalog import COUNTED
 
 HEX = "'0123456789abcdef'"
 B = 200
@@ -425,7 +426,52 @@ def _pct(col: str) -> str:
     return f"round(100 * avg(CAST({_present(col)} AS INT)), 4) AS {col}_pct"
 
 
+# Normal probabilities by cumulated sums with their end correction, looked up and carried on by Taylor's series; critical
+# values by inverse interpolation of the tail at seven places around the root for three groups and many rows.
+_HSD = f"""WITH {SCORED},
+    s AS (SELECT condition, model, count(tool_f1) AS n, avg(tool_f1) AS m, var_samp(tool_f1) AS v FROM scored GROUP BY ALL),
+    e AS (SELECT condition, sum((n - 1) * v) / (sum(n) - count(*)) AS mse, CAST(sum(n) - count(*) AS BIGINT) AS df, count(*) AS k FROM s GROUP BY 1),
+    pairs AS (SELECT x.condition, x.model AS a, y.model AS b, df, k, y.m - x.m AS gap, sqrt(mse / 2 * (1.0::DOUBLE / x.n + 1.0::DOUBLE / y.n)) AS se
+      FROM s x JOIN s y ON x.condition = y.condition AND x.model < y.model JOIN e ON e.condition = x.condition),
+    asked AS (SELECT condition, a, b, -1 AS j, abs(gap) / se AS q, df, k FROM pairs
+      UNION ALL SELECT condition, NULL, NULL, j, 3.25::DOUBLE + j * 0.02::DOUBLE, df, k FROM e, range(7) r(j)),
+    steps AS (SELECT i, i / 256.0::DOUBLE AS x, exp(-0.5::DOUBLE * i * i / 65536) / sqrt(2 * pi()) AS d FROM range(-2560, 2561) r(i)),
+    normal AS (SELECT i, x, d, (sum(d) OVER (ORDER BY i) - d / 2) / 256 + x * d / 12 / 65536 AS p FROM steps),
+    outer_nodes AS (SELECT *, i / 4.0::DOUBLE / sqrt(2 * df) AS u FROM asked, range(-36, 37) r(i)),
+    weighed AS (SELECT condition, a, b, j, k, i, q * exp(u) AS w, exp(-df / 2.0::DOUBLE * (exp(2 * u) - 1 - 2 * u)) AS height FROM outer_nodes),
+    placed AS (SELECT o.*, z.d AS zd, z.p AS zp, z.x - w AS y FROM weighed o, normal z WHERE z.i % 16 = 0 AND abs(z.x) <= 8),
+    looked AS (SELECT t.*, CASE WHEN y < -9.5 THEN 0 ELSE g.p + g.d * ((y - g.x) - g.x * (y - g.x) ** 2 / 2 + (g.x ** 2 - 1) * (y - g.x) ** 3 / 6) END AS yp
+      FROM placed t JOIN normal g ON g.i = CAST(round(greatest(y, -9.5) * 256) AS BIGINT)),
+    within AS (SELECT condition, a, b, j, i, height, k * sum(zd / 16 * greatest(zp - yp, 0) ** (k - 1)) AS chance FROM looked GROUP BY condition, a, b, j, i, height, k),
+    tails AS (SELECT condition, a, b, j, 1 - sum(height * chance) / sum(height) AS p FROM within GROUP BY condition, a, b, j),
+    parts AS (SELECT x.condition, x.j, product((0.05 - y.p) / (x.p - y.p)) AS part FROM tails x JOIN tails y
+      ON x.condition = y.condition AND x.j <> y.j AND x.j >= 0 AND y.j >= 0 GROUP BY ALL),
+    bound AS (SELECT condition, sum((3.25::DOUBLE + j * 0.02::DOUBLE) * part) AS c FROM parts GROUP BY 1)
+    SELECT p.condition, p.a AS "first", p.b AS "second", df, round(gap, 4) AS mean_diff, round(abs(gap) / se, 4) AS q, round(greatest(t.p, 0), 6) AS p,
+      round(gap - c * se, 4) AS ci_lower, round(gap + c * se, 4) AS ci_upper, t.p < 0.05 AS significant
+    FROM pairs p JOIN tails t ON p.condition = t.condition AND p.a = t.a AND p.b = t.b JOIN bound ON bound.condition = p.condition"""
+
+_PHRASES = """WITH b AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark WHERE text IS NOT NULL),
+    phrases AS (SELECT DISTINCT item_id, w[i] || ' ' || w[i + 1] AS phrase FROM (SELECT item_id, w, unnest(range(1, len(w))) AS i FROM b)),
+    found AS (SELECT doc_id, phrase FROM documents JOIN (SELECT DISTINCT phrase FROM phrases) ON contains(text, phrase)),
+    needs AS (SELECT item_id, count(*) AS needed FROM phrases GROUP BY 1),
+    held AS (SELECT doc_id, item_id, count(*) AS n FROM found JOIN phrases USING (phrase) GROUP BY ALL),
+    passing AS (SELECT doc_id, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS passed FROM held JOIN needs USING (item_id)
+      WHERE n = needed GROUP BY 1)
+    SELECT doc_id, hits, coalesce(passed, '') AS passed FROM (SELECT doc_id, count(*) AS hits FROM found GROUP BY 1) LEFT JOIN passing USING (doc_id)"""
+
+
 def statements() -> dict[str, str]:
+    rows = _row_statements()
+    return rows | {f"{name}_counts": _count_statement(rows[name], *columns) for name, columns in COUNTED.items()}
+
+
+def _count_statement(rows: str, scores: list[str], further: list[str]) -> str:
+    tuples = [f"CAST(round({c} * 10000) AS BIGINT) AS {c}" for c in scores] + further
+    return f"SELECT {', '.join(tuples)}, count(*) AS n FROM ({rows}) GROUP BY ALL"
+
+
+def _row_statements() -> dict[str, str]:
     words = f"CASE WHEN trim(utterance, {_SPACES}) = '' THEN 0 ELSE len(regexp_split_to_array(trim(utterance, {_SPACES}), '\\s+')) END"
     spread = "sum(m * d)"
     return {
@@ -663,6 +709,8 @@ def statements() -> dict[str, str]:
             e AS (SELECT sum((n - 1) * v) / (sum(n) - count(*)) AS mse FROM s)
             SELECT x.model AS "first", y.model AS "second", round(y.m - x.m, 4) AS mean_diff,
             round(abs(y.m - x.m) / sqrt(mse / 2 * (1.0 / x.n + 1.0 / y.n)), 4) AS q FROM s x JOIN s y ON x.model < y.model, e""",
+        "tukey_hsd": _HSD,
+        "rule_check_many": _PHRASES,
         "mcnemar_exact": _mcnemar("min_req_met", "a", "c"),
         "mcnemar_hallucination": _mcnemar("CAST(hallucination_score = 0 AS INT)", "b", "c"),
         "failure_taxonomy": f"""WITH {RUNS}, j AS (SELECT n.*, minimum FROM named n JOIN gold USING (task_id)),
