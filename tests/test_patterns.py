@@ -16,9 +16,9 @@ def test_overlapping_patterns_and_piece_borders(monkeypatch):
     texts = ["".join(rng.choices("abhers é€", k=rng.choice([0, 1, 5, 40, 700]))) for _ in range(80)]
     want = plain(texts, words)
     assert Automaton(words).found(texts) == want
-    for piece, batch in ((1, 7), (16, 3), (100, 1)):
+    for piece, batch in ((1, 70), (16, 300), (100, 1)):
         monkeypatch.setattr(patterns, "PIECE", piece)
-        monkeypatch.setattr(patterns, "BATCH_PIECES", batch)
+        monkeypatch.setattr(patterns, "BATCH_CHARS", batch)
         assert Automaton(words).found(texts) == want
 
 
@@ -29,7 +29,7 @@ def test_groups_keep_to_the_limit():
     assert all(Automaton(g).moves.nbytes <= 100_000 for g in groups)
 
 
-@pytest.mark.parametrize("limit", [4000, 1 << 24])
+@pytest.mark.parametrize("limit", [1500, 4000, 1 << 24])
 def test_contained_is_contains(spark, limit):
     rng = random.Random(limit)
     texts = [(i, "".join(rng.choices("abc ", k=rng.choice([0, 3, 50, 1500])))) for i in range(120)] + [(7, "abcabc"), (None, "aab"), (200, None)]
@@ -49,6 +49,14 @@ def test_too_many_patterns_are_refused_and_none_find_nothing(spark):
     assert contained(texts.limit(0), table, "id", "body", "word").count() == 0
 
 
+def test_a_pattern_too_large_for_a_table_is_found(spark):
+    long = "".join(chr(97 + i % 26) for i in range(60))
+    texts = spark.createDataFrame([(1, "x" + long + "y"), (2, long[:-1]), (3, "abc")], "id long, body string")
+    table = spark.createDataFrame([(long,), ("abc",)], "word string")
+    got = contained(texts, table, "id", "body", "word", 1000).collect()
+    assert sorted((r.id, r.word) for r in got) == [(1, "abc"), (1, long), (2, "abc"), (3, "abc")]
+
+
 def test_rules_need_all_their_patterns(spark):
     texts = spark.createDataFrame([(1, "import os, def run"), (2, "def run"), (3, "nothing"), (4, None)], "id long, body string")
     rules = spark.createDataFrame([("a", "def"), ("a", "import"), ("b", "def"), ("b", "def"), ("c", None), ("d", "absent")], "rule string, word string")

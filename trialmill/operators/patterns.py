@@ -1,4 +1,4 @@
-"""Many substrings at once: every text is read once for thousands of patterns.
+"""Many substrings at once: one reading of a text serves thousands of patterns.
 
 The patterns become one automaton whose moves are a table of (state, kind of character).  A task cuts its
 texts into pieces that overlap by the longest pattern, lays them side by side and moves all pieces one character
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 TABLE_BYTES = 16 * 1024 * 1024
 PIECE = 512
-BATCH_PIECES = 4096
+BATCH_CHARS = 4 * 1024 * 1024
 
 
 class Automaton:
@@ -64,14 +65,16 @@ class Automaton:
     def found(self, texts: list[str]) -> set[tuple[int, int]]:
         """(index of the text, number of the pattern), each once."""
         pairs: set[tuple[int, int]] = set()
-        owners, pieces = [], []
+        owners, pieces, held = [], [], 0
+        width = max(PIECE, self.longest)  # so that no more than half of a piece is overlap
         for i, text in enumerate(texts):
-            for start in range(0, max(len(text) - self.longest + 1, 1), PIECE):
+            for start in range(0, max(len(text) - self.longest + 1, 1), width):
                 owners.append(i)
-                pieces.append(text[start:start + PIECE + self.longest - 1])
-                if len(pieces) == BATCH_PIECES:
+                pieces.append(text[start:start + width + self.longest - 1])
+                held += len(pieces[-1]) + 1
+                if held >= BATCH_CHARS:
                     pairs |= self._scan(owners, pieces)
-                    owners, pieces = [], []
+                    owners, pieces, held = [], [], 0
         return pairs | self._scan(owners, pieces) if pieces else pairs
 
     def _scan(self, owners: list[int], pieces: list[str]) -> set[tuple[int, int]]:
@@ -101,18 +104,22 @@ class Automaton:
         return pairs
 
 
+def _table_bytes(states: int, letters: int) -> int:
+    return 4 * (states + 1) * (letters + 1)
+
+
 def dealt(patterns: list[tuple[int, str]], limit: int = TABLE_BYTES) -> list[list[tuple[int, str]]]:
-    """Groups of patterns whose tables stay within `limit` bytes (a single longer pattern is a group of its own)."""
+    """Groups of patterns whose tables of moves stay within `limit` bytes; each pattern must do so by itself."""
     groups: list[list[tuple[int, str]]] = []
     states, letters = 0, set()
     for number, text in sorted(patterns, key=lambda p: p[1]):
         more = letters | set(text)
-        if groups and 4 * (states + len(text) + 1) * (len(more) + 1) <= limit:
+        if groups and _table_bytes(states + len(text), len(more)) <= limit:
             groups[-1].append((number, text))
             states, letters = states + len(text), more
         else:
             groups.append([(number, text)])
-            states, letters = len(text) + 1, set(text)
+            states, letters = len(text), set(text)
     return groups
 
 
@@ -120,8 +127,9 @@ def contained(texts: DataFrame, patterns: DataFrame, key: str, text: str, patter
               limit: int = TABLE_BYTES) -> DataFrame:
     """(key, pattern): every distinct pattern each text holds, as `contains` would tell, one row a text and pattern.
 
-    `patterns` is a rule table: its distinct strings go through the driver, so beyond `limit` bytes of text it is refused.  Tables
-    of moves are dealt into groups of at most `limit` bytes; every group goes over the texts in the same pass.
+    `patterns` is a rule table: its distinct strings go through the driver, so beyond `limit` bytes of text it is refused.  They
+    are dealt into groups whose tables of moves take at most `limit` bytes; a task builds the table of its group, and
+    each group reads the texts once.  A pattern whose own table would be larger is looked for by itself.
     NULL texts hold nothing, NULL and empty patterns are left out.  Rows of `texts` that repeat are answered row by row.
     """
     distinct = patterns.select(F.col(pattern).alias("p")).where(F.length("p") > 0).distinct()
@@ -131,21 +139,23 @@ def contained(texts: DataFrame, patterns: DataFrame, key: str, text: str, patter
     words = sorted(r.p for r in distinct.collect())
     spark = texts.sparkSession
     out = T.StructType([T.StructField(key, texts.schema[key].dataType), T.StructField(pattern, T.StringType())])
-    if not words:
-        return spark.createDataFrame([], out)
-    tables = spark.sparkContext.broadcast([Automaton(group) for group in dealt(list(enumerate(words)), limit)])
-    named = spark.sparkContext.broadcast(words)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.column(1).to_pylist()
-            pairs = sorted(set().union(*[table.found(rows) for table in tables.value]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array([i for i, _ in pairs], pa.int64())),
-                 pa.array([named.value[n] for _, n in pairs], pa.string())], names=[key, pattern])
-
     rows = texts.select(key, F.col(text).alias("_text")).where(F.col("_text").isNotNull())
-    return rows.mapInArrow(scan, out)
+    large = {w for w in words if _table_bytes(len(w), len(set(w))) > limit}
+
+    def scan_for(group):
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table, names = Automaton(group.value), dict(group.value)
+            for batch in batches:
+                pairs = sorted(table.found(batch.column(1).to_pylist()))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array([i for i, _ in pairs], pa.int64())),
+                     pa.array([names[n] for _, n in pairs], pa.string())], names=[key, pattern])
+        return scan
+
+    groups = dealt([(i, w) for i, w in enumerate(words) if w not in large], limit)
+    passes = [rows.mapInArrow(scan_for(spark.sparkContext.broadcast(group)), out) for group in groups]
+    passes += [rows.where(F.contains("_text", F.lit(w))).select(key, F.lit(w).alias(pattern)) for w in sorted(large)]
+    return reduce(DataFrame.unionByName, passes) if passes else spark.createDataFrame([], out)
 
 
 def rule_check_many(texts: DataFrame, rules: DataFrame, key: str, text: str, rule: str, pattern: str) -> DataFrame:
