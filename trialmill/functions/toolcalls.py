@@ -8,8 +8,11 @@ from ..fixed_values import VALID_TOOLS
 from .arrays import let
 from .text import strip
 
-# (?U): names may hold any Unicode word character.
-CALL_PATTERN = r"(?iU)TOOL_CALL:\s*(\w+)\s*\(([^)]*)\)"
+# (?U): names may hold any Unicode word character.  The letters are spelled out, since no other character folds to
+# one of them and (?i) would fold every character of the text.
+CALL_PATTERN = r"(?U)[Tt][Oo][Oo][Ll]_[Cc][Aa][Ll][Ll]:\s*(\w+)\s*\(([^)]*)\)"
+#: Name, spaces, bracket and parameters as one group: one pass finds both.
+_WHOLE_CALL = CALL_PATTERN.replace(r"(\w+)\s*\(([^)]*)\)", r"(\w+\s*\([^)]*)\)")
 CALL_SCHEMA = "array<struct<tool:string, params:string, valid:boolean>>"
 
 
@@ -23,11 +26,12 @@ def is_valid_tool(name: Column, tools: list[str] = VALID_TOOLS) -> Column:
 
 
 def extract_tool_calls(text: Column, tools: list[str] = VALID_TOOLS) -> Column:
-    params = F.regexp_extract_all(text, F.lit(CALL_PATTERN), F.lit(2))
-    return F.zip_with(
-        tool_names(text), params,
-        lambda t, p: F.struct(t.alias("tool"), strip(p).alias("params"), is_valid_tool(t, tools).alias("valid")),
-    )
+    def parts(call: Column) -> Column:
+        name = F.lower(strip(F.substring_index(call, "(", 1)))
+        params = strip(call.substr(F.instr(call, F.lit("(")) + 1, F.length(call)))
+        return F.struct(name.alias("tool"), params.alias("params"), is_valid_tool(name, tools).alias("valid"))
+
+    return F.transform(F.regexp_extract_all(text, F.lit(_WHOLE_CALL), F.lit(1)), parts)
 
 
 def explode_calls(df: DataFrame, keys: list[str], calls: str = "tool_calls") -> DataFrame:
