@@ -138,10 +138,11 @@ def poisson_ratio(df: DataFrame, keys: list[str], top: str, bottom: str, replica
 
 def poisson_mean(df: DataFrame, keys: list[str], value: str, replicates: int) -> DataFrame:
     """`mean` per key with its interval, one pass over the facts.  Cells are the stored values as they
-    are; NULLs are skipped."""
-    cells = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_x")).agg(
-        F.count("*").alias("_n"), F.array(F.sum(F.col(value).cast("double"))).alias("_tops"),
-        F.array(F.count("*").cast("double")).alias("_bottoms")).withColumn("_y", F.lit(1))
+    are; NULLs are skipped, after counting: a condition on the value would be pushed below its formula and work it
+    out a second time for every row."""
+    cells = df.groupBy(*keys, F.col(value).cast("double").alias("_x")).agg(
+        F.count(value).alias("_n"), F.array(F.sum(F.col(value).cast("double"))).alias("_tops"),
+        F.array(F.count(value).cast("double")).alias("_bottoms")).where("_n > 0").withColumn("_y", F.lit(1))
     return _interval(cells, keys, ["_x"], replicates, ["mean"])
 
 
