@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..fixed_values import CONDITIONS, ERROR_TEXT_LIMIT
 from ..functions.text import count_tokens
 from ..functions.toolcalls import extract_tool_calls, valid_names
+from ..session import large_side
+from .tables import key_columns
 
 
 def run_id(task: Column, condition: Column, model: Column) -> Column:
@@ -31,9 +33,10 @@ def pilot_grid(tasks: DataFrame, model: str, order: str, n_tasks: int = 5) -> Da
     return run_grid(tasks.orderBy(order).limit(n_tasks), [model])
 
 
-def pending_runs(grid: DataFrame, done: DataFrame) -> DataFrame:
+def pending_runs(grid: DataFrame, done: DataFrame, key: str | list[str] = "run_id") -> DataFrame:
     """Runs not finished yet; a run that ended in an error is due again."""
-    return grid.join(done.filter(F.col("error").isNull()).select("run_id"), "run_id", "left_anti")
+    keys = key_columns(key)
+    return grid.join(large_side(done.filter(F.col("error").isNull()).select(*keys)), keys, "left_anti")
 
 
 RUN_STAGE_COLUMNS = ("response string, usage_input long, usage_output long, execution_time_sec double, error string, "

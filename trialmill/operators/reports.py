@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..fixed_values import CONDITIONS
+from ..session import large_side
 from .resample import poisson_ratio, rounded
+from .tables import key_columns
 
 SCORE_COLUMNS = [
     "tool_precision", "tool_recall", "tool_f1", "total_tool_calls", "redundant_calls", "first_call_correct",
@@ -13,9 +15,9 @@ SCORE_COLUMNS = [
 ]
 
 
-def analysis_base(results: DataFrame, scores: DataFrame) -> DataFrame:
+def analysis_base(results: DataFrame, scores: DataFrame, key: str | list[str] = "run_id") -> DataFrame:
     """Results with their scores; runs without scores are left out."""
-    return results.join(scores, "run_id")
+    return results.join(large_side(scores), key_columns(key))
 
 
 def mean(column: str, places: int = 4) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import strip, word_count, zero_padded
-from ..session import small_side
+from ..session import large_side, small_side
 
 ENTITY_COLUMNS = ("language", "framework", "error_type")
 
@@ -106,11 +106,11 @@ def tasks_master(tasks: DataFrame, gold: DataFrame) -> DataFrame:
     top = ["has_unit_test", "unit_test_path"]
     nested = [c for c in gold.columns if c not in ("task_id", *top)]
     packed = gold.select("task_id", F.struct(*nested).alias("gold_standard"), *[c for c in top if c in gold.columns])
-    return tasks.join(packed, "task_id")
+    return tasks.join(large_side(packed), "task_id")
 
 
 def missing_gold(tasks: DataFrame, gold: DataFrame) -> DataFrame:
-    return tasks.join(gold.select("task_id"), "task_id", "left_anti")
+    return tasks.join(large_side(gold.select("task_id")), "task_id", "left_anti")
 
 
 def quality_report(master: DataFrame, text: str, embedding: str | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..session import cut_lineage, shared_dir
+from ..session import cut_lineage, large_side, shared_dir
 
 BUCKETS = 64
 
@@ -50,25 +50,32 @@ def upsert(table: DataFrame, incoming: DataFrame, keys: list[str], version: str)
     latest = cut_lineage(keep_last(incoming, keys, [version]))
     replaced = latest.select(*[F.col(k).alias(f"_{k}") for k in keys])
     same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-    return table.join(replaced, same, "left_anti").unionByName(latest, allowMissingColumns=True)
+    return table.join(large_side(replaced), same, "left_anti").unionByName(latest, allowMissingColumns=True)
 
 
-def partial_update(table: DataFrame, updates: DataFrame, key: str, columns: list[str], version: str | None = None) -> DataFrame:
+def key_columns(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def partial_update(table: DataFrame, updates: DataFrame, key: str | list[str], columns: list[str],
+                   version: str | None = None) -> DataFrame:
     """Set only `columns` where the key matches; an update may write NULL.
 
     Of several updates of a key the one with the greatest `version` counts, without a version the
     greatest values.
     """
     values = F.struct(*columns)
-    new = updates.groupBy(key).agg((F.max_by(values, F.col(version)) if version else F.max(values)).alias("_new"))
-    joined = table.join(new, key, "left")
+    keys = key_columns(key)
+    new = updates.groupBy(*keys).agg((F.max_by(values, F.col(version)) if version else F.max(values)).alias("_new"))
+    joined = table.join(large_side(new), keys, "left")
     changed = {c: F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)) for c in columns}
     return joined.withColumns(changed).drop("_new").select(*table.columns)
 
 
-def ensure_keys(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+def ensure_keys(table: DataFrame, keys: DataFrame, key: str | list[str]) -> DataFrame:
     """Give every key a row; new rows hold NULL everywhere else."""
-    absent = keys.select(key).join(table.select(key), key, "left_anti").distinct()
+    names = key_columns(key)
+    absent = keys.select(*names).join(large_side(table.select(*names)), names, "left_anti").distinct()
     return table.unionByName(absent, allowMissingColumns=True)
 
 

@@ -13,7 +13,7 @@ from ..fixed_values import CASE, COMPOSITE_INTENT, CONDITIONS, RULES, SAMPLED_IN
 from ..functions import toolcalls
 from ..functions.text import zero_padded
 from ..operators import scoring
-from ..session import fan_out, inline_table, small_side
+from ..session import fan_out, inline_table, settle, shares
 
 INTENTS = SAMPLED_INTENTS + [COMPOSITE_INTENT]
 MODELS = ["m0", "m1", "m2"]
@@ -54,14 +54,29 @@ def _digit(hexed: Column, at: Column | int) -> Column:
 
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One task per event."""
-    return tasks_of(fan_out(table(spark, sf_dir, "events"), "event_id"))
+    """One task per event, dealt by task.
+
+    A row group is read by one task however many splits the scan has, and an event becomes nine runs, so the
+    slim events are dealt out first.  What derives from them keeps this order: frames with `task_id` join on it, and on
+    `task_id` with further keys, without another shuffle (Spark has to be told that a part of the keys is enough).
+    """
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    events = table(spark, sf_dir, "events")
+    return tasks_of(deal_events(events, shares(events)))
+
+
+def deal_events(events: DataFrame, n: int) -> DataFrame:
+    return events.withColumn("task_id", _task_id()).repartition(n, "task_id")
+
+
+def _task_id() -> Column:
+    return F.concat(F.lit("task_"), zero_padded(F.col("event_id"), 12))
 
 
 def tasks_of(events: DataFrame) -> DataFrame:
     user = F.col("user_id")
     return events.select(
-        F.concat(F.lit("task_"), zero_padded(F.col("event_id"), 12)).alias("task_id"),
+        F.col("task_id") if "task_id" in events.columns else _task_id().alias("task_id"),
         F.col("event_id").alias("task_no"),
         F.element_at(_literals(INTENTS), (user % 8 + 1).cast("int")).alias("intent"),
         user.alias("owner"),
@@ -106,21 +121,23 @@ def runs_of(task_frame: DataFrame) -> DataFrame:
     h, k = F.col("hexed"), F.col("k")
     failed = (F.col("owner") % 50 == 9) & (F.col("condition") == "b") & (F.col("model") == "m0")
     bonus = F.when(F.col("condition") == "c", 1).otherwise(0)
-    n_calls = (_digit(h, 1) - 1) % 6 + bonus
+    n_calls = F.coalesce((_digit(h, 1) - 1) % 6 + bonus, F.lit(0))
     marker = F.when(_digit(h, 15) <= 4, F.lit("tool_call:")).otherwise(F.lit("TOOL_CALL: "))
 
-    def line(i: Column) -> Column:
-        name = F.element_at(_literals(TOOL_MENU), _digit(h, i + 1))
-        shown = F.when(i == 2, F.upper(name)).otherwise(name)
-        return F.concat(marker, shown, F.lit("( path=\"src/item_"), k.cast("string"), F.lit(".py\" )"))
+    # Neither lambdas, which run uncompiled, nor anything that can be NULL: what only asks whether there is a response
+    # then needs no text.
+    topic, item = F.coalesce("topic", F.lit("")), F.coalesce(k.cast("string"), F.lit(""))
+
+    def line(i: int) -> Column:
+        name = F.element_at(_literals([t.upper() for t in TOOL_MENU] if i == 2 else TOOL_MENU), _digit(h, i + 1))
+        return F.when(n_calls >= i, F.concat(marker, name, F.lit("( path=\"src/item_"), item, F.lit(".py\" )")))
 
-    calls = F.array_join(F.slice(F.transform(F.sequence(F.lit(1), F.lit(6)), line), 1, n_calls), "\n")
-    words = F.array_join(F.transform(F.sequence(F.lit(17), F.lit(21)),
-                                     lambda i: F.element_at(_literals(CODE_MENU), _digit(h, i))), " ")
+    calls = F.concat_ws("\n", *[line(i) for i in range(1, 7)])
+    words = F.concat_ws(" ", *[F.element_at(_literals(CODE_MENU), _digit(h, i)) for i in range(17, 22)])
     fence = F.when(_digit(h, 14) <= 2, F.lit("")).otherwise(F.lit("```"))
     lang = F.when(_digit(h, 14) <= 2, F.lit("")).otherwise(F.lit("python"))
     text = F.concat(
-        F.lit("Notes on "), F.col("topic"), F.lit(" "), k.cast("string"), F.lit(".\n"), calls,
+        F.lit("Notes on "), topic, F.lit(" "), item, F.lit(".\n"), calls,
         F.lit("\nTOOL_CALL: git_diff\n"), fence, lang, F.lit("\n"), words, F.lit("\n"), fence, F.lit("\nDone."),
     )
     cond_no = F.instr(F.lit("abc"), F.col("condition"))
@@ -129,7 +146,7 @@ def runs_of(task_frame: DataFrame) -> DataFrame:
         F.concat("task_id", F.lit("_cond"), "condition", F.lit("_"), "model").alias("run_id"),
         "task_id", "task_no", "intent", "condition", "model", "owner", "gold_no", "rule_id", "topic", "cents", "k",
         n_calls.cast("long").alias("planned_calls"),
-        F.when(~failed, text).alias("response"),
+        F.when(~failed & F.col("topic").isNotNull() & k.isNotNull(), text).alias("response"),
         sent.alias("input_tokens"),
         ((500 + (F.col("cents") * 7 + _digit(h, 16) * 31) % 4000) / 1000.0).cast("double").alias("execution_time_sec"),
         F.when(failed, F.concat(F.lit("timeout after 60s on "), "topic")).alias("error"),
@@ -141,7 +158,8 @@ def runs_of(task_frame: DataFrame) -> DataFrame:
 
 def with_calls(run_frame: DataFrame) -> DataFrame:
     empty = F.array().cast(toolcalls.CALL_SCHEMA)
-    return run_frame.withColumn("tool_calls", F.coalesce(toolcalls.extract_tool_calls(F.col("response")), empty))
+    calls = F.coalesce(toolcalls.extract_tool_calls(F.col("response")), empty)
+    return settle(settle(run_frame, "response").withColumn("tool_calls", calls), "tool_calls")
 
 
 def rules(spark: SparkSession) -> DataFrame:
@@ -173,7 +191,8 @@ def scored_in_place(spark: SparkSession, run_frame: DataFrame) -> DataFrame:
 
 
 def _checked(spark: SparkSession, run_frame: DataFrame) -> DataFrame:
-    good = run_frame.filter(F.col("error").isNull()).withColumn("tool_names", toolcalls.tool_names(F.col("response")))
+    good = settle(run_frame.filter(F.col("error").isNull()), "response")
+    good = settle(good.withColumn("tool_names", toolcalls.tool_names(F.col("response"))), "tool_names")
     return scoring.rule_check(good, rules(spark), "rule_id").drop("response")
 
 
@@ -187,7 +206,7 @@ def score_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     fidelity = F.when(F.col("topic") == "error", F.lit("no verdict")).otherwise(
         F.concat(F.lit('Verdict: {"score": "'), (F.col("k") % 4).cast("string"), F.lit('"}')))
     replies = run_frame.filter(F.col("error").isNull()).select(
-        "run_id",
+        "task_id", "run_id",
         F.concat(F.lit('{"score": '), (F.col("planned_calls") % 3).cast("string"), F.lit("}")).alias("hallucination_reply"),
         fidelity.alias("fidelity_reply"))
     return run_frame.withColumn("embedding", vector), gold_frame, replies

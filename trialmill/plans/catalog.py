@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..fixed_values import CONDITIONS
 from ..functions import text as tx, toolcalls as tc, vectors as vx
 from ..operators import clustering, frontier, grid, inference, patterns, rankcorr, reports, resample, sampling, scoring, tables
-from ..session import shared_dir
+from ..session import large_side, shared_dir, shares
 from ..sources import files, schemas
 from ..streaming import attempts, incremental
 from . import bindings as b
@@ -19,6 +19,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 DIM = 64
 CI_REPLICATES = 200
+#: A run's key with the task that its rows are dealt by: joins on both need no further shuffle.
+RUN = ["task_id", "run_id"]
 
 
 def query(fn: Query) -> Query:
@@ -55,7 +57,7 @@ def upsert_results(spark, sf):
 
 def _thin_scores(runs: DataFrame) -> DataFrame:
     good = runs.filter(F.col("error").isNull())
-    return good.select("run_id", "topic", F.col("planned_calls").alias("total_tool_calls"),
+    return good.select(*RUN, "topic", F.col("planned_calls").alias("total_tool_calls"),
                        (F.col("k") % 4).cast("long").alias("intent_fidelity_score"))
 
 
@@ -63,15 +65,15 @@ def _thin_scores(runs: DataFrame) -> DataFrame:
 def partial_update_scores(spark, sf):
     scores = _thin_scores(b.runs(spark, sf))
     update = scores.filter(F.col("topic") == "view").select(
-        "run_id", F.when(F.col("total_tool_calls") > 2, F.lit(3).cast("long")).alias("intent_fidelity_score"))
-    return tables.partial_update(scores.drop("topic"), update, "run_id", ["intent_fidelity_score"])
+        *RUN, F.when(F.col("total_tool_calls") > 2, F.lit(3).cast("long")).alias("intent_fidelity_score"))
+    return tables.partial_update(scores.drop("topic"), update, RUN, ["intent_fidelity_score"]).drop("task_id")
 
 
 @query
 def ensure_score_keys(spark, sf):
     runs = b.runs(spark, sf)
     stored = _thin_scores(runs).filter(F.col("topic") != "signup").drop("topic")
-    return tables.ensure_keys(stored, runs.filter(F.col("error").isNull()), "run_id")
+    return tables.ensure_keys(stored, runs.filter(F.col("error").isNull()), RUN).drop("task_id")
 
 
 @query
@@ -120,7 +122,7 @@ def score_snapshot(spark, sf):
     """The score table from its first use on: made, filled, copied aside once, and changed after that."""
     folder = _folder(spark, "scores")
     table, kept = f"{folder}/scores", f"{folder}/original"
-    first = tables.evolve(_thin_scores(b.runs(spark, sf)).drop("topic"), schemas.SCORES)
+    first = tables.evolve(_thin_scores(b.runs(spark, sf)).drop("topic", "task_id"), schemas.SCORES)
     tables.read_or_empty(spark, table, schemas.SCORES).unionByName(first).write.parquet(table)
     stored = tables.read_or_empty(spark, table, schemas.SCORES)
     tables.snapshot_once(stored, kept)
@@ -369,7 +371,7 @@ def pilot_grid(spark, sf):
 @query
 def pending_runs(spark, sf):
     done = b.runs(spark, sf).filter(F.col("topic") != "click")
-    todo = grid.pending_runs(grid.run_grid(b.tasks(spark, sf), b.MODELS), done)
+    todo = grid.pending_runs(grid.run_grid(b.tasks(spark, sf), b.MODELS), done, RUN)
     return todo.select("run_id", "task_id", "model", "condition")
 
 
@@ -471,7 +473,7 @@ def format_compliance(spark, sf):
 def _slim(spark, sf) -> DataFrame:
     good = b.runs(spark, sf).filter(F.col("error").isNull())
     return good.select("run_id", "task_id", tc.tool_names(F.col("response")).alias("tool_names")).join(
-        b.gold(spark, sf), "task_id")
+        large_side(b.gold(spark, sf)), "task_id")
 
 
 @query
@@ -555,13 +557,13 @@ def rule_check_many(spark, sf):
 def _stored_scores(runs: DataFrame) -> DataFrame:
     """Stored scores: reserved but unfinished for `view`, none for `signup`."""
     return _thin_scores(runs).filter(F.col("topic") != "signup").select(
-        "run_id", F.when(F.col("topic") != "view", F.col("total_tool_calls")).alias("tool_f1"))
+        *RUN, F.when(F.col("topic") != "view", F.col("total_tool_calls")).alias("tool_f1"))
 
 
 @query
 def unscored_runs(spark, sf):
     runs = b.runs(spark, sf)
-    return scoring.unscored_runs(runs, _stored_scores(runs)).select("run_id")
+    return scoring.unscored_runs(runs, _stored_scores(runs), key=RUN).select("run_id")
 
 
 @query
@@ -573,7 +575,7 @@ def _score_table(runs: DataFrame) -> DataFrame:
     """A stored score table in its full width: finished rows, rows only reserved (`view`), none for `signup`."""
     done = F.col("topic") != "view"
     rows = runs.filter(F.col("error").isNull() & (F.col("topic") != "signup")).select(
-        "run_id", F.when(done, F.col("planned_calls") / F.lit(10.0)).alias("tool_f1"),
+        *RUN, F.when(done, F.col("planned_calls") / F.lit(10.0)).alias("tool_f1"),
         F.when(done, F.col("k") % 3).cast("long").alias("intent_fidelity_score"))
     return tables.evolve(rows, schemas.SCORES)
 
@@ -581,14 +583,14 @@ def _score_table(runs: DataFrame) -> DataFrame:
 @query
 def standard_scoring(spark, sf):
     runs, gold, replies = b.score_inputs(spark, sf)
-    return scoring.standard_scoring(runs, _score_table(runs), gold, b.rules(spark), replies, "rule_id")
+    return scoring.standard_scoring(runs, _score_table(runs), gold, b.rules(spark), replies, "rule_id", RUN).drop("task_id")
 
 
 @query
 def rescore_tools(spark, sf):
     runs = b.runs(spark, sf)
     good = runs.filter(F.col("error").isNull()).select("run_id", "task_id", tc.tool_names(F.col("response")).alias("tool_names"))
-    return scoring.rescore_tools(_score_table(runs), good, b.gold(spark, sf)).select(
+    return scoring.rescore_tools(_score_table(runs), good, b.gold(spark, sf), RUN).select(
         "run_id", *scoring.TOOL_COLUMNS, "intent_fidelity_score")
 
 
@@ -596,19 +598,19 @@ def rescore_tools(spark, sf):
 def rescore_functional(spark, sf):
     runs = b.runs(spark, sf)
     good = runs.filter(F.col("error").isNull())
-    return scoring.rescore_functional(_score_table(runs), good, b.rules(spark), "rule_id").select(
+    return scoring.rescore_functional(_score_table(runs), good, b.rules(spark), "rule_id", RUN).select(
         "run_id", "tool_f1", "functional_correct")
 
 
 @query
 def rescore_intent(spark, sf):
     runs, _, replies = b.score_inputs(spark, sf)
-    return scoring.rescore_intent(_score_table(runs), replies).select("run_id", "tool_f1", "intent_fidelity_score")
+    return scoring.rescore_intent(_score_table(runs), replies, key=RUN).select("run_id", "tool_f1", "intent_fidelity_score")
 
 
 @query
 def score_summary(spark, sf):
-    out = scoring.score_summary(b.runs(spark, sf), b.scored(spark, sf))
+    out = scoring.score_summary(b.runs(spark, sf), b.scored(spark, sf), RUN)
     return out.select("condition", *[F.round(c, 4).alias(c) for c in out.columns if c != "condition"])
 
 
@@ -629,8 +631,8 @@ def token_stats(spark, sf):
 
 @query
 def analysis_base(spark, sf):
-    scores = b.scored(spark, sf).select("run_id", *reports.SCORE_COLUMNS)
-    joined = reports.analysis_base(b.results_frame(b.runs(spark, sf)), scores)
+    scores = b.scored(spark, sf).select(*RUN, *reports.SCORE_COLUMNS)
+    joined = reports.analysis_base(b.results_frame(b.runs(spark, sf)), scores, RUN)
     return joined.select("run_id", "intent", "condition", "model", "total_tokens", "execution_time_sec", *reports.SCORE_COLUMNS)
 
 
@@ -691,7 +693,7 @@ def describe_metric(spark, sf):
 def kendall_tau(spark, sf):
     names = F.filter(tc.tool_names(F.col("response")), lambda t: tc.is_valid_tool(t))
     good = b.runs(spark, sf).filter(F.col("error").isNull()).select("run_id", "task_id", names.alias("names"))
-    scored = good.join(b.gold(spark, sf), "task_id")
+    scored = good.join(large_side(b.gold(spark, sf)), "task_id")
     return scored.select("run_id", F.round(tc.kendall_tau(F.col("names"), F.col("expected_tools")), 6).alias("tau"))
 
 
@@ -767,7 +769,7 @@ def failure_taxonomy(spark, sf):
     base = b.with_calls(b.runs(spark, sf))
     named = base.withColumn("tool_names", scoring.called_names(F.col("tool_calls"))).withColumn(
         "invalid_calls", F.size(F.filter("tool_calls", lambda c: ~c["valid"])))
-    checked = scoring.with_sequence_scores(named.join(b.gold(spark, sf), "task_id"))
+    checked = scoring.with_sequence_scores(named.join(large_side(b.gold(spark, sf)), "task_id"))
     return reports.failure_taxonomy(checked, ["condition"])
 
 
@@ -893,10 +895,10 @@ def _event_stream(spark, sf) -> DataFrame:
 @query
 def stream_scoring(spark, sf):
     """Events arrive, become runs, are scored per batch and read back as the current table."""
-    folder = _folder(spark, "scores")
+    folder, n = _folder(spark, "scores"), shares(b.table(spark, sf, "events"))
 
     def score(events: DataFrame) -> DataFrame:
-        return b.scored_in_place(spark, b.runs_of(b.tasks_of(events))).select(
+        return b.scored_in_place(spark, b.runs_of(b.tasks_of(b.deal_events(events, n)))).select(
             "run_id", "condition", "tool_f1", "min_req_met", "total_tokens")
 
     incremental.score_stream(_event_stream(spark, sf), score, f"{folder}/out", f"{folder}/state")

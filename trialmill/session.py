@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import math
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -12,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 BROADCAST_LIMIT_BYTES = 16 * 1024 * 1024
+#: Stored bytes of a table that one task gets where each of its rows becomes many.
+SHARE_BYTES = 1024 * 1024
 
 
 def build_session(app: str = "trialmill", master: str | None = None, **conf: str) -> SparkSession:
@@ -119,6 +122,20 @@ def small_side(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     return F.broadcast(df) if planned_bytes(df) <= limit else df
 
 
+def large_side(df: DataFrame) -> DataFrame:
+    """Keep a table that grows with the data out of broadcasts.
+
+    Estimates start from compressed files and do not know how many rows an explode makes, so a table of many
+    hundred MB can pass for one below the broadcast limit and fill the driver.  A sort-merge join may spill.
+    """
+    return df.hint("merge")
+
+
+def shares(table: DataFrame, share: int = SHARE_BYTES) -> int:
+    """Number of tasks that get about `share` stored bytes of a table each, one a core at least."""
+    return max(table.sparkSession.sparkContext.defaultParallelism, math.ceil(planned_bytes(table) / share))
+
+
 def fan_out(df: DataFrame, *keys: str) -> DataFrame:
     """Spread an input whose scan has fewer splits than there are cores.
 
@@ -130,6 +147,19 @@ def fan_out(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys)
 
 
+def settle(df: DataFrame, *columns: str) -> DataFrame:
+    """Work the named columns out once a row.
+
+    Catalyst would otherwise put a column's formula in place of its name wherever a condition or a later column uses
+    it, and compile all of it into one method, which the JVM leaves uncompiled beyond 8,000 bytes.  Neither goes
+    through an explode, here of one element; the outer form adds no condition of its own.
+    """
+    rest = [c for c in df.columns if c not in columns]
+    packed = df.select(*rest, F.array(F.struct(*columns)).alias("_settled"))
+    each = packed.select(*rest, F.explode_outer("_settled").alias("_row"))
+    return each.select(*[F.col(f"_row.{c}").alias(c) if c in columns else c for c in df.columns])
+
+
 def inline_table(spark: SparkSession, schema: T.StructType, rows: list[tuple]) -> DataFrame:
     """A literal table.  Going through Arrow makes it a local relation of known size."""
     records = [dict(zip(schema.names, row)) for row in rows]
