@@ -2,9 +2,12 @@
 
 import random
 
+import pyarrow as pa
+
 from trialmill.streaming import attempts
 
 SCHEMA = "run string, version int, model string, tokens long"
+SHAPE = pa.schema([("run", pa.string()), ("version", pa.int64())])
 
 
 def _plain(rows):
@@ -48,3 +51,15 @@ def test_a_group_that_runs_have_left_is_gone(spark, tmp_path):
 def test_idle_runs_are_final(spark, tmp_path):
     assert _arrive(spark, tmp_path, [("a", 1, "m0", 5)], idle=-1) == {"m0": (1, 5)}
     assert _arrive(spark, tmp_path, [("a", 2, "m0", 6)], idle=-1) == {"m0": (2, 11)}
+
+
+def test_attempts_are_taken_in_at_once(spark, tmp_path):
+    """No work in Python for a single attempt: many arrivals of a bucket, taken in piece by piece, equal a plain reduction."""
+    run = lambda held, new: attempts.take_in(pa.table(held, SHAPE), pa.table(new, SHAPE), "run", "version")
+    last, added, gone = run({"run": ["a", "b"], "version": [2, -2**63]}, {"run": ["b", "a", "c", "b", "c"], "version": [0, 2, 1, 2**63 - 1, 1]})
+    assert last.to_pylist() == [{"run": "a", "version": 2}, {"run": "c", "version": 1}, {"run": "b", "version": 2**63 - 1}]
+    assert added.num_rows == 2 and gone.to_pylist() == [{"run": "b", "version": -2**63}]
+    rng = random.Random(6)
+    rows = [(f"r{rng.randrange(9000)}", v, f"m{v % 3}", v) for v in [rng.randrange(40) for _ in range(45_000)]]
+    assert _arrive(spark, tmp_path, rows) == _plain(rows)
+    assert _arrive(spark, tmp_path, rows[:500] + [("r1", 99, "m0", 1)]) == _plain(rows + [("r1", 99, "m0", 1)])

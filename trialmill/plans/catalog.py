@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..fixed_values import CONDITIONS
 from ..functions import text as tx, toolcalls as tc, vectors as vx
 from ..operators import clustering, frontier, grid, inference, patterns, rankcorr, reports, resample, sampling, scoring, tables
-from ..session import large_side, shared_dir, shares
+from ..session import cut_lineage, forget, large_side, shared_dir, shares
 from ..sources import files, schemas
 from ..streaming import attempts, incremental
 from . import bindings as b
@@ -924,8 +924,9 @@ def stream_last_attempt(spark, sf):
     folder = _folder(spark, "attempts")
     runs = b.runs(spark, sf)
     third = F.pmod(F.instr(F.lit("0123456789abcdef"), F.substring(F.md5(F.col("run_id")), 1, 1)), F.lit(3))
-    first = runs.select("run_id", "model", "condition", "total_tokens", F.col("error").isNotNull().cast("long").alias("failed"),
-                        third.alias("third"), F.lit(1).alias("version"))
+    # Five parts of three files come from these rows, so they are derived once and stored.
+    first = cut_lineage(runs.select("run_id", "model", "condition", "total_tokens", F.col("error").isNotNull().cast("long").alias("failed"),
+                                    third.alias("third"), F.lit(1).alias("version")))
     retried = lambda df, version, more: df.withColumns({
         "version": F.lit(version), "total_tokens": F.col("total_tokens") + more, "failed": F.lit(0).cast("long")})
     files = [
@@ -939,6 +940,7 @@ def stream_last_attempt(spark, sf):
         stream = spark.readStream.schema(first.schema).parquet(f"{folder}/in")
         changes = attempts.attempt_changes(stream, "run_id", "version", ["model", "condition"], measures)
         attempts.store_changes(changes, ["model", "condition"], measures, f"{folder}/out", f"{folder}/state")
+    forget(first)
     return attempts.read_sums(spark, f"{folder}/out", ["model", "condition"], measures)
 
 
