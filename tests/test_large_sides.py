@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
 from trialmill.functions import toolcalls as tc
-from trialmill.functions.text import strip
+from trialmill.functions.text import judge_score, strip
 from trialmill.plans import bindings as b
 from trialmill.session import shares
 
@@ -53,3 +53,8 @@ def test_calls_in_one_pass_equal_two(spark):
     one = F.transform(tc.extract_tool_calls(F.col("t")), lambda c: F.struct(c["tool"], c["params"]))
     for row in frame.select(two.alias("x"), one.alias("y")).collect():
         assert (row.x is None and row.y is None) or [tuple(c) for c in row.x] == [tuple(c) for c in row.y]
+
+
+def test_a_reply_is_parsed_once(spark, sf_dir):
+    plan = spark.range(1).select(judge_score(F.col("id").cast("string"))[0])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson(") == 1 and plan.count("schema_of_variant") == 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import groupby
 
 from pyspark.sql import Column, functions as F
@@ -176,28 +177,44 @@ def judge_score(reply: Column) -> tuple[Column, Column]:
     to integers, integer strings are accepted, everything else scores 0.  The status keeps
     a failed judgement apart from a true 0.
     """
-    span = F.regexp_extract(reply, r"(?s)\{.*\}", 0)
-    listed = F.concat(F.lit("["), span, F.lit("]"))
-    doc = F.try_parse_json(listed)
-    last = F.from_json(listed, "array<struct<score:variant>>")
-    single = F.when(doc.isNull() & (F.size(last) == 1), F.get(last, F.lit(0))["score"])
-    score = F.coalesce(F.try_variant_get(doc, "$[0].score", "variant"), single)
-    kind = F.schema_of_variant(score)
-    as_text = F.try_variant_get(score, "$", "string")
-    as_number = F.try_variant_get(score, "$", "double")
-    is_whole = F.regexp_like(as_text, F.lit(r"^\s*[+-]?\d+\s*$"))
-    value = (
-        F.when(kind == "STRING", F.when(is_whole, strip(as_text).try_cast("long")))
-        .when(kind == "BOOLEAN", as_number.cast("long"))
-        .when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), as_number.cast("long"))
-    )
-    has_key = kind.isNotNull()
-    status = (
-        F.when(reply.isNull(), "no_reply")
-        .when(span == "", "no_json")
-        .when((doc.isNull() & single.isNull()) | F.try_variant_get(doc, "$[1]", "variant").isNotNull(), "bad_json")
-        .when(~has_key, "no_score")
-        .when(value.isNull(), "bad_score")
-        .otherwise("ok")
-    )
-    return F.when(status == "ok", value).otherwise(F.lit(0)).cast("long"), status
+    def read(found: Column) -> Column:
+        """The list around a span as a variant, and the score in it: each is parsed once, whatever asks for it."""
+        listed = F.concat(F.lit("["), found, F.lit("]"))
+
+        def scored(doc: Column) -> Column:
+            last = F.from_json(listed, "array<struct<score:variant>>")
+            single = let(F.when(doc.isNull(), last), lambda rows: F.when(F.size(rows) == 1, F.get(rows, F.lit(0))["score"]))
+            return F.struct(found.alias("span"), doc.alias("doc"),
+                            F.coalesce(F.try_variant_get(doc, "$[0].score", "variant"), single).alias("score"))
+
+        return let(F.try_parse_json(listed), scored)
+
+    def typed(row: Column) -> Column:
+        return F.struct(row["span"].alias("span"), row["doc"].alias("doc"), row["score"].alias("score"),
+                        F.schema_of_variant(row["score"]).alias("kind"))
+
+    def number(row: Column) -> Column:
+        kind, score = row["kind"], row["score"]
+        as_number = F.try_variant_get(score, "$", "double").cast("long")
+        return (
+            F.when(kind == "STRING", let(F.try_variant_get(score, "$", "string"), lambda text: F.when(
+                F.regexp_like(text, F.lit(r"^\s*[+-]?\d+\s*$")), strip(text).try_cast("long"))))
+            .when(kind == "BOOLEAN", as_number)
+            .when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), as_number)
+        )
+
+    def problem(row: Column) -> Column:
+        several = F.try_variant_get(row["doc"], "$[1]", "variant").isNotNull()
+        return (
+            F.when(reply.isNull(), "no_reply")
+            .when(row["span"] == "", "no_json")
+            .when((row["doc"].isNull() & row["score"].isNull()) | several, "bad_json")
+            .when(row["kind"].isNull(), "no_score")
+        )
+
+    def of_reply(what: Callable[[Column], Column]) -> Column:
+        return let(let(let(F.regexp_extract(reply, r"(?s)\{.*\}", 0), read), typed), what)
+
+    value = of_reply(lambda row: F.when(problem(row).isNull(), number(row)))
+    status = of_reply(lambda row: F.coalesce(problem(row), F.when(number(row).isNull(), "bad_score").otherwise("ok")))
+    return F.coalesce(value, F.lit(0).cast("long")), status
