@@ -9,10 +9,11 @@ from .arrays import let
 from .text import strip
 
 # (?U): names may hold any Unicode word character.  The letters are spelled out, since no other character folds to
-# one of them and (?i) would fold every character of the text.
-CALL_PATTERN = r"(?U)[Tt][Oo][Oo][Ll]_[Cc][Aa][Ll][Ll]:\s*(\w+)\s*\(([^)]*)\)"
+# one of them and (?i) would fold every character of the text.  Nothing that a part takes can begin the next one, so no
+# part gives characters back.
+CALL_PATTERN = r"(?U)[Tt][Oo][Oo][Ll]_[Cc][Aa][Ll][Ll]:\s*+(\w++)\s*+\(([^)]*+)\)"
 #: Name, spaces, bracket and parameters as one group: one pass finds both.
-_WHOLE_CALL = CALL_PATTERN.replace(r"(\w+)\s*\(([^)]*)\)", r"(\w+\s*\([^)]*)\)")
+_WHOLE_CALL = CALL_PATTERN.replace(r"(\w++)\s*+\(([^)]*+)\)", r"(\w++\s*+\([^)]*+)\)")
 CALL_SCHEMA = "array<struct<tool:string, params:string, valid:boolean>>"
 
 

@@ -473,7 +473,7 @@ def format_compliance(spark, sf):
 def _slim(spark, sf) -> DataFrame:
     good = b.runs(spark, sf).filter(F.col("error").isNull())
     return good.select("run_id", "task_id", tc.tool_names(F.col("response")).alias("tool_names")).join(
-        large_side(b.gold(spark, sf)), "task_id")
+        large_side(scoring.with_candidates(b.gold(spark, sf))), "task_id")
 
 
 @query
@@ -769,7 +769,7 @@ def failure_taxonomy(spark, sf):
     base = b.with_calls(b.runs(spark, sf))
     named = base.withColumn("tool_names", scoring.called_names(F.col("tool_calls"))).withColumn(
         "invalid_calls", F.size(F.filter("tool_calls", lambda c: ~c["valid"])))
-    checked = scoring.with_sequence_scores(named.join(large_side(b.gold(spark, sf)), "task_id"))
+    checked = scoring.with_sequence_scores(named.join(large_side(scoring.with_candidates(b.gold(spark, sf))), "task_id"))
     return reports.failure_taxonomy(checked, ["condition"])
 
 
