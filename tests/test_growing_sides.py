@@ -47,3 +47,22 @@ def test_runs_are_derived_after_the_deal(spark, sf_dir, monkeypatch, name):
     dealt = [m.start() for m in re.finditer(r"Exchange hashpartitioning\(task_id[^)]*, 23\), REPARTITION_BY_NUM", plan)]
     derived = [m.start() for m in re.finditer(r"Generate explode\(\[m0", plan)]
     assert len(dealt) == len(derived) > 0 and all(d < e for d, e in zip(derived, dealt))
+
+
+def test_upserts_leave_the_dealt_run_log_in_place(spark, sf_dir, monkeypatch):
+    """Only the keys that were replaced move, to where their tasks are; they are found without a shuffle of their own."""
+    plans, store = [], tables.cut_lineage
+    monkeypatch.setattr(tables, "cut_lineage", lambda df: plans.append(_plan(df)) or store(df))
+    plans.append(_plan(entry_point.queries()["upsert_results"](spark, sf_dir)))
+    moved = re.findall(r"Exchange hashpartitioning\((.*), \d+\), ENSURE_REQUIREMENTS", "\n".join(plans))
+    assert len(moved) == 1 and re.fullmatch(r"_task_id#\d+", moved[0])
+
+
+def test_upsert_where_rows_are_dealt_equals_the_plain_one(spark):
+    schema = "task_id string, run_id string, version int, note string"
+    stored = spark.createDataFrame([("t1", "r1", 1, "a"), ("t1", None, 1, "b"), ("t2", "r2", 1, None), ("t3", "r3", 1, "d")], schema)
+    new = spark.createDataFrame([("t1", None, 2, "e"), ("t1", None, 3, None), ("t2", "r2", 2, "f"), ("t4", "r4", 2, "g")], schema)
+    dealt = tables.upsert(stored.repartition(5, "task_id"), new, ["run_id"], "version", dealt_by="task_id")
+    got = sorted(map(str, dealt.select(*stored.columns).collect()))
+    assert got == sorted(map(str, tables.upsert(stored, new, ["run_id"], "version").select(*stored.columns).collect()))
+    assert len(got) == 5 and "Row(task_id='t1', run_id=None, version=3, note=None)" in got

@@ -40,16 +40,18 @@ def keep_last(df: DataFrame, keys: list[str], version: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(newest).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
-def upsert(table: DataFrame, incoming: DataFrame, keys: list[str], version: str) -> DataFrame:
+def upsert(table: DataFrame, incoming: DataFrame, keys: list[str], version: str, dealt_by: str | None = None) -> DataFrame:
     """Replace or insert whole rows; within `incoming` the greatest version wins, and any
     incoming row beats the stored one.
 
-    Only `incoming` is reduced; stored rows are dropped where a new one has their key, without
-    sorting the stored table.
+    Only `incoming` is reduced; stored rows are dropped where a new one has their key.  `dealt_by` names a column that
+    the keys fix and that is never NULL: a stored table that is dealt by it stays where it is.
     """
-    latest = cut_lineage(keep_last(incoming, keys, [version]))
-    replaced = latest.select(*[F.col(k).alias(f"_{k}") for k in keys])
-    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    place = [dealt_by] if dealt_by else []
+    latest = cut_lineage(keep_last(incoming, [*place, *keys], [version]))
+    replaced = latest.select(*[F.col(k).alias(f"_{k}") for k in [*place, *keys]])
+    # Null-safe keys are compared as formulas, which no dealt column matches; the plain comparison does.
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], *[F.col(k) == F.col(f"_{k}") for k in place])
     return table.join(large_side(replaced), same, "left_anti").unionByName(latest, allowMissingColumns=True)
 
 

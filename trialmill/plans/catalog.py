@@ -42,7 +42,7 @@ def schema_evolve_scores(spark, sf):
 
 
 def _versioned(runs: DataFrame, version: int) -> DataFrame:
-    return runs.select("run_id", "model", "condition", "total_tokens", "error", F.lit(version).alias("version"))
+    return runs.select(*RUN, "model", "condition", "total_tokens", "error", F.lit(version).alias("version"))
 
 
 @query
@@ -51,8 +51,8 @@ def upsert_results(spark, sf):
     again = runs.filter(F.col("error").isNotNull() | (F.col("topic") == "purchase"))
     retry = _versioned(again.withColumns({"total_tokens": F.col("total_tokens") + 7, "error": F.lit(None).cast("string")}), 2)
     late = _versioned(again.filter(F.col("k") > 50).withColumn("total_tokens", F.col("total_tokens") + 11), 3)
-    merged = tables.upsert(_versioned(runs, 1), retry.unionByName(late), ["run_id"], "version")
-    return merged.withColumn("version", F.col("version").cast("long"))
+    merged = tables.upsert(_versioned(runs, 1), retry.unionByName(late), ["run_id"], "version", dealt_by="task_id")
+    return merged.drop("task_id").withColumn("version", F.col("version").cast("long"))
 
 
 def _thin_scores(runs: DataFrame) -> DataFrame:
