@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ..functions.arrays import let
-from ..functions.vectors import squared_distance
-from ..session import cut_lineage, small_side
+from ..functions.vectors import dot, squared_distance
+from ..session import cut_lineage, forget, small_side
+from . import blocks
 
 TILE_ROWS = 2048
 
@@ -49,76 +52,106 @@ def lloyd_step(points: DataFrame, centroids: DataFrame, keys: list[str], vec: st
         vector_mean(vec, dim).alias("centroid"), F.count("*").alias("n"), F.sum("d2").alias("inertia"))
 
 
-def _race(point: str, restart: Column, step: int, weight: Column) -> Column:
-    """Exponential race: the smallest key is a draw with probability proportional to `weight`."""
-    mixed = F.xxhash64(F.col(point), restart, F.lit(step))
-    uniform = (F.pmod(mixed, F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    return -F.log(uniform) / weight
-
-
-def seed_centroids(points: DataFrame, label: str, point: str, vec: str, k: int, restarts: int) -> DataFrame:
-    """Distance-weighted seeding (k-means++) of every class and restart, one pass per centroid.
+def _refilled(points: DataFrame, before: DataFrame, moved: DataFrame, keys: list[str], point: str, vec: str) -> DataFrame:
+    """`moved` with one lost cluster per class and restart put on the point farthest from its centroid.
 
-    Each pass is one aggregate: the winner of an exponential race per class and restart.
+    Further lost clusters stay where they were.
     """
-    tries = F.array(*[F.lit(r) for r in range(restarts)])
-    fanned = points.withColumn("restart", F.explode(tries))
+    gone = before.join(moved.select(*keys, "cluster"), keys + ["cluster"], "left_anti").select(*keys, "cluster", "centroid")
+    lost = gone.groupBy(*keys).agg(F.min("cluster").alias("cluster"))
+    far = assign(points.join(small_side(lost.select(*keys)), keys), before, keys, vec).groupBy(*keys).agg(
+        F.max_by(vec, F.struct("d2", point)).alias("centroid"))
+    added = lost.join(far, keys).select(*keys, "cluster", "centroid")
+    waiting = gone.join(lost, keys + ["cluster"], "left_anti")
+    return moved.select(*keys, "cluster", "centroid").unionByName(added).unionByName(waiting)
 
-    def winners(df: DataFrame, cluster: int, weight: Column) -> DataFrame:
-        race = _race(point, F.col("restart"), cluster, weight)
-        return df.groupBy(label, "restart").agg(
-            F.min_by(F.col(vec), F.struct(race, F.col(point))).alias("centroid")).withColumn("cluster", F.lit(cluster))
 
-    chosen = cut_lineage(winners(fanned, 0, F.lit(1.0)))
-    for step in range(1, k):
-        near = F.array_min(F.transform("_centroids", lambda c: squared_distance(F.col(vec), c["centroid"])))
-        joined = fanned.join(small_side(_packed(chosen, [label, "restart"])), [label, "restart"])
-        gap = joined.withColumn("_gap", near).filter(F.col("_gap") > 0)
-        chosen = cut_lineage(chosen.unionByName(winners(gap, step, F.col("_gap"))))
-    return chosen
+def _each_centroid(state: DataFrame) -> DataFrame:
+    return state.select("label", "restart", F.posexplode("c").alias("cluster", "centroid"))
 
 
-def _refilled(points: DataFrame, before: DataFrame, moved: DataFrame, keys: list[str], point: str, vec: str) -> DataFrame:
-    """`moved` with one lost cluster per class and restart put on the point farthest from its centroid."""
-    lost = before.join(moved.select(*keys, "cluster"), keys + ["cluster"], "left_anti").groupBy(*keys).agg(
-        F.min("cluster").alias("cluster"))
-    far = assign(points.join(small_side(lost.select(*keys)), keys), before, keys, vec).groupBy(*keys).agg(
-        F.max_by(vec, F.struct("d2", point)).alias("centroid"))
-    added = lost.join(far, keys).select(*keys, "cluster", "centroid")
-    return moved.select(*keys, "cluster", "centroid").unionByName(added)
+def _moved_on(points: DataFrame, large: DataFrame, state: DataFrame, dim: int, rounds: int, tolerance: float) -> DataFrame:
+    """Runs (label, restart, c) moved until each has settled; a round is one pass over the blocks of those that move.
+
+    Runs are written out between rounds.  `points` (label, point, vec) are read where a cluster lost its points.
+    """
+    keys = ["label", "restart"]
+    state = state.select(*keys, "c", F.lit(True).alias("moving"), F.lit(0.0).alias("inertia"),
+                         F.array().cast("array<int>").alias("lost"))
+    least, stale = math.inf, 0
+    while True:
+        active = state.filter("moving").select(*keys, "c")
+        moved = blocks.moved_runs(large, active, dim).join(F.broadcast(active), keys).select(
+            *keys, F.col("c").alias("before"), "inertia",
+            F.zip_with("c", "means", lambda old, m: F.zip_with(old, m["mean"], lambda x, y: F.coalesce(y, x))).alias("c"),
+            F.transform(F.filter("means", lambda m: m["n"] == 0), lambda m: m["cluster"]).alias("lost"))
+        shift = F.array_max(F.zip_with("before", "c", squared_distance))
+        rounding = blocks.ROUNDING * F.array_max(F.transform("c", lambda c: dot(c, c)))
+        judged = moved.withColumn(
+            "moving", (F.size("lost") > 0) | (shift > F.greatest(F.lit(float(tolerance ** 2)), rounding)))
+        seen = Observation()
+        written = cut_lineage(state.filter("not moving").unionByName(judged.select(*state.columns)).observe(
+            seen, F.count_if("moving").alias("moving"), F.sum("inertia").alias("inertia"), F.sum(F.size("lost")).alias("lost")))
+        if seen.get["lost"]:
+            short = written.filter("moving and size(lost) > 0")
+            before = active.join(F.broadcast(short.select(*keys)), keys)
+            kept = _each_centroid(short).join(
+                short.select(*keys, F.explode("lost").alias("cluster")), [*keys, "cluster"], "left_anti")
+            fanned = points.join(small_side(short.select(*keys)), "label")
+            filled = _refilled(fanned, _each_centroid(before), kept, keys, "point", "vec").groupBy(*keys).agg(
+                F.transform(F.array_sort(F.collect_list(F.struct("cluster", "centroid"))), lambda s: s["centroid"]).alias("filled"))
+            whole = written.join(filled, keys, "left").withColumn("c", F.coalesce("filled", "c")).withColumn(
+                "lost", F.array().cast("array<int>")).select(*state.columns)
+            whole = cut_lineage(whole)
+            forget(written)
+            written = whole
+        forget(state)
+        state = written
+        least, stale = blocks.progress(seen.get["inertia"], least, stale, rounds)
+        if not seen.get["moving"]:
+            return state.select(*keys, "c")
+
+
+def _settled_together(points: DataFrame, large: DataFrame, sizes: DataFrame, dim: int, k: int, restarts: int, rounds: int,
+                      tolerance: float) -> DataFrame:
+    """(label, cluster, centroid) of classes that no task holds: k-means++ in a pass a centroid, then common rounds."""
+    keys = ["label", "restart"]
+    tries = F.explode(F.array(*[F.lit(r) for r in range(restarts)]))
+    state = sizes.filter("not whole").select("label", tries.alias("restart"), F.array().cast("array<array<double>>").alias("c"))
+    for step in range(k):
+        drawn = state.join(blocks.winners(large, state, dim, step), keys, "left").select(
+            *keys, F.when(F.col("won").isNull(), F.col("c")).otherwise(F.concat("c", F.array("won"))).alias("c"))
+        state, before = cut_lineage(drawn), state
+        forget(before)
+    state = _moved_on(points, large, state, dim, rounds, tolerance)
+    best = blocks.moved_runs(large, state, dim).groupBy("label").agg(
+        F.min_by("restart", F.struct("inertia", "restart")).alias("restart"))
+    best = cut_lineage(state.join(small_side(best), keys))
+    return _each_centroid(_moved_on(points, large, best, dim, rounds, 0.0)).drop("restart")
 
 
 def kmeans_per_class(points: DataFrame, label: str, point: str, vec: str, dim: int, k: int = 6, restarts: int = 10,
-                     rounds: int = 300, tolerance: float = 1e-4) -> tuple[DataFrame, DataFrame]:
+                     rounds: int = 300, tolerance: float = 1e-4, whole_bytes: int = blocks.WHOLE_BYTES) -> tuple[DataFrame, DataFrame]:
     """(assignments, centroids) of the best of `restarts` runs per class.
 
-    All classes and restarts move together; a round is one pass over the points.  A cluster that lost
-    its points starts again at the farthest one.  Centroids
-    (classes x restarts x k rows) are written out between rounds.  Clusters are numbered by
-    their smallest member, so ids do not depend on seeding.
+    Points are packed into blocks of their class once.  One task holds a class of up to `whole_bytes` of vectors
+    and runs all its restarts; larger classes move together, a round is one pass over their blocks.  Either way a run
+    goes on until its centroids settle, and the best one until no point changes its cluster: `rounds` rounds without a
+    lower inertia are an error.  A cluster that lost its points starts again at the farthest one.  Clusters are
+    numbered by their smallest member, so ids do not depend on seeding.
     """
-    keys = [label, "restart"]
-    centroids = seed_centroids(points, label, point, vec, k, restarts)
-    fanned = points.withColumn("restart", F.explode(F.array(*[F.lit(r) for r in range(restarts)])))
-    for _ in range(rounds):
-        moved = cut_lineage(lloyd_step(fanned, centroids, keys, vec, dim))
-        near = centroids.alias("old").join(moved.alias("new"), keys + ["cluster"], "left")
-        state = near.agg(
-            F.max(squared_distance(F.col("new.centroid"), F.col("old.centroid"))).alias("shift"),
-            F.count_if(F.col("new.centroid").isNull()).alias("lost")).first()
-        shift = state["shift"]
-        if state["lost"]:
-            moved, shift = cut_lineage(_refilled(fanned, centroids, moved, keys, point, vec)), None
-        if shift is None and not state["lost"]:
-            break
-        centroids = moved.select(*keys, "cluster", "centroid")
-        if shift is not None and shift <= tolerance ** 2:
-            break
-    else:
-        raise RuntimeError(f"clusters still move after {rounds} rounds")
-    inertia = lloyd_step(fanned, centroids, keys, vec, dim).groupBy(*keys).agg(F.sum("inertia").alias("inertia"))
-    best = inertia.groupBy(label).agg(F.min_by("restart", F.struct("inertia", "restart")).alias("restart"))
-    final = cut_lineage(centroids.join(small_side(best), keys).drop("restart"))
+    sizes = blocks.class_sizes(points, label, dim, whole_bytes)
+    packed = blocks.pack(points, sizes, label, point, vec, dim)
+    held = sizes.agg(F.count_if("whole").alias("whole"), F.count_if(~F.col("whole")).alias("large")).first()
+    cores = points.sparkSession.sparkContext.defaultParallelism
+    final = blocks.settle_classes(
+        packed, max(1, min(8 * held["whole"], 64 * cores)), dim, k, restarts, rounds, tolerance)
+    if held["large"]:
+        plain = points.select(F.col(label).alias("label"), F.col(point).alias("point"), F.col(vec).alias("vec"))
+        final = final.unionByName(_settled_together(
+            plain, packed.filter("not whole"), sizes, dim, k, restarts, rounds, tolerance))
+    final = cut_lineage(final.withColumnRenamed("label", label))
+    forget(packed, sizes)
     assigned = assign(points, final, [label], vec)
     names = assigned.groupBy(label, "cluster").agg(F.min(point).alias("_first"))
     ranked = names.groupBy(label).agg(F.array_sort(F.collect_list(F.struct("_first", "cluster"))).alias("_order"))
