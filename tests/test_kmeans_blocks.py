@@ -94,13 +94,32 @@ def test_nearest_is_that_of_plain_sums():
         c = c.copy()
         c[1, 7] = np.nan
         with np.errstate(over="ignore", invalid="ignore"):
-            own, d2 = blocks.nearest(x, c)
+            own, d2, second, _ = blocks.nearest(x, c)
             plain = np.zeros((500, 3, 8))
             for j in range(6):
                 plain += (x[:, None, None, j] - c[None, :, :, j]) ** 2
         plain[np.isnan(plain)] = np.inf
         assert (own == plain.argmin(axis=2)).all()
         assert d2 == pytest.approx(plain.min(axis=2), rel=1e-6, abs=1e-20)
+        assert second == pytest.approx(np.sort(plain, axis=2)[:, :, 1], rel=1e-6, abs=1e-20)
+
+
+@pytest.mark.parametrize("kind", [np.float32, np.float64])
+def test_bounds_change_no_round(kind):
+    """Runs that measure only points whose bounds meet against Lloyd's rounds over all points."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((6000, 16)).astype(kind)
+    for start in range(3):
+        c = x[start * 7:start * 7 + 5].astype(float)
+        run = blocks._Run(blocks.Block(x, None, np.arange(6000), None), c)
+        got = run.settle(300, 0.0)
+        while True:
+            own = ((x.astype(float)[:, None] - c) ** 2).sum(axis=2).argmin(axis=1)
+            after = np.array([x[own == j].astype(float).mean(axis=0) for j in range(5)])
+            if np.allclose(after, c, rtol=0, atol=1e-14):
+                break
+            c = after
+        assert got == pytest.approx(after, abs=1e-12) and (run.own == own).all()
 
 
 def test_draws_are_those_of_sparks_hash(spark):
@@ -113,7 +132,7 @@ def test_lost_clusters_start_again(spark):
     x = np.array([[0.0], [1.0], [2.0], [50.0], [90.0]])
     block = blocks.Block(x, None, np.arange(5), None)
     start = np.array([[[1.0], [-900.0], [-901.0]]])
-    assert sorted(blocks._until_settled([block], start, 300, 0.0)[0].ravel()) == [1.0, 50.0, 90.0]
+    assert sorted(blocks._Run(block, start[0]).settle(300, 0.0).ravel()) == [1.0, 50.0, 90.0]
     points = spark.createDataFrame([(i, "c", v.tolist()) for i, v in enumerate(x)], SCHEMA)
     sizes = blocks.class_sizes(points, "label", 1, 0)
     packed = blocks.pack(points, sizes, "label", "id", "vec", 1)

@@ -13,7 +13,7 @@ from ..session import cut_lineage, small_side
 
 BLOCK_BYTES = 256 * 1024
 #: Bytes of vectors up to which one task holds a class and runs all its restarts; larger classes move in common rounds.
-WHOLE_BYTES = 32 * 1024 * 1024
+WHOLE_BYTES = 256 * 1024 * 1024
 
 #: Squared shifts below this share of a centroid's squared length are rounding.
 ROUNDING = 1e-24
@@ -59,7 +59,8 @@ def pack(points: DataFrame, sizes: DataFrame, label: str, point: str, vec: str,
         key, held, n = None, [], 0
 
         def block() -> pa.RecordBatch:
-            parts = [pa.array([np.concatenate(part).tobytes()], pa.binary()) for part in zip(*held)]
+            x, *rest = (np.concatenate(part) for part in zip(*held))
+            parts = [pa.array([part.tobytes()], pa.binary()) for part in (shortened(x), *rest)]
             return pa.RecordBatch.from_arrays([key[0], key[2], *parts], ["label", "whole", "x", "h", "lacks"])
 
         for batch in batches:
@@ -83,6 +84,13 @@ def pack(points: DataFrame, sizes: DataFrame, label: str, point: str, vec: str,
     return cut_lineage(ordered.mapInArrow(run, f"label {kind}, whole boolean, x binary, h binary, lacks binary"))
 
 
+def shortened(x: np.ndarray) -> np.ndarray:
+    """As 32-bit numbers if none changes by that."""
+    with np.errstate(over="ignore"):
+        short = x.astype(np.float32)
+    return short if np.array_equal(short, x, equal_nan=True) else x
+
+
 def doubles(vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Lists of numbers as rows of `dim` doubles, NaN where one is missing; and which have no distance to a centroid."""
     lengths = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
@@ -97,8 +105,9 @@ def doubles(vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def opened(x: pa.Scalar, h: pa.Scalar, lacks: pa.Scalar, dim: int) -> Block:
-    vectors, hashes = np.frombuffer(x.as_buffer(), "<f8").reshape(-1, dim), np.frombuffer(h.as_buffer(), "<i8")
-    lacking = np.frombuffer(lacks.as_buffer(), bool)
+    hashes, lacking = np.frombuffer(h.as_buffer(), "<i8"), np.frombuffer(lacks.as_buffer(), bool)
+    kind = "<f4" if x.as_buffer().size == 4 * dim * len(hashes) else "<f8"
+    vectors = np.frombuffer(x.as_buffer(), kind).reshape(-1, dim)
     if not lacking.any():
         return Block(vectors, None, hashes, None)
     known = np.isfinite(vectors)
@@ -114,17 +123,18 @@ def _exact(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.where(np.isnan(total), np.inf, total)
 
 
-def nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Nearest centroid of every run and its squared distance, (points, runs) each; a tie goes to the lower cluster.
+def nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Nearest centroid of every run, its squared distance and that of the second, (points, runs) each, and their rounding by point.
 
-    `c` is (runs, clusters, dim), NaN where a run has fewer clusters.  Distances come from one product of
-    matrices; where its rounding could change the choice, they are summed number by number.
+    `c` is (runs, clusters, dim), NaN where a run has fewer clusters.  A tie goes to the lower cluster.  Distances come
+    from one product of matrices; where its rounding could change the choice, they are summed number by number.
     """
+    x = np.asarray(x, float)
     runs, k, dim = c.shape
     flat = c.reshape(-1, dim)
     there = np.isfinite(flat).all(axis=1)
     with np.errstate(over="ignore", invalid="ignore"):
-        middle = x.mean(axis=0)
+        middle = x.mean(axis=0) if len(x) else 0.0
         near, at = x - middle, np.where(there[:, None], flat - middle, 0.0)
         size, reach = (near * near).sum(axis=1), (at * at).sum(axis=1)
         gap = near @ (-2.0 * at.T)
@@ -132,22 +142,24 @@ def nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         gap += reach
         gap[:, ~there] = np.inf
         gap = gap.reshape(-1, runs, k)
-        own = gap.argmin(axis=2)
-        least = np.take_along_axis(gap, own[..., None], axis=2)
+
+        def two(gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            own = gap.argmin(axis=2)
+            least = np.take_along_axis(gap, own[..., None], axis=2)[..., 0]
+            np.put_along_axis(gap, own[..., None], np.inf, axis=2)
+            return own, least, gap.min(axis=2)
+
+        own, least, second = two(gap)
         slack = 8 * (dim + 8) * np.finfo(float).eps * (size + reach.max())
-        unsure = ((gap <= least + slack[:, None, None]).sum(axis=2) > 1).any(axis=1)
-        least = least[..., 0]
-        unsure |= ~np.isfinite(least).all(axis=1)
+        unsure = ~(second > least + slack[:, None]).all(axis=1) | ~np.isfinite(least).all(axis=1)
         if unsure.any():
-            sure = _exact(x[unsure], c)
-            own[unsure] = sure.argmin(axis=2)
-            least[unsure] = sure.min(axis=2)
-    return own, np.maximum(least, 0.0)
+            own[unsure], least[unsure], second[unsure] = two(_exact(x[unsure], c))
+    return own, np.maximum(least, 0.0), np.maximum(second, 0.0), slack
 
 
 def placed(block: Block, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """`nearest`; a vector without a distance stands in the lowest cluster."""
-    own, d2 = nearest(block.x, c)
+    """Nearest centroids and squared distances; a vector without a distance stands in the lowest cluster."""
+    own, d2 = nearest(block.x, c)[:2]
     if block.lacks is not None:
         own[block.lacks], d2[block.lacks] = 0, 0.0
     return own, d2
@@ -158,7 +170,7 @@ def totals(blocks: list[Block], c: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     runs, k, dim = c.shape
     sums, seen, n, inertia = np.zeros(c.shape), np.zeros(c.shape), np.zeros((runs, k)), np.zeros(runs)
     for block in blocks:
-        x, known = block.x, block.known
+        x, known = np.asarray(block.x, float), block.known
         own, d2 = placed(block, c)
         member = np.zeros((len(x), runs * k))
         member[np.arange(len(x))[:, None], own + k * np.arange(runs)] = 1.0
@@ -199,17 +211,18 @@ def drawn(block: Block, c: Sequence[np.ndarray], step: int) -> Iterator[tuple[in
 
     A vector without a distance can only win the first step, and only if its class has no other.
     """
+    x = np.asarray(block.x, float)
     for restart, before in enumerate(c):
-        weight = np.full(len(block.x), np.inf if len(before) else 1.0)
+        weight = np.full(len(x), np.inf if len(before) else 1.0)
         for centroid in before:
-            gap = block.x - centroid
+            gap = x - centroid
             np.minimum(weight, (gap * gap).sum(axis=1), out=weight)
         if block.lacks is not None:
             weight[block.lacks] = 0.0 if step else 1e-300
         key = race(block.h, restart, step, weight)
         at = np.lexsort((block.h, key))[0] if len(key) else 0
         if len(key) and np.isfinite(key[at]):
-            yield restart, float(key[at]), int(block.h[at]), block.x[at]
+            yield restart, float(key[at]), int(block.h[at]), x[at]
 
 
 def padded(c: Sequence[np.ndarray], dim: int) -> np.ndarray:
@@ -233,38 +246,18 @@ def _seeds(blocks: list[Block], k: int, restarts: int) -> np.ndarray:
     return padded(c, dim)
 
 
-def _farthest(blocks: list[Block], c: np.ndarray) -> np.ndarray:
-    """The point of one run that is farthest from its centroid."""
-    best, vector = (-1.0, 0), None
-    for block in blocks:
-        d2 = placed(block, c[None])[1][:, 0]
-        at = np.lexsort((block.h, d2))[-1]
-        if (d2[at], block.h[at]) > best:
-            best, vector = (d2[at], block.h[at]), block.x[at]
-    return vector
-
-
-def still(shift: np.ndarray, c: np.ndarray, tolerance: float) -> np.ndarray:
-    """Whether a squared shift is above the tolerance and above the rounding of sums."""
-    return shift > np.maximum(tolerance ** 2, ROUNDING * np.nanmax((c * c).sum(axis=2), axis=1))
-
-
-def _until_settled(blocks: list[Block], c: np.ndarray, rounds: int, tolerance: float) -> np.ndarray:
-    c, moving = c.copy(), np.arange(len(c))
-    inertia, least, stale = np.full(len(c), np.inf), np.inf, 0
-    while moving.size:
-        before = c[moving]
-        sums, seen, n, inertia[moving] = totals(blocks, before)
-        after = np.where(seen > 0, sums / np.maximum(seen, 1.0), before)
-        shift = np.nanmax(((after - before) ** 2).sum(axis=2), axis=1)
-        lost = (n == 0) & np.isfinite(before).all(axis=2)
-        for run in np.flatnonzero(lost.any(axis=1)):
-            after[run, lost[run].argmax()] = _farthest(blocks, before[run])
-            shift[run] = np.inf
-        c[moving] = after
-        least, stale = progress(float(inertia.sum()), least, stale, rounds)
-        moving = moving[still(shift, after, tolerance)]
-    return c
+def joined(blocks: list[Block]) -> Block:
+    """All blocks as one."""
+    x, h = (np.concatenate([getattr(b, name) for b in blocks]) for name in ("x", "h"))
+    if all(b.lacks is None for b in blocks):
+        return Block(x, None, h, None)
+    return Block(x, np.concatenate([np.ones(b.x.shape, bool) if b.known is None else b.known for b in blocks]), h,
+                 np.concatenate([np.zeros(len(b.h), bool) if b.lacks is None else b.lacks for b in blocks]))
+
+
+def parted(block: Block, rows: int) -> list[Block]:
+    """Views of so many rows each."""
+    return [Block(*(None if part is None else part[i:i + rows] for part in block)) for i in range(0, len(block.h), rows)]
 
 
 def progress(inertia: float, least: float, stale: int, rounds: int) -> tuple[float, int]:
@@ -276,26 +269,114 @@ def progress(inertia: float, least: float, stale: int, rounds: int) -> tuple[flo
     return least, stale + 1
 
 
+class _Run:
+    """One run of Lloyd's rounds over all points of a class.
+
+    A point keeps an upper bound of the distance to its centroid and a lower bound of that to any other one; rounds widen
+    them by the centroids' moves, and only points whose bounds meet are measured anew (Hamerly).  Sums change
+    by the points that changed their cluster.  Nothing ends before a round over all points has confirmed it.
+    """
+
+    def __init__(self, points: Block, c: np.ndarray):
+        self.points, self.c = points, c[np.isfinite(c).all(axis=1)]
+        n = len(points.h)
+        self.own, self.up, self.low = np.zeros(n, np.intp), np.zeros(n), np.full(n, np.inf)
+        self.usual = np.arange(n) if points.lacks is None else np.flatnonzero(~points.lacks)
+
+    def measure(self, at: np.ndarray) -> None:
+        """Cluster and bounds of the points `at`."""
+        own, least, second, slack = (a.reshape(len(at)) for a in nearest(self.points.x[at], self.c[None]))
+        self.own[at] = own
+        self.up[at], self.low[at] = np.sqrt(least + slack), np.sqrt(np.maximum(second - slack, 0.0))
+
+    def added(self, at: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sums, counts of numbers, and points by cluster, over the points `at`."""
+        member = np.zeros((len(at), len(self.c)))
+        member[np.arange(len(at)), own] = 1.0
+        n = member.sum(axis=0)
+        sums = member.T @ np.asarray(self.points.x[at], float)
+        seen = np.broadcast_to(n[:, None], sums.shape) if self.points.known is None else member.T @ self.points.known[at]
+        return sums, seen, n
+
+    def over(self, at: np.ndarray, rows: int = 2048):
+        return (at[i:i + rows] for i in range(0, len(at), rows))
+
+    def all_anew(self) -> None:
+        for at in self.over(self.usual):
+            self.measure(at)
+        parts = [self.added(at, self.own[at]) for at in self.over(np.arange(len(self.own)))]
+        self.sums, self.seen, self.n = (sum(part) for part in zip(*parts))
+
+    def where_bounds_meet(self) -> None:
+        for at in self.over(np.flatnonzero(self.up * (1 + 1e-9) >= self.low)):
+            before = self.own[at]
+            self.measure(at)
+            changed = before != self.own[at]
+            if changed.any():
+                went, came = self.added(at[changed], before[changed]), self.added(at[changed], self.own[at[changed]])
+                self.sums, self.seen, self.n = (
+                    total - a + b for total, a, b in zip((self.sums, self.seen, self.n), went, came))
+
+    def inertia(self) -> float:
+        return sum(float(placed(part, self.c[None])[1].sum()) for part in parted(self.points, 2048))
+
+    def farthest(self) -> np.ndarray:
+        d2 = np.concatenate([placed(part, self.c[None])[1][:, 0] for part in parted(self.points, 2048)])
+        return np.asarray(self.points.x[np.lexsort((self.points.h, d2))[-1]], float)
+
+    def settle(self, rounds: int, tolerance: float) -> np.ndarray:
+        whole, turn, least = True, 0, np.inf
+        while True:
+            if turn == rounds:
+                least, _ = progress(self.inertia(), least, rounds, rounds)
+                whole, turn = True, 0
+            if whole:
+                self.all_anew()
+            else:
+                self.where_bounds_meet()
+            before = self.c
+            after = np.where(self.seen > 0.5, self.sums / np.maximum(self.seen, 1.0), before)
+            lost = np.flatnonzero(self.n < 0.5)
+            if lost.size:
+                after[lost[0]] = self.farthest()
+            step = np.sqrt(((after - before) ** 2).sum(axis=1))
+            moves = lost.size > 0 or step.max() ** 2 > max(tolerance ** 2, ROUNDING * (after * after).sum(axis=1).max())
+            self.c, turn = after, turn + 1
+            if whole and not moves:
+                return after
+            whole = not moves
+            self.up += step[self.own]
+            self.low -= step.max()
+
+
 def whole_class(blocks: list[Block], k: int, restarts: int, rounds: int, tolerance: float) -> np.ndarray:
     """Centroids of the best of all restarts of one class, moved on until no point changes its cluster."""
-    c = _until_settled(blocks, _seeds(blocks, k, restarts), rounds, tolerance)
-    best = int(totals(blocks, c)[3].argmin())
-    return _until_settled(blocks, c[best:best + 1], rounds, 0.0)[0]
+    points = joined(blocks)
+    blocks[:] = parted(points, block_rows(points.x.shape[1]))
+    best = None
+    for c in _seeds(blocks, k, restarts):
+        run = _Run(points, c)
+        run.settle(rounds, tolerance)
+        found = run.inertia(), run.c
+        best = found if best is None or found[0] < best[0] else best
+    return _Run(points, best[1]).settle(rounds, 0.0)
 
 
 def settle_classes(blocks: DataFrame, parts: int, dim: int, k: int, restarts: int, rounds: int, tolerance: float) -> DataFrame:
-    """(label, cluster, centroid) of the classes that one task may hold, a task each."""
+    """(label, cluster, centroid) of the classes that one task may hold.
+
+    With several ranges a class on average, a class of the usual size or above has a task of its own.
+    """
     kind = blocks.schema["label"].dataType
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         held = [opened(*row, dim) for row in zip(table["x"], table["h"], table["lacks"])]
         c = whole_class(held, k, restarts, rounds, tolerance)
-        c = c[np.isfinite(c).all(axis=1)]
         return pa.Table.from_arrays([
             pa.array([key[0].as_py()] * len(c), table["label"].type), pa.array(np.arange(len(c), dtype=np.int32)),
             pa.array(list(c), pa.list_(pa.float64()))], ["label", "cluster", "centroid"])
 
-    held = blocks.filter("whole").select("label", *PARTS).repartition(parts, "label")
+    held = blocks.filter("whole").select("label", *PARTS).repartitionByRange(parts, "label")
     return held.groupBy("label").applyInArrow(run, f"label {kind.simpleString()}, cluster int, centroid array<double>")
 
 
